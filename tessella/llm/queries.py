@@ -7,11 +7,29 @@ from pyspark.sql import functions as F
 
 from tessella.sources.tables import table
 
+from .canonical import map_registry
 from .encoding import encode_corpus
 from .leakage import leaks
 from .splitting import piece_offsets, split_texts
 
 
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    return map_registry(table(spark, d, "marker_registry"), table(spark, d, "marker_reference"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry, or none, of every registry row whose id isn't an entry's id as written."""
+    ids = table(spark, d, "marker_reference").select(F.col("canon_id").alias("id"))
+    rows = table(spark, d, "marker_registry").select("registry_id", F.col("resolved_id").alias("id"))
+    open_rows = rows.join(ids, "id", "left_anti").select("registry_id")
+    return _registry(spark, d).join(open_rows, "registry_id", "left_semi").select("registry_id", "canon_id")
+
+
+def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Every registry row with its entry, the column that named it and the distance; '' where it denotes none."""
+    return _registry(spark, d)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, d, "documents"))
@@ -38,5 +56,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return piece_offsets(table(spark, d, "documents")).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
 SQL: dict[str, str] = {}

@@ -227,6 +227,8 @@ def piece_offsets(
         .sortWithinPartitions("doc_id", "row", "range_no").mapInPandas(_stitch(limit, overlap), PIECE.format(k=kind))
     )
     left = scanned.where("piece_no is null and not whole").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
+    if left.isEmpty():  # the usual case; the texts needn't move to be compared with nothing
+        return pieces.unionByName(stitched).withColumnRenamed("doc_id", key)
     one = source.join(left, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left_semi").select(
         "doc_id", "row", F.lit(1).alias("ranges"), F.lit(0).alias("range_no"), F.col("text").alias("body")
     )
