@@ -9,6 +9,8 @@ from tessella.sources.tables import table
 
 from .canonical import map_registry
 from .encoding import encode_corpus
+from .frequency import label_terms
+from .grouping import slide_splits, tied_slides
 from .leakage import leaks
 from .splitting import piece_offsets, split_texts
 
@@ -30,6 +32,27 @@ def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
     return _registry(spark, d)
 
 
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Cells and slides of each label of a cohort and of each word, with its mark."""
+    return label_terms(table(spark, d, "cells"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Labels and words that are too rare or too common."""
+    return label_terms(table(spark, d, "cells")).where("mark is not null").select("scope", "term", "mark")
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every slide with its group and split."""
+    return slide_splits(table(spark, d, "cells"), table(spark, d, "cohorts"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Slides tied to a smaller slide, with the smallest of their group."""
+    tied = tied_slides(table(spark, d, "cells"), table(spark, d, "cohorts"))
+    return tied.where("image_id <> group_id").select(F.col("group_id").alias("image_a"), F.col("image_id").alias("image_b"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, d, "documents"))
@@ -56,5 +79,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return piece_offsets(table(spark, d, "documents")).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p2_terms, p2_found, p4_splits, p4_found, p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
 SQL: dict[str, str] = {}
