@@ -12,6 +12,7 @@ from .encoding import encode_corpus
 from .frequency import label_terms
 from .grouping import slide_splits, tied_slides
 from .leakage import leaks
+from .percentiles import CELL_FIELDS, CELL_GROUPINGS, RadixPercentiles, cell_percentiles
 from .splitting import piece_offsets, split_texts
 
 
@@ -53,6 +54,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return tied.where("image_id <> group_id").select(F.col("group_id").alias("image_a"), F.col("image_id").alias("image_b"))
 
 
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of area and markers by cohort and label, and by slide."""
+    return cell_percentiles(table(spark, d, "cells"))
+
+
+def p5_load_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """The per-load digit histograms that p5_percentiles combines."""
+    return RadixPercentiles(table(spark, d, "cells"), CELL_GROUPINGS, CELL_FIELDS).histograms()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, d, "documents"))
@@ -79,5 +90,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return piece_offsets(table(spark, d, "documents")).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p2_terms, p2_found, p4_splits, p4_found, p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p2_terms, p2_found, p4_splits, p4_found, p5_percentiles, p5_load_histograms, p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
 SQL: dict[str, str] = {}
