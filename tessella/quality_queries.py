@@ -35,7 +35,7 @@ _TEXTS = ("cohort", "image_id", "patient_id", "native_label")
 
 
 def _profile_of(c: str) -> str:
-    value = f"CASE WHEN {c}::DOUBLE <= 'infinity'::DOUBLE THEN {c} END" if c in _FLOATS else c
+    value = f"CASE WHEN {c}::VARCHAR <> 'nan' THEN {c} END" if c in _FLOATS else c
     low, high, first, last = "NULL::DOUBLE", "NULL::DOUBLE", "NULL::VARCHAR", "NULL::VARCHAR"
     if c in _NUMBERS:
         low, high = f"min(({value})::DOUBLE)", f"max(({value})::DOUBLE)"
@@ -56,15 +56,15 @@ _NO_PATIENT = """(patient_id IS NULL OR lower(trim(patient_id)) IN ('', 'nan', '
 SQL = {
     "p3_profile": " UNION ALL ".join(map(_profile_of, (*_NUMBERS, *_TEXTS, "loaded_at"))),
     "p3_found": f"""
-WITH c AS (SELECT load_id, CASE WHEN NOT isnan(area_px2) THEN area_px2 END AS area_px2,
-    CASE WHEN NOT isnan(label_confidence) THEN label_confidence::DOUBLE END AS label_confidence,
+WITH c AS (SELECT load_id, CASE WHEN area_px2::VARCHAR <> 'nan' THEN area_px2 END AS area_px2,
+    CASE WHEN label_confidence::VARCHAR <> 'nan' THEN label_confidence::DOUBLE END AS label_confidence,
     CASE WHEN NOT {_NO_PATIENT} THEN patient_id END AS patient_id FROM cells WHERE load_id IS NOT NULL),
 pairs AS (SELECT load_id, baseline_load_id AS base FROM loads WHERE baseline_load_id IS NOT NULL),
 rates AS (SELECT load_id, 'area_px2' AS column_name, 1 - count(area_px2) / count(*)::DOUBLE AS rate FROM c GROUP BY 1
     UNION ALL SELECT load_id, 'label_confidence', 1 - count(label_confidence) / count(*)::DOUBLE FROM c GROUP BY 1
     UNION ALL SELECT load_id, 'patient_id', 1 - count(patient_id) / count(*)::DOUBLE FROM c GROUP BY 1),
-vals AS (SELECT load_id, 'area_px2' AS column_name, area_px2 AS v FROM c WHERE isfinite(area_px2)
-    UNION ALL SELECT load_id, 'label_confidence', label_confidence FROM c WHERE isfinite(label_confidence)),
+vals AS (SELECT load_id, 'area_px2' AS column_name, area_px2 AS v FROM c WHERE area_px2::VARCHAR NOT IN ('inf', '-inf')
+    UNION ALL SELECT load_id, 'label_confidence', label_confidence FROM c WHERE label_confidence::VARCHAR NOT IN ('inf', '-inf')),
 sided AS (SELECT p.load_id, column_name, v, 1 AS ours FROM pairs p JOIN vals USING (load_id)
     UNION ALL SELECT p.load_id, column_name, v, 0 FROM pairs p JOIN vals x ON x.load_id = p.base),
 points AS (SELECT load_id, column_name, v, sum(ours) AS o, sum(1 - ours) AS t FROM sided GROUP BY ALL),
