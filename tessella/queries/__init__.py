@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("scan", "joins", "aggregates")
+FAMILIES = ("scan", "joins", "aggregates", "windows", "reshape")
 
 
 def collect() -> tuple[dict, dict]:
