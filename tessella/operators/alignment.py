@@ -114,3 +114,20 @@ def place(dist: DataFrame, members: DataFrame, held: str, most: float) -> DataFr
     mean = side.join(m, ["in_cohort", "in_label"]).groupBy("label", "cluster").agg(F.avg("distance").alias("distance"))
     first = mean.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.round("distance", 9), "cluster"))).where("rn = 1")
     return first.select("label", F.when((F.col("distance") <= most) & (F.col("distance") < FAR), F.col("cluster")).otherwise(-1).alias("cluster"), "distance")
+
+
+def name_clusters(scaled: DataFrame, members: DataFrame) -> DataFrame:
+    """Names from up to three markers that stand out high and one low; half the labels and three cohorts must have measured them."""
+    m = members.select("cohort", "label", "cluster")
+    centre = scaled.join(m, ["cohort", "label"]).groupBy("cluster", "marker").agg(F.avg("p").alias("c"), F.count(F.lit(1)).alias("k"))
+    size = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    cohorts = scaled.groupBy("marker").agg(F.count_distinct("cohort").alias("n"))
+    w = Window.partitionBy("marker")
+    sd = F.stddev_pop("c").over(w)
+    z = centre.join(size, "cluster").join(cohorts, "marker").withColumn("z", F.round((F.col("c") - F.avg("c").over(w)) / F.when(sd != 0, sd), 6)).where("k * 2 >= size and n >= 3 and z is not null")
+    v = Window.partitionBy("cluster")
+    r = z.withColumn("hi", F.row_number().over(v.orderBy(F.desc("z"), "marker"))).withColumn("lo", F.row_number().over(v.orderBy("z", "marker")))
+    part = F.when((F.col("hi") <= 3) & (F.col("z") > 0.8), F.concat("marker", F.lit("+"))).when((F.col("lo") == 1) & (F.col("z") < -1.2), F.concat("marker", F.lit("-")))
+    parts = F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct((-F.col("z")).alias("o"), F.col("marker").alias("m"), part.alias("part")))))
+    name = F.array_join(F.transform(parts, lambda x: x["part"]), " ")
+    return r.groupBy("cluster").agg(name.alias("name")).select("cluster", F.when(F.col("name") == "", "no discriminative shared marker").otherwise(F.col("name")).alias("name"))

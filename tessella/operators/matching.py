@@ -14,7 +14,7 @@ def standard_profiles(counts: DataFrame, group: list[str], label: str, least: in
     return means.withColumn("z", (F.col("mean") - F.avg("mean").over(w)) / F.when(spread != 0, spread)).select(*group, label, "marker", "z").where("z is not null")
 
 
-def _squares(profiles: DataFrame, least_shared: int) -> DataFrame:
+def squares(profiles: DataFrame, least_shared: int) -> DataFrame:
     """Root mean square difference of every two labels of different cohorts; profiles are labels, not rows, so few."""
     a = profiles.select("marker", F.col("cohort").alias("cohort_a"), F.col("label").alias("label_a"), F.col("z").alias("za"))
     b = profiles.select("marker", F.col("cohort").alias("cohort_b"), F.col("label").alias("label_b"), F.col("z").alias("zb"))
@@ -27,13 +27,13 @@ def _squares(profiles: DataFrame, least_shared: int) -> DataFrame:
 
 def profile_distances(profiles: DataFrame, least_shared: int) -> DataFrame:
     """Each unordered pair of labels of different cohorts with its number of shared markers and distance."""
-    return _squares(profiles, least_shared).where("cohort_a < cohort_b").withColumn("distance", F.round("distance", 6))
+    return squares(profiles, least_shared).where("cohort_a < cohort_b").withColumn("distance", F.round("distance", 6))
 
 
 def nearest(profiles: DataFrame, least_shared: int, most: float) -> DataFrame:
     """The nearest label of each other cohort; ties go to the alphabetically first, and beyond ``most`` it is NOVEL."""
     order = Window.partitionBy("cohort_a", "label_a", "cohort_b").orderBy(F.round("distance", 9), "label_b")
-    first = _squares(profiles, least_shared).withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    first = squares(profiles, least_shared).withColumn("rn", F.row_number().over(order)).where("rn = 1")
     return first.select(
         F.col("cohort_a").alias("cohort"), F.col("label_a").alias("label"), F.col("cohort_b").alias("other"),
         F.when(F.col("distance") <= most, F.col("label_b")).otherwise("NOVEL").alias("nearest"), F.round("distance", 6).alias("distance"),

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -40,3 +41,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of one Arrow batch, for tables whose single values may hold megabytes of text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def broadcast_up_to(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work that is heavy per row, so that small data still keeps every core busy."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("scan", "joins", "aggregates", "windows", "reshape", "identity", "values", "stats", "alignment")
+FAMILIES = ("scan", "joins", "aggregates", "windows", "reshape", "identity", "values", "stats", "alignment", "graph", "models", "streams")
 
 
 def collect() -> tuple[dict, dict]:

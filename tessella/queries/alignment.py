@@ -113,25 +113,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY z DESC, marker)
 SELECT cluster, coalesce(string_agg(CASE WHEN hi <= 3 AND z > .8 THEN marker || '+' WHEN lo = 1 AND z < -1.2 THEN marker || '-' END, ' ' ORDER BY z DESC, marker), 'no discriminative shared marker') AS name FROM r GROUP BY 1""")
 def cluster_naming(spark: SparkSession, d: str) -> DataFrame:
     """Names from markers that stand out, measured by half the labels and three cohorts."""
-    return al_naming(_scaled(spark, d), table(spark, d, "label_map"))
-
-
-def al_naming(scaled: DataFrame, members: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    m = members.select("cohort", "label", "cluster")
-    centre = scaled.join(m, ["cohort", "label"]).groupBy("cluster", "marker").agg(F.avg("p").alias("c"), F.count(F.lit(1)).alias("k"))
-    size = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    cohorts = scaled.groupBy("marker").agg(F.count_distinct("cohort").alias("n"))
-    w = Window.partitionBy("marker")
-    sd = F.stddev_pop("c").over(w)
-    z = centre.join(size, "cluster").join(cohorts, "marker").withColumn("z", F.round((F.col("c") - F.avg("c").over(w)) / F.when(sd != 0, sd), 6)).where("k * 2 >= size and n >= 3 and z is not null")
-    v = Window.partitionBy("cluster")
-    r = z.withColumn("hi", F.row_number().over(v.orderBy(F.desc("z"), "marker"))).withColumn("lo", F.row_number().over(v.orderBy("z", "marker")))
-    part = F.when((F.col("hi") <= 3) & (F.col("z") > 0.8), F.concat("marker", F.lit("+"))).when((F.col("lo") == 1) & (F.col("z") < -1.2), F.concat("marker", F.lit("-")))
-    parts = F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct((-F.col("z")).alias("o"), F.col("marker").alias("m"), part.alias("part")))))
-    name = F.array_join(F.transform(parts, lambda x: x["part"]), " ")
-    return r.groupBy("cluster").agg(name.alias("name")).select("cluster", F.when(F.col("name") == "", "no discriminative shared marker").otherwise(F.col("name")).alias("name"))
+    return al.name_clusters(_scaled(spark, d), table(spark, d, "label_map"))
 
 
 @register("""WITH c AS (SELECT label, count(*) AS k, count(DISTINCT cluster) AS n, bool_or(unreliable) AS waived FROM label_map GROUP BY 1)

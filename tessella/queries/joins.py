@@ -90,7 +90,7 @@ def label_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_MEANS = L + """, g AS (SELECT cohort, label, marker, avg(v) AS mean, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 100),
+MEANS = L + """, g AS (SELECT cohort, label, marker, avg(v) AS mean, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 100),
 z AS (SELECT cohort, label, marker, (mean - avg(mean) OVER w) / nullif(stddev_pop(mean) OVER w, 0) AS z FROM g WINDOW w AS (PARTITION BY cohort, marker))"""
 
 
@@ -99,14 +99,14 @@ def _profiles(spark: SparkSession, d: str) -> DataFrame:
     return matching.standard_profiles(counts, ["cohort"], "label", least=100)
 
 
-@register(f"WITH {_MEANS} SELECT a.cohort AS cohort_a, a.label AS label_a, b.cohort AS cohort_b, b.label AS label_b, count(*) AS n_shared, round(sqrt(avg((a.z - b.z) * (a.z - b.z))), 6) AS distance "
+@register(f"WITH {MEANS} SELECT a.cohort AS cohort_a, a.label AS label_a, b.cohort AS cohort_b, b.label AS label_b, count(*) AS n_shared, round(sqrt(avg((a.z - b.z) * (a.z - b.z))), 6) AS distance "
           "FROM z a JOIN z b USING (marker) WHERE a.cohort < b.cohort AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
 def marker_pairs(spark: SparkSession, d: str) -> DataFrame:
     """C11: labels of different cohorts compared marker by marker, by an equi-join on the marker."""
     return matching.profile_distances(_profiles(spark, d), least_shared=3)
 
 
-@register(f"WITH {_MEANS}, p AS (SELECT a.cohort, a.label, b.cohort AS other, b.label AS nearest, sqrt(avg((a.z - b.z) * (a.z - b.z))) AS distance FROM z a JOIN z b USING (marker) "
+@register(f"WITH {MEANS}, p AS (SELECT a.cohort, a.label, b.cohort AS other, b.label AS nearest, sqrt(avg((a.z - b.z) * (a.z - b.z))) AS distance FROM z a JOIN z b USING (marker) "
           "WHERE a.cohort <> b.cohort AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY ALL HAVING count(*) >= 3), "
           "r AS (SELECT *, row_number() OVER (PARTITION BY cohort, label, other ORDER BY round(distance, 9), nearest) AS rn FROM p) "
           "SELECT cohort, label, other, CASE WHEN distance <= 1.0 THEN nearest ELSE 'NOVEL' END AS nearest, round(distance, 6) AS distance FROM r WHERE rn = 1")

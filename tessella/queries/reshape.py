@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import names, vectors
 from tessella.operators import schema
+from tessella.plans.materialize import broadcast_up_to
 from tessella.sources.standard import MARKERS, long_values, standard_cells, value_counts
 from tessella.sources.tables import table
 
@@ -149,10 +150,10 @@ def numeric_functions(spark: SparkSession, d: str) -> DataFrame:
 @register("""WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM e GROUP BY 1, 2)
 SELECT vec_id, c.label AS prototype, round(sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 6) AS cosine, round(sqrt(sum((x - c) * (x - c))), 5) AS distance FROM e JOIN c USING (i) GROUP BY 1, 2""")
 def vector_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine and distance of every vector to every class centre; arrays stay arrays, the few centres are joined."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    centres = vectors.centroids(e, "label", "x").select(F.col("label").alias("prototype"), "centroid")
-    return e.crossJoin(F.broadcast(centres)).select("vec_id", "prototype", F.round(vectors.cosine("x", "centroid"), 6).alias("cosine"), F.round(vectors.distance("x", "centroid"), 5).alias("distance"))
+    """Cosine and distance of every vector to every class centre; arrays stay arrays."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.lit(0).alias("all"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    centres = vectors.centroids(e, "label", "x").select(F.lit(0).alias("all"), F.col("label").alias("prototype"), "centroid")
+    return e.join(broadcast_up_to(centres), "all").select("vec_id", "prototype", F.round(vectors.cosine("x", "centroid"), 6).alias("cosine"), F.round(vectors.distance("x", "centroid"), 5).alias("distance"))
 
 
 @register("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE / 0.5 AS z FROM embeddings) SELECT vec_id, round(max(exp(z - m)) / sum(exp(z - m)), 6) AS top FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM e) GROUP BY 1""")
