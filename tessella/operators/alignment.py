@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.materialize import cut
+
 from . import ranks
 
 MIN_CELLS, W_MIN, FLOOR, DELTA, FAR = 100, 0.10, 0.05, 0.05, 5.0
@@ -20,7 +22,7 @@ def signatures(counts: DataFrame, least: int = MIN_CELLS) -> DataFrame:
     ``counts`` has rows per cohort, label, marker and value; ranks are over the cohort's rows.  A marker that a cohort
     never measured has no row, which is not 0.
     """
-    u = ranks.joint_mid_rank(counts, ["cohort", "marker"])
+    u = cut(ranks.mid_rank(counts, ["cohort", "marker"]), "ranks")
     mean = u.groupBy(*NODE, "marker").agg(F.sum("n").alias("n"), (F.sum(F.col("u") * F.col("n")) / F.sum("n")).alias("mean_u")).where(F.col("n") >= least)
     q = ranks.quantiles(u, [*NODE, "marker"], [0.1, 0.5, 0.9], value="u")
     return mean.join(q.drop("rows"), [*NODE, "marker"]).select(*NODE, "marker", "n", "mean_u", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((10, 50, 90))])

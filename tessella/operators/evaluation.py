@@ -32,7 +32,7 @@ def pairwise_ks(counts: DataFrame, group: str, marker: str) -> DataFrame:
 def auroc_of_labels(counts: DataFrame, group: list[str], label: str, least: int, bar: float) -> DataFrame:
     """Each label against the rest of its group: (rank sum - n1 (n1 + 1) / 2) / (n1 n0), with ties at mid-rank."""
     totals = counts.groupBy(*group).agg(F.sum("n").alias("t"))
-    u = ranks.joint_mid_rank(counts, group)
+    u = ranks.mid_rank(counts, group)
     g = u.groupBy(*group, label).agg(F.sum("n").alias("n1"), F.sum(F.col("u") * F.col("n")).alias("su")).join(totals, group)
     n1, n0 = F.col("n1"), F.col("t") - F.col("n1")
     area = (F.col("su") * F.col("t") - n1 * (n1 + 1) / 2.0) / (n1 * n0)

@@ -9,6 +9,8 @@ due to it.  What a column alone discriminates, or what its bins are too coarse t
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -178,6 +180,13 @@ def _two_sample(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["load_id", "column_name", "auc", "auc_lost", "auc_alone", "gap_alone"])
 
 
+def _exceeds(part: Column, of: Column, other: Column, other_of: Column, limit: float) -> Column:
+    """Whether two shares differ by more than ``limit``, in whole numbers so that a difference of just that is none."""
+    share = Fraction(limit).limit_denominator(10_000)
+    a, n, b, m = (c.cast("decimal(19,0)") for c in (part, of, other, other_of))
+    return F.abs(a * m - b * n) * share.denominator > n * m * share.numerator
+
+
 def _pairs(loads: DataFrame) -> DataFrame:
     return loads.where("load_id is not null and baseline_load_id is not null").select("load_id", F.col("baseline_load_id").alias("baseline")).distinct()
 
@@ -244,13 +253,13 @@ def distribution_changes(cells: DataFrame, loads: DataFrame, cohorts: DataFrame,
     possible = shares.groupBy("pair", "column_name").agg(F.max("reach").alias("possible"))
     candidates = (
         tested.join(possible, (F.col("pair") == F.col("load_id")) & (possible["column_name"] == tested["column_name"]))
-        .where((F.col("gap_alone") >= least_gap) | (F.col("possible") > limit)).select("pair", tested["column_name"])
+        .where((F.col("gap_alone") >= least_gap) | (F.col("possible") > limit - 1e-9)).select("pair", tested["column_name"])
     )
     candidates = cut(candidates, "candidates")
     # only the bins that can hold the greatest difference are counted value by value; a bin is a task's share
     reaching = F.max("reach").over(column)
     asked = shares.join(candidates, ["pair", "column_name"]).withColumn("most", reaching).where(
-        (F.col("reach") > limit) | (F.col("reach") == F.col("most"))
+        (F.col("reach") > limit - 1e-9) | (F.col("reach") == F.col("most"))
     ).drop("most", "ours", "theirs", "reach")
     involved = asked.select("pair", "column_name", "bin").join(pairs.withColumnRenamed("load_id", "pair"), "pair")
     needed = involved.select(F.col("pair").alias("load_id"), "column_name", "bin").unionByName(involved.select(F.col("baseline").alias("load_id"), "column_name", "bin")).distinct()
@@ -260,9 +269,10 @@ def distribution_changes(cells: DataFrame, loads: DataFrame, cohorts: DataFrame,
     ours, theirs = F.col("before_ours") + F.sum("ours").over(inner), F.col("before_theirs") + F.sum("theirs").over(inner)
     exact = (
         points.join(asked, ["pair", "column_name", "bin"]).withColumn("d", F.abs(ours / F.col("all_ours") - theirs / F.col("all_theirs")))
-        .groupBy(F.col("pair").alias("load_id"), "column_name").agg(F.max("d").alias("difference"))
+        .withColumn("over", _exceeds(ours, F.col("all_ours"), theirs, F.col("all_theirs"), limit))
+        .groupBy(F.col("pair").alias("load_id"), "column_name").agg(F.max("d").alias("difference"), F.max("over").alias("drift"))
     )
-    return tested.join(exact, ["load_id", "column_name"], "left").withColumn("drift", F.coalesce(F.col("difference") > limit, F.lit(False)))
+    return tested.join(exact, ["load_id", "column_name"], "left").withColumn("drift", F.coalesce("drift", F.lit(False)))
 
 
 def load_issues(cells: DataFrame, loads: DataFrame, cohorts: DataFrame, null_limit: float = 0.05, drift_limit: float = 0.2) -> DataFrame:
@@ -275,10 +285,10 @@ def load_issues(cells: DataFrame, loads: DataFrame, cohorts: DataFrame, null_lim
     found = [base.where(F.col(f"outside_{c}") > 0).select("load_id", F.lit(c).alias("column_name"), F.lit("range").alias("issue")) for c in NUMERIC]
     found.append(pattern_violations(cells, cohorts).select("load_id").distinct().select("load_id", F.lit("patient_id").alias("column_name"), F.lit("pattern").alias("issue")))
     columns = (*NUMERIC, "patient_id")
-    rates = base.select("load_id", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), (F.col(f"null_{c}") / F.col("n_rows")).alias("rate")) for c in columns])))
-    other = rates.select(F.col("load_id").alias("baseline"), "column_name", F.col("rate").alias("base_rate"))
+    rates = base.select("load_id", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"null_{c}").alias("n")) for c in columns])), "n_rows")
+    other = rates.select(F.col("load_id").alias("baseline"), "column_name", F.col("n").alias("base_n"), F.col("n_rows").alias("base_rows"))
     compared = rates.join(_pairs(loads), "load_id").join(other, ["baseline", "column_name"])
-    found.append(compared.where(F.abs(F.col("rate") - F.col("base_rate")) > null_limit).select("load_id", "column_name", F.lit("null_rate").alias("issue")))
+    found.append(compared.where(_exceeds(F.col("n"), F.col("n_rows"), F.col("base_n"), F.col("base_rows"), null_limit)).select("load_id", "column_name", F.lit("null_rate").alias("issue")))
     changed = distribution_changes(cells, loads, cohorts, drift_limit).where("drift")
     found.append(changed.select("load_id", "column_name", F.lit("drift").alias("issue")))
     out = found[0]

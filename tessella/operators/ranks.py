@@ -18,38 +18,34 @@ def bucket(v: Column) -> Column:
 
 
 def cumulative(counts: DataFrame, group: list[str], value: str = "v", n: str = "n") -> DataFrame:
-    """``counts`` (one row per group and value) with ``below`` (rows of smaller values) and ``total`` of the group."""
+    """``counts`` with ``below`` (rows of smaller values), ``tie`` (rows of the same value) and ``total`` of the group.
+
+    A group may have several rows of one value, as in counts that are finer than the group.
+    """
     bucketed = counts.withColumn("_b", bucket(F.col(value)))
     sums = bucketed.groupBy(*group, "_b").agg(F.sum(n).alias("_bn"))
     whole = Window.partitionBy(*group)
     offsets = sums.withColumn("_before", F.sum("_bn").over(whole.orderBy("_b")) - F.col("_bn")).withColumn("total", F.sum("_bn").over(whole)).drop("_bn")
-    inner = Window.partitionBy(*group, "_b").orderBy(value)
-    return (
-        bucketed.withColumn("_in", F.sum(n).over(inner) - F.col(n)).join(offsets, [*group, "_b"])
-        .withColumn("below", F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
-    )
+    upto = F.sum(n).over(Window.partitionBy(*group, "_b").orderBy(value))
+    tie = F.sum(n).over(Window.partitionBy(*group, "_b", value))
+    inside = bucketed.withColumn("_upto", upto).withColumn("tie", tie)
+    return inside.join(offsets, [*group, "_b"]).withColumn("below", F.col("_before") + F.col("_upto") - F.col("tie")).drop("_b", "_upto", "_before")
 
 
 def mid_rank(counts: DataFrame, group: list[str], value: str = "v", n: str = "n") -> DataFrame:
-    """``u`` of each group and value: the mean rank of its ties over the group's values, in (0, 1]."""
-    u = (F.col("below") + (F.col(n) + 1) / 2) / F.col("total")
-    return cumulative(counts, group, value, n).withColumn("u", u)
-
-
-def joint_mid_rank(counts: DataFrame, group: list[str], value: str = "v", n: str = "n") -> DataFrame:
-    """``counts`` that are finer than ``group`` (say, also by label), with the mid-rank ``u`` within ``group``."""
-    ranked = mid_rank(counts.groupBy(*group, value).agg(F.sum(n).alias("_n")), group, value, "_n")
-    return counts.join(ranked.select(*group, value, "u"), [*group, value])
+    """``counts`` with ``u``: the mean rank of the value's ties over the group's rows, in (0, 1]."""
+    u = (F.col("below") + (F.col("tie") + 1) / 2) / F.col("total")
+    return cumulative(counts, group, value, n).withColumn("u", u).drop("below", "tie", "total")
 
 
 def quantiles(counts: DataFrame, group: list[str], levels: list[float], value: str = "v", n: str = "n", name: str = "q") -> DataFrame:
     """Exact quantiles (linear between neighbouring ranks) of each group as an array, with the group's rows ``rows``."""
-    cum = cumulative(counts.groupBy(*group, value).agg(F.sum(n).alias("_n")), group, value, "_n")
+    cum = cumulative(counts, group, value, n)
     aggregates, results = [], []
     for i, level in enumerate(levels):
         at = F.lit(float(level)) * (F.col("total") - 1)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("_n"))
+            hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("tie"))
             aggregates.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{i}"))
         place = F.lit(float(level)) * (F.col("rows") - 1)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")

@@ -23,9 +23,9 @@ def patience(df: DataFrame, group: str, order: str, value: str, steps: int) -> D
     """Rows of each series that lie ``steps`` or more after the last new minimum."""
     w = Window.partitionBy(group).orderBy(order)
     best = F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("best", best).withColumn("i", F.row_number().over(w))
-    good = F.when(F.col("best").isNull() | (F.col(value) < F.col("best")), F.col("i"))
-    return marked.withColumn("last_good", F.max(good).over(w)).where(F.col("i") - F.col("last_good") >= steps)
+    marked = df.withColumn("_best", best).withColumn("_i", F.row_number().over(w))
+    good = F.when(F.col("_best").isNull() | (F.col(value) < F.col("_best")), F.col("_i"))
+    return marked.withColumn("_good", F.max(good).over(w)).where(F.col("_i") - F.col("_good") >= steps).drop("_best", "_i", "_good")
 
 
 def skewed_and_balanced(cells: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def quantile9(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {U} SELECT cohort, label, marker, round(avg(u), 6) AS mean_u FROM u GROUP BY 1, 2, 3")
 def mean_rank(spark: SparkSession, d: str) -> DataFrame:
     """Mean rank per label and marker."""
-    ranked = ranks.joint_mid_rank(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "marker"])
+    ranked = ranks.mid_rank(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "marker"])
     return ranked.groupBy("cohort", "label", "marker").agg(F.round(F.sum(F.col("u") * F.col("n")) / F.sum("n"), 6).alias("mean_u"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.cells import STAND_INS, finite
+from tessella.plans.materialize import cut
 
 from .tables import table
 
@@ -14,7 +15,8 @@ MARKERS = {"area": "area_px2", "dnx": "raw_dnx", "velk2": "raw_velk2", "orsa1":
 
 def standard_label(column: Column) -> Column:
     """Lower case, with runs of white space, ``_`` and ``-`` as one space, trimmed."""
-    return F.lower(F.trim(F.regexp_replace(column, r"[\s_-]+", " ")))
+    spaced = F.translate(column, "\t\n\x0b\f\r_-", " " * 7)
+    return F.lower(F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)))
 
 
 def null_like(column: Column) -> Column:
@@ -42,5 +44,8 @@ def long_values(cells: DataFrame, *keys: str) -> DataFrame:
 
 
 def value_counts(cells: DataFrame, *keys: str) -> DataFrame:
-    """Rows of each distinct value per ``keys`` and marker: what ranks and quantiles need of the rows."""
-    return long_values(cells, *keys).groupBy(*keys, "marker", "v").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each distinct value per ``keys`` and marker: what ranks and quantiles need of the rows.
+
+    Ranks read it more than once, so it is written once instead of being counted from the rows each time.
+    """
+    return cut(long_values(cells, *keys).groupBy(*keys, "marker", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
