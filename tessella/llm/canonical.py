@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.materialize import cut
+from tessella.plans.materialize import cut, task_count
 
 from .bktree import BKTree
 from .names import bare_names, id_key, key, plain, split_member
@@ -90,7 +90,7 @@ def _search(queries: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "stem", "distance", "canon_id", "ref_member"])
 
 
-def match_values(values: DataFrame, reference: DataFrame, shard_names: int = 20_000, shard_queries: int = 20_000) -> DataFrame:
+def match_values(values: DataFrame, reference: DataFrame, shard_names: int = 20_000, shard_queries: int = 2_000) -> DataFrame:
     """``value`` and ``canon_id`` for each distinct typed value that denotes exactly one entry, with ``distance``.
 
     ``values`` has one string column ``value``.  A shard holds at most about ``shard_names`` names and is asked for
@@ -98,7 +98,8 @@ def match_values(values: DataFrame, reference: DataFrame, shard_names: int = 20_
     without the asked member, and a tie between entries, denote nothing.
     """
     distinct = values.where("value is not null").distinct()
-    read = cut(distinct.repartition(distinct.sparkSession.sparkContext.defaultParallelism * 2, "value").mapInPandas(_read, "value string, kind string, stem string, member string"), "readings")
+    tasks = task_count(values.sparkSession)
+    read = cut(distinct.repartition(tasks, "value").mapInPandas(_read, "value string, kind string, stem string, member string"), "readings")
     names = reference_names(reference)
     asked = read.select("kind", "stem").distinct()
     shards = max(1, -(-names.count() // shard_names))
@@ -109,7 +110,7 @@ def match_values(values: DataFrame, reference: DataFrame, shard_names: int = 20_
     )
     right = names.withColumn("shard", shard).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = (
-        left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt"))
+        left.repartition(tasks, "shard", "salt").groupBy("shard", "salt").cogroup(right.repartition(tasks, "shard", "salt").groupBy("shard", "salt"))
         .applyInPandas(_search, "kind string, stem string, distance int, canon_id string, ref_member string")
     )
     nearest = found.withColumn("least", F.min("distance").over(Window.partitionBy("kind", "stem"))).where("distance = least")

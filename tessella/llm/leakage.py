@@ -3,7 +3,8 @@
 1. Scan.  Every text is reduced to words; runs of ``seed`` words that also stand in an item are hits, and hits lying
    close together, with some words around them, form a passage.  Only passages leave the scan.
 2. Rarity.  Hits are counted over the corpus, and of every window of ``window`` consecutive item words the rarest seed
-   is chosen.  Each window keeps a seed, so a text that repeats a whole window is always met.
+   is chosen.  Each window keeps a seed, so a text that repeats a whole window is always met.  Seeds that stand in one
+   item alone are chosen as well, for copies whose edits leave no whole window.
 3. Join.  Passages and items that share a chosen seed become candidates, equal passages once.
 4. Alignment.  Smith-Waterman over words scores each candidate and finds its longest run of equal words.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.plans.materialize import cut, small_batches
+from tessella.plans.materialize import cut, small_batches, task_count
 
 from .texwords import tex_words, word_runs
 
@@ -183,15 +184,16 @@ def _block(texts: DataFrame, held: list, kinds: tuple[str, str], seed: int, wind
     choice = F.min(F.struct("n", "gram")).over(
         Window.partitionBy("item_id").orderBy("at").rowsBetween(0, max(0, span - 1))
     )
-    chosen = (
-        ranked.withColumn("best", choice).where("best.n > 0").select("item_id", F.col("best.gram").alias("gram")).distinct()
-    )
+    rarest = ranked.withColumn("best", choice).where("best.n > 0").select("item_id", F.col("best.gram").alias("gram"))
+    # what stands in one item alone points to it even where no whole window was kept
+    own = ranked.where("n > 0").groupBy("gram").agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("other")).where("item_id = other")
+    chosen = rarest.unionByName(own.select("item_id", "gram")).distinct()
     passages = scanned.select("passage_no", "passage", "seeds").dropDuplicates(["passage_no", "passage"])
     candidates = (
         passages.select("passage_no", F.explode("seeds").alias("gram")).join(chosen, "gram").select("passage_no", "item_id").distinct()
     )
     tasks = candidates.join(passages.select("passage_no", "passage"), "passage_no").join(items.select("item_id", "item_words"), "item_id")
-    tasks = tasks.repartition(F.col("passage_no"), F.col("item_id"))
+    tasks = tasks.repartition(task_count(spark), "passage_no", "item_id")
     aligned = tasks.mapInPandas(_aligned, f"passage_no string, item_id {kinds[1]}, score int, equal_words int, longest_run int")
     sized = items.select("item_id", F.size("item_words").alias("item_words"))
     return (
