@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.plans.materialize import cut
 
 from . import ranks
@@ -114,7 +115,7 @@ def place(dist: DataFrame, members: DataFrame, held: str, most: float) -> DataFr
     side = rows.select(F.when(ours, F.col("label_a")).otherwise(F.col("label_b")).alias("label"), F.when(ours, F.col("cohort_b")).otherwise(F.col("cohort_a")).alias("in_cohort"), F.when(ours, F.col("label_b")).otherwise(F.col("label_a")).alias("in_label"), "distance")
     m = members.where(F.col("cohort") != held).select(F.col("cohort").alias("in_cohort"), F.col("label").alias("in_label"), "cluster")
     mean = side.join(m, ["in_cohort", "in_label"]).groupBy("label", "cluster").agg(F.avg("distance").alias("distance"))
-    first = mean.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.round("distance", 9), "cluster"))).where("rn = 1")
+    first = mean.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(fixed("distance", 9), "cluster"))).where("rn = 1")
     return first.select("label", F.when((F.col("distance") <= most) & (F.col("distance") < FAR), F.col("cluster")).otherwise(-1).alias("cluster"), "distance")
 
 
@@ -126,7 +127,7 @@ def name_clusters(scaled: DataFrame, members: DataFrame) -> DataFrame:
     cohorts = scaled.groupBy("marker").agg(F.count_distinct("cohort").alias("n"))
     w = Window.partitionBy("marker")
     sd = F.stddev_pop("c").over(w)
-    z = centre.join(size, "cluster").join(cohorts, "marker").withColumn("z", F.round((F.col("c") - F.avg("c").over(w)) / F.when(sd != 0, sd), 6)).where("k * 2 >= size and n >= 3 and z is not null")
+    z = centre.join(size, "cluster").join(cohorts, "marker").withColumn("z", fixed((F.col("c") - F.avg("c").over(w)) / F.when(sd != 0, sd), 6)).where("k * 2 >= size and n >= 3 and z is not null")
     v = Window.partitionBy("cluster")
     r = z.withColumn("hi", F.row_number().over(v.orderBy(F.desc("z"), "marker"))).withColumn("lo", F.row_number().over(v.orderBy("z", "marker")))
     part = F.when((F.col("hi") <= 3) & (F.col("z") > 0.8), F.concat("marker", F.lit("+"))).when((F.col("lo") == 1) & (F.col("z") < -1.2), F.concat("marker", F.lit("-")))

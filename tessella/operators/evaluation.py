@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
+
 from . import ranks
 
 
@@ -36,7 +38,7 @@ def auroc_of_labels(counts: DataFrame, group: list[str], label: str, least: int,
     g = u.groupBy(*group, label).agg(F.sum("n").alias("n1"), F.sum(F.col("u") * F.col("n")).alias("su")).join(totals, group)
     n1, n0 = F.col("n1"), F.col("t") - F.col("n1")
     area = (F.col("su") * F.col("t") - n1 * (n1 + 1) / 2.0) / (n1 * n0)
-    return g.where((n1 >= least) & (n0 >= least)).select(*group, label, F.round(area, 6).alias("auroc"), (area >= bar).alias("pass"))
+    return g.where((n1 >= least) & (n0 >= least)).select(*group, label, fixed(area, 6).alias("auroc"), (area >= bar).alias("pass"))
 
 
 def class_scores(pairs: DataFrame, group: list[str]) -> DataFrame:
@@ -55,14 +57,14 @@ def class_scores(pairs: DataFrame, group: list[str]) -> DataFrame:
 def chance_levels(counts: DataFrame, group: str, n: str) -> DataFrame:
     total = F.sum(n).over(Window.partitionBy(group)).cast("double")
     p = counts.withColumn("p", F.col(n) / total)
-    return p.groupBy(group).agg(F.round(F.max("p"), 6).alias("majority"), F.round(F.sum(F.col("p") * F.col("p")), 6).alias("chance"), F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("bits"))
+    return p.groupBy(group).agg(fixed(F.max("p"), 6).alias("majority"), fixed(F.sum(F.col("p") * F.col("p")), 6).alias("chance"), fixed(-F.sum(F.col("p") * F.log2("p")), 6).alias("bits"))
 
 
 def explained_by(counts: DataFrame, group: list[str], label: str) -> DataFrame:
     v, n = F.col("v"), F.col("n")
     c = counts.groupBy(*group, label).agg(F.sum(n).alias("n"), F.sum(v * n).alias("s"), F.sum(v * v * n).alias("ss"))
     g = c.groupBy(*group).agg((F.sum("ss") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("sse"), (F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n")).alias("sst"))
-    return g.select(*group, F.round(F.when(F.col("sst") > 1e-12, 1 - F.col("sse") / F.col("sst")), 5).alias("r2"))
+    return g.select(*group, fixed(F.when(F.col("sst") > 1e-12, 1 - F.col("sse") / F.col("sst")), 5).alias("r2"))
 
 
 def _choose2(x):
@@ -81,7 +83,7 @@ def adjusted_rand(parts: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     x = pairs(t, "ij").join(pairs(rows, "i")).join(pairs(columns, "j")).join(t.agg(_choose2(F.sum("n")).alias("c")))
     expected = F.col("i") * F.col("j") / F.when(F.col("c") != 0, F.col("c"))
     room = (F.col("i") + F.col("j")) / 2 - expected
-    return x.select(F.round(F.coalesce((F.col("ij") - expected) / F.when(room != 0, room), F.lit(0.0)), 6).alias("ari"))
+    return x.select(fixed(F.coalesce((F.col("ij") - expected) / F.when(room != 0, room), F.lit(0.0)), 6).alias("ari"))
 
 
 def information(parts: DataFrame, a: str, b: str) -> DataFrame:
@@ -95,7 +97,7 @@ def information(parts: DataFrame, a: str, b: str) -> DataFrame:
     shared = F.col("ha") + F.col("hb") - F.col("hab")
 
     def share(of):
-        return F.round(shared / F.when(of != 0, of), 6)
+        return fixed(shared / F.when(of != 0, of), 6)
 
     both = (F.col("ha") + F.col("hb")) / 2
     return x.select(share(both).alias("nmi"), share(F.col("ha")).alias("homogeneity"), share(F.col("hb")).alias("completeness"), share(both).alias("v"))
@@ -110,7 +112,7 @@ def pair_counts(parts: DataFrame, a: str, b: str) -> DataFrame:
 
     x = pairs(t, "both").join(pairs(t.groupBy(a).agg(F.sum("n").alias("n")), "i")).join(pairs(t.groupBy(b).agg(F.sum("n").alias("n")), "j")).join(t.agg(_choose2(F.sum("n")).alias("c")))
     agree = F.col("c") - F.col("i") - F.col("j") + 2 * F.col("both")
-    return x.select(F.col("c").cast("long").alias("n_pairs"), F.round(agree / F.col("c"), 6).alias("agreement"), F.col("both").cast("long").alias("both"))
+    return x.select(F.col("c").cast("long").alias("n_pairs"), fixed(agree / F.col("c"), 6).alias("agreement"), F.col("both").cast("long").alias("both"))
 
 
 def bootstrap(df: DataFrame, group: str, order: str, value: str, times: int) -> DataFrame:
@@ -121,7 +123,7 @@ def bootstrap(df: DataFrame, group: str, order: str, value: str, times: int) ->
     drawn = rows.select(group, "i", "n", s.alias("s"))
     at = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("s").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
     means = drawn.withColumn("at", at).join(rows.select(group, F.col("i").alias("at"), F.col(value).alias("x")), [group, "at"]).groupBy(group, "s").agg(F.avg("x").alias("m"))
-    return means.groupBy(group).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    return means.groupBy(group).agg(fixed(F.percentile("m", F.lit(0.025)), 6).alias("low"), fixed(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 
 def permutation(parts: DataFrame, order: list[str], a: str, b: str, times: int) -> DataFrame:
@@ -138,19 +140,19 @@ def permutation(parts: DataFrame, order: list[str], a: str, b: str, times: int)
     null = same(moved.join(rows.select("i", b), "i"), "s")
     observed = same(rows).withColumnRenamed("same", "observed")
     p = (1 + F.count_if(F.col("same") >= F.col("observed"))) / F.lit(times + 1)
-    return null.join(observed).groupBy("observed").agg(F.round(p, 6).alias("p_value"), F.percentile("same", F.lit(0.999)).alias("top"))
+    return null.join(observed).groupBy("observed").agg(fixed(p, 6).alias("p_value"), F.percentile("same", F.lit(0.999)).alias("top"))
 
 
 def many_to_one(pairs: DataFrame, group: list[str]) -> DataFrame:
     n = pairs.groupBy(*group, "pred", "truth").agg(F.sum("n").alias("n"))
     top = n.groupBy(*group, "pred").agg(F.max("n").alias("top"), F.sum("n").alias("total"))
-    return top.groupBy(*group).agg(F.round(F.sum("top") / F.sum("total"), 6).alias("agreement"))
+    return top.groupBy(*group).agg(fixed(F.sum("top") / F.sum("total"), 6).alias("agreement"))
 
 
 def rank_aligned_gaps(scores: DataFrame) -> DataFrame:
     r = scores.select("cohort", "f1", F.row_number().over(Window.partitionBy("cohort").orderBy(F.desc("f1"), "class")).alias("rank"))
     b = r.select("rank", F.col("cohort").alias("cohort_b"), F.col("f1").alias("f1_b"))
-    return r.join(b, "rank").where("cohort < cohort_b").groupBy(F.col("cohort").alias("cohort_a"), "cohort_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("f1") - F.col("f1_b")), 6).alias("mean_gap"))
+    return r.join(b, "rank").where("cohort < cohort_b").groupBy(F.col("cohort").alias("cohort_a"), "cohort_b").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg(F.col("f1") - F.col("f1_b")), 6).alias("mean_gap"))
 
 
 def _assign(gain: np.ndarray) -> list[tuple[int, int]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.names import ascii_key
+from tessella.functions.numbers import fixed
 
 SOURCES = ("symbol", "alias", "prev", "full")
 
@@ -58,7 +59,7 @@ def top_hit(reference: DataFrame) -> DataFrame:
 
 def outcome_shares(resolved: DataFrame, group: str, outcome: str) -> DataFrame:
     counts = resolved.groupBy(group, outcome).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)), 6))
+    return counts.withColumn("pct", fixed(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)), 6))
 
 
 def never_merge(resolved: DataFrame, reference: DataFrame) -> DataFrame:

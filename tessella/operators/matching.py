@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
+
 
 def standard_profiles(counts: DataFrame, group: list[str], label: str, least: int) -> DataFrame:
     """Mean per (group, label, marker) with at least ``least`` rows, standardised over the labels; NULL if all agree."""
@@ -27,14 +29,14 @@ def squares(profiles: DataFrame, least_shared: int) -> DataFrame:
 
 def profile_distances(profiles: DataFrame, least_shared: int) -> DataFrame:
     """Each unordered pair of labels of different cohorts with its number of shared markers and distance."""
-    return squares(profiles, least_shared).where("cohort_a < cohort_b").withColumn("distance", F.round("distance", 6))
+    return squares(profiles, least_shared).where("cohort_a < cohort_b").withColumn("distance", fixed("distance", 6))
 
 
 def nearest(profiles: DataFrame, least_shared: int, most: float) -> DataFrame:
     """The nearest label of each other cohort; ties go to the alphabetically first, and beyond ``most`` it is NOVEL."""
-    order = Window.partitionBy("cohort_a", "label_a", "cohort_b").orderBy(F.round("distance", 9), "label_b")
+    order = Window.partitionBy("cohort_a", "label_a", "cohort_b").orderBy(fixed("distance", 9), "label_b")
     first = squares(profiles, least_shared).withColumn("rn", F.row_number().over(order)).where("rn = 1")
     return first.select(
         F.col("cohort_a").alias("cohort"), F.col("label_a").alias("label"), F.col("cohort_b").alias("other"),
-        F.when(F.col("distance") <= most, F.col("label_b")).otherwise("NOVEL").alias("nearest"), F.round("distance", 6).alias("distance"),
+        F.when(F.col("distance") <= most, F.col("label_b")).otherwise("NOVEL").alias("nearest"), fixed("distance", 6).alias("distance"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors
+from tessella.functions.numbers import fixed
 from tessella.plans.materialize import broadcast_up_to
 
 
@@ -36,7 +37,7 @@ def scores(df: DataFrame, centroids: DataFrame, vector: str = "x") -> DataFrame:
 
 def best(scored: DataFrame, key: str = "vec_id") -> DataFrame:
     """The nearest prototype, the smaller of equals."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.round("cosine", 9)), "prototype")
+    w = Window.partitionBy(key).orderBy(F.desc(fixed("cosine", 9)), "prototype")
     return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
+
 
 def tie_mass(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Share of each group's most common value and the number of values; NULL is a value."""
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(*group).agg(F.round(F.max("n") / F.sum("n"), 6).alias("tie_mass"), F.count(F.lit(1)).alias("n_values"))
+    return counts.groupBy(*group).agg(fixed(F.max("n") / F.sum("n"), 6).alias("tie_mass"), F.count(F.lit(1)).alias("n_values"))
 
 
 def entropy(df: DataFrame, group: list[str], category: str) -> DataFrame:
@@ -17,4 +19,4 @@ def entropy(df: DataFrame, group: list[str], category: str) -> DataFrame:
     counts = df.groupBy(*group, category).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*group)
     p = counts.withColumn("p", F.col("n") / F.sum("n").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("n"), category)))
-    return p.groupBy(*group).agg(F.round(-F.sum(F.col("p") * F.ln(F.col("p") + 1e-12)), 6).alias("entropy"), F.max(F.when(F.col("rn") == 1, F.col(category))).alias("dominant"))
+    return p.groupBy(*group).agg(fixed(-F.sum(F.col("p") * F.ln(F.col("p") + 1e-12)), 6).alias("entropy"), F.max(F.when(F.col("rn") == 1, F.col(category))).alias("dominant"))

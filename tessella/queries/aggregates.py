@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import ranks
 from tessella.operators.summaries import entropy, tie_mass
 from tessella.sources.standard import long_values, standard_cells, value_counts
@@ -19,14 +20,14 @@ REGISTRY = register = Registry()
 def freq_share(spark: SparkSession, d: str) -> DataFrame:
     """Frequency and share."""
     counts = standard_cells(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(counts.agg(F.sum("n").alias("total"))).select("label", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
+    return counts.join(counts.agg(F.sum("n").alias("total"))).select("label", "n", fixed(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
 
 
 @register(f"WITH {M} SELECT cohort, label, round(count(*) / (sum(count(*)) OVER (PARTITION BY cohort))::DOUBLE, 6) AS share FROM m GROUP BY 1, 2")
 def share_in_group(spark: SparkSession, d: str) -> DataFrame:
     """Frequency normalised within the cohort."""
     counts = standard_cells(spark, d).groupBy("cohort", "label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("cohort", "label", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("cohort")), 6).alias("share"))
+    return counts.select("cohort", "label", fixed(F.col("n") / F.sum("n").over(Window.partitionBy("cohort")), 6).alias("share"))
 
 
 @register(f"WITH {M} SELECT label, count(DISTINCT cohort) AS n_cohorts, count(DISTINCT image_id) AS n_images FROM m GROUP BY 1 HAVING count(DISTINCT cohort) >= 2")
@@ -40,7 +41,7 @@ def shared_by_k(spark: SparkSession, d: str) -> DataFrame:
 def extent(spark: SparkSession, d: str) -> DataFrame:
     """Range per slide, then its mean."""
     slides = standard_cells(spark, d).groupBy("cohort", "image_id").agg((F.max("x_px") - F.min("x_px")).alias("w"))
-    return slides.groupBy("cohort").agg(F.round(F.avg("w"), 6).alias("mean_width"))
+    return slides.groupBy("cohort").agg(fixed(F.avg("w"), 6).alias("mean_width"))
 
 
 @register(f"""WITH {M}, s AS (SELECT cohort, image_id, count(*) AS n FROM m GROUP BY 1, 2),
@@ -58,7 +59,7 @@ def size_median(spark: SparkSession, d: str) -> DataFrame:
 def group_iqr(spark: SparkSession, d: str) -> DataFrame:
     """Median and interquartile range per slide and marker."""
     q = ranks.quantiles(value_counts(standard_cells(spark, d), "cohort", "image_id"), ["cohort", "image_id", "marker"], [0.25, 0.5, 0.75])
-    return q.select("cohort", "image_id", "marker", F.round(F.col("q")[1], 6).alias("med"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
+    return q.select("cohort", "image_id", "marker", fixed(F.col("q")[1], 6).alias("med"), fixed(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
 
 
 LEVELS = [0.02, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.98]
@@ -68,14 +69,14 @@ LEVELS = [0.02, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.98]
 def quantile9(spark: SparkSession, d: str) -> DataFrame:
     """Nine quantiles per label and marker."""
     q = ranks.quantiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "label", "marker"], LEVELS)
-    return q.select("cohort", "label", "marker", F.col("rows").alias("n"), *[F.round(F.col("q")[i], 6).alias(f"q{int(x * 100):02d}") for i, x in enumerate(LEVELS)])
+    return q.select("cohort", "label", "marker", F.col("rows").alias("n"), *[fixed(F.col("q")[i], 6).alias(f"q{int(x * 100):02d}") for i, x in enumerate(LEVELS)])
 
 
 @register(f"WITH {U} SELECT cohort, label, marker, round(avg(u), 6) AS mean_u FROM u GROUP BY 1, 2, 3")
 def mean_rank(spark: SparkSession, d: str) -> DataFrame:
     """Mean rank per label and marker."""
     ranked = ranks.mid_rank(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "marker"])
-    return ranked.groupBy("cohort", "label", "marker").agg(F.round(F.sum(F.col("u") * F.col("n")) / F.sum("n"), 6).alias("mean_u"))
+    return ranked.groupBy("cohort", "label", "marker").agg(fixed(F.sum(F.col("u") * F.col("n")) / F.sum("n"), 6).alias("mean_u"))
 
 
 _CORR = ("raw_dnx", "raw_velk2", "raw_orsa1")
@@ -91,7 +92,7 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     def r(a: str, b: str):
         var = F.var_pop(a) * F.var_pop(b)
         steady = (F.stddev_pop(a) > 1e-6) & (F.stddev_pop(b) > 1e-6)
-        return F.round(F.when(steady, F.covar_pop(a, b) / F.sqrt(F.when(var > 0, var))), 5).alias(f"r_{a[4:]}_{b[4:]}")
+        return fixed(F.when(steady, F.covar_pop(a, b) / F.sqrt(F.when(var > 0, var))), 5).alias(f"r_{a[4:]}_{b[4:]}")
 
     return rows.groupBy("cohort", "label").agg(F.count(F.lit(1)).alias("n"), r("raw_dnx", "raw_velk2"), r("raw_dnx", "raw_orsa1"), r("raw_velk2", "raw_orsa1")).where("n >= 100")
 
@@ -100,13 +101,13 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
 def prevalence(spark: SparkSession, d: str) -> DataFrame:
     """Prevalence over all rows."""
     counts = standard_cells(spark, d).groupBy("cohort", "label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(counts.agg(F.sum("n").alias("total"))).select("cohort", "label", "n", F.round(F.col("n") / F.col("total"), 8).alias("prevalence"))
+    return counts.join(counts.agg(F.sum("n").alias("total"))).select("cohort", "label", "n", fixed(F.col("n") / F.col("total"), 8).alias("prevalence"))
 
 
 @register(f"WITH {M} SELECT cohort, round(var_samp(conf), 6) AS var_1, round(stddev_pop(conf), 6) AS std_0 FROM m GROUP BY 1")
 def sample_and_population(spark: SparkSession, d: str) -> DataFrame:
     """Sample variance and population deviation."""
-    return standard_cells(spark, d).groupBy("cohort").agg(F.round(F.var_samp("conf"), 6).alias("var_1"), F.round(F.stddev_pop("conf"), 6).alias("std_0"))
+    return standard_cells(spark, d).groupBy("cohort").agg(fixed(F.var_samp("conf"), 6).alias("var_1"), fixed(F.stddev_pop("conf"), 6).alias("std_0"))
 
 
 @register(f"WITH {M}, c AS (SELECT cohort, raw_dnx AS v, count(*) AS n FROM m GROUP BY 1, 2) SELECT cohort, round(max(n) / sum(n)::DOUBLE, 6) AS tie_mass, count(*) AS n_values FROM c GROUP BY 1")
@@ -123,18 +124,18 @@ def dynamic_range(spark: SparkSession, d: str) -> DataFrame:
     counts = value_counts(standard_cells(spark, d), "cohort")
     q = ranks.quantiles(counts, ["cohort", "marker"], [0.01, 0.25, 0.75, 0.99])
     width = F.col("q")[3] - F.col("q")[0]
-    disp = q.select("cohort", "marker", F.round(F.when(width > 1e-12, (F.col("q")[2] - F.col("q")[1]) / width).otherwise(0.0), 6).alias("dispersion"))
+    disp = q.select("cohort", "marker", fixed(F.when(width > 1e-12, (F.col("q")[2] - F.col("q")[1]) / width).otherwise(0.0), 6).alias("dispersion"))
     u = ranks.mid_rank(counts, ["cohort", "marker"])
     n, s, ss = F.sum("n"), F.sum(F.col("u") * F.col("n")), F.sum(F.col("u") * F.col("u") * F.col("n"))
     spread = u.groupBy("cohort", "marker").agg((12 * (ss - s * s / n) / F.when(n > 1, n - 1)).alias("s"))
-    return disp.join(spread, ["cohort", "marker"]).select("cohort", "marker", "dispersion", F.round("s", 6).alias("rank_spread"), (F.col("s") < 0.2).alias("excluded"))
+    return disp.join(spread, ["cohort", "marker"]).select("cohort", "marker", "dispersion", fixed("s", 6).alias("rank_spread"), (F.col("s") < 0.2).alias("excluded"))
 
 
 @register(f"WITH {M} SELECT cohort, count(*) AS n, min(conf) AS low, max(conf) AS high, round(avg(CASE WHEN conf < 0.5 THEN 1 ELSE 0 END), 6) AS share_low FROM m GROUP BY ROLLUP (cohort)")
 def total_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Several measures at once, with a grand total."""
     low = F.when(F.col("conf") < 0.5, 1).otherwise(0)
-    return standard_cells(spark, d).rollup("cohort").agg(F.count(F.lit(1)).alias("n"), F.min("conf").alias("low"), F.max("conf").alias("high"), F.round(F.avg(low), 6).alias("share_low"))
+    return standard_cells(spark, d).rollup("cohort").agg(F.count(F.lit(1)).alias("n"), F.min("conf").alias("low"), F.max("conf").alias("high"), fixed(F.avg(low), 6).alias("share_low"))
 
 
 @register(f"""WITH {M}, c AS (SELECT cohort, image_id, label, count(*) AS n FROM m GROUP BY 1, 2, 3), p AS (SELECT *, n / sum(n) OVER (PARTITION BY cohort, image_id)::DOUBLE AS p,
@@ -183,7 +184,7 @@ SELECT round(corr(log10(greatest(n, 1)), k), 6) AS r, count(*) AS n_images FROM
 def log_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of slide size (log10) and number of labels."""
     s = standard_cells(spark, d).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("image_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    return s.agg(F.round(F.corr(F.log10(F.greatest("n", F.lit(1))), "k"), 6).alias("r"), F.count(F.lit(1)).alias("n_images"))
+    return s.agg(fixed(F.corr(F.log10(F.greatest("n", F.lit(1))), "k"), 6).alias("r"), F.count(F.lit(1)).alias("n_images"))
 
 
 @register(f"""WITH {M}, s AS (SELECT label, count(DISTINCT cohort) AS k, count(*) AS n FROM m GROUP BY 1)
@@ -200,7 +201,7 @@ def mean_sem(spark: SparkSession, d: str) -> DataFrame:
     """A mean per load first, then mean and standard error over loads."""
     a = standard_cells(spark, d).groupBy("cohort", "load_id").agg(F.avg("area_px2").alias("x"))
     n = F.count("x")
-    return a.groupBy("cohort").agg(n.alias("n"), F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_samp("x") / F.sqrt(n), 5).alias("sem"))
+    return a.groupBy("cohort").agg(n.alias("n"), fixed(F.avg("x"), 5).alias("mean"), fixed(F.stddev_samp("x") / F.sqrt(n), 5).alias("sem"))
 
 
 @register(f"""WITH {M}, k AS (SELECT cohort, label, count(*) AS w FROM m GROUP BY 1, 2), j AS (SELECT w, (x.cluster_name = k.label)::INT AS ok FROM k JOIN label_map x USING (cohort, label))
@@ -209,4 +210,4 @@ def two_accuracies(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy weighted by cells, and by labels."""
     k = standard_cells(spark, d).groupBy("cohort", "label").agg(F.count(F.lit(1)).alias("w"))
     j = k.join(table(spark, d, "label_map").select("cohort", "label", "cluster_name"), ["cohort", "label"]).withColumn("ok", (F.col("cluster_name") == F.col("label")).cast("int"))
-    return j.agg(F.round(F.sum(F.col("w") * F.col("ok")) / F.sum("w"), 6).alias("weighted"), F.round(F.avg("ok"), 6).alias("unweighted"))
+    return j.agg(fixed(F.sum(F.col("w") * F.col("ok")) / F.sum("w"), 6).alias("weighted"), fixed(F.avg("ok"), 6).alias("unweighted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import alignment as al
 from tessella.operators import linkage
 from tessella.plans.materialize import cut
@@ -48,7 +49,7 @@ def _distances(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: fixed(c, digits) for c in columns})
 
 
 @register(f"WITH {_SIG} SELECT cohort, label, marker, n, round(mean_u, 6) AS mean_u, round(q10, 6) AS q10, round(q50, 6) AS q50, round(q90, 6) AS q90 FROM sig")
@@ -178,7 +179,7 @@ def noninterference(spark: SparkSession, d: str) -> DataFrame:
     counts = value_counts(standard_cells(spark, d), "cohort", "label")
     without = al.signatures(counts.where("cohort <> 'UMBRA'")).select("cohort", "label", "marker", F.col("mean_u").alias("before"))
     both = al.signatures(counts).join(without, ["cohort", "label", "marker"])
-    return both.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("mean_u") - F.col("before"))), 12).alias("max_change"))
+    return both.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), fixed(F.max(F.abs(F.col("mean_u") - F.col("before"))), 9).alias("max_change"))
 
 
 CUTS = [round(0.30 + 0.1 * i, 4) for i in range(13)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import graphs, matching
 from tessella.plans.materialize import cut
 from tessella.sources.standard import standard_cells, value_counts
@@ -24,7 +25,7 @@ _REACH = _EDGES + ", reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Each label to its two nearest labels of other cohorts."""
     profiles = matching.standard_profiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort"], "label", least=100)
-    w = Window.partitionBy("cohort_a", "label_a").orderBy(F.round("distance", 9), "label_b", "cohort_b")
+    w = Window.partitionBy("cohort_a", "label_a").orderBy(fixed("distance", 9), "label_b", "cohort_b")
     near = matching.squares(cut(profiles, "profiles"), 3).withColumn("rn", F.row_number().over(w)).where("rn <= 2")
     return cut(near.select(F.concat_ws("|", "cohort_a", "label_a").alias("a"), F.concat_ws("|", "cohort_b", "label_b").alias("b")), "edges")
 

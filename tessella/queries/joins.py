@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import matching, schema
 from tessella.sources.standard import long_values, standard_cells, value_counts
 from tessella.sources.tables import table
@@ -44,10 +45,10 @@ SELECT l.load_id, a.n AS n_new, b.n AS n_old, round(a.conf - b.conf, 6) AS conf_
 def version_compare(spark: SparkSession, d: str) -> DataFrame:
     """C4: two versions of one summary side by side."""
     rows = table(spark, d, "cells").where("label_confidence is not null and not isnan(label_confidence)")
-    s = rows.groupBy("load_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("label_confidence").cast("double")), 6).alias("conf"))
+    s = rows.groupBy("load_id").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg(F.col("label_confidence").cast("double")), 6).alias("conf"))
     old = s.select(F.col("load_id").alias("baseline_load_id"), F.col("n").alias("n_old"), F.col("conf").alias("old"))
     pairs = table(spark, d, "loads").select("load_id", "baseline_load_id")
-    return pairs.join(s, "load_id").join(old, "baseline_load_id").select("load_id", F.col("n").alias("n_new"), "n_old", F.round(F.col("conf") - F.col("old"), 6).alias("conf_change"))
+    return pairs.join(s, "load_id").join(old, "baseline_load_id").select("load_id", F.col("n").alias("n_new"), "n_old", fixed(F.col("conf") - F.col("old"), 6).alias("conf_change"))
 
 
 @register(f"WITH {M} SELECT coalesce(x.cluster, -1) AS cluster, count(*) AS n FROM m LEFT JOIN label_map x ON x.cohort = m.cohort AND x.label = m.label GROUP BY 1")

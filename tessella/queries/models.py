@@ -10,6 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import evaluation as ev
 from tessella.operators import gates, prototypes, sampling
 from tessella.plans.materialize import broadcast_up_to
@@ -40,7 +41,7 @@ def loco_centroid(spark: SparkSession, d: str) -> DataFrame:
     """Leave-one-group-out macro-F1 of the nearest centroid, all folds in one job."""
     pairs = prototypes.best(_scored(spark, d)).groupBy("fold", F.col("label").alias("truth"), F.col("prototype").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
     s = ev.class_scores(pairs, ["fold"])
-    return s.groupBy("fold").agg(F.count(F.lit(1)).alias("n_classes"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+    return s.groupBy("fold").agg(F.count(F.lit(1)).alias("n_classes"), fixed(F.avg("f1"), 6).alias("macro_f1"))
 
 
 GRID = [round(0.25 * i, 2) for i in range(1, 13)]
@@ -50,14 +51,14 @@ GRID = [round(0.25 * i, 2) for i in range(1, 13)]
 SELECT temperature::DOUBLE AS temperature, round(avg(l), 6) AS nll FROM (SELECT temperature, vec_id, ln(sum(exp((cosine - own) / temperature))) AS l FROM s JOIN o USING (vec_id), g WHERE own IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
 def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
     """Likelihood of the right class over a grid of temperatures."""
-    return prototypes.temperature_grid(_scored(spark, d), "label", GRID).withColumn("nll", F.round("nll", 6))
+    return prototypes.temperature_grid(_scored(spark, d), "label", GRID).withColumn("nll", fixed("nll", 6))
 
 
 @register(f"WITH {_S} SELECT vec_id, round(max(cosine), 6) AS top_cosine, round(1 / sum(exp((cosine - top) / 0.5)), 6) AS top_prob FROM (SELECT *, max(cosine) OVER (PARTITION BY vec_id) AS top FROM s) GROUP BY 1")
 def abstain_scores(spark: SparkSession, d: str) -> DataFrame:
     """Greatest cosine and greatest softmax probability, by which to abstain."""
     p = prototypes.softmax_by(_scored(spark, d), 0.5)
-    return p.groupBy("vec_id").agg(F.round(F.max("cosine"), 6).alias("top_cosine"), F.round(F.max("prob"), 6).alias("top_prob"))
+    return p.groupBy("vec_id").agg(fixed(F.max("cosine"), 6).alias("top_cosine"), fixed(F.max("prob"), 6).alias("top_prob"))
 
 
 @register(f"""WITH {_S}, n AS (SELECT vec_id, label >= 8 AS novel, -round(max(CASE WHEN prototype < 8 THEN cosine END), 9) AS score FROM s GROUP BY 1, 2),
@@ -66,7 +67,7 @@ SELECT round((sum(r) FILTER (WHERE novel) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6)
 def novelty_auroc(spark: SparkSession, d: str) -> DataFrame:
     """Do classes without a prototype lie further from all of them?"""
     known = F.max(F.when(F.col("prototype") < 8, F.col("cosine")))
-    n = _scored(spark, d).groupBy("vec_id", (F.col("label") >= 8).alias("label")).agg((-F.round(known, 9)).alias("v"))
+    n = _scored(spark, d).groupBy("vec_id", (F.col("label") >= 8).alias("label")).agg((-fixed(known, 9)).alias("v"))
     counts = n.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(1))
     return ev.auroc_of_labels(counts, ["all"], "label", least=1, bar=0.5).where("label").select("auroc")
 
@@ -75,7 +76,7 @@ def novelty_auroc(spark: SparkSession, d: str) -> DataFrame:
 def batched_predict(spark: SparkSession, d: str) -> DataFrame:
     """M9: batched linear inference."""
     weights = 1 / np.arange(1, 65, dtype=float)
-    return prototypes.linear_scores(table(spark, d, "embeddings"), weights, "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    return prototypes.linear_scores(table(spark, d, "embeddings"), weights, "vec_id", "embedding").withColumn("score", fixed("score", 6))
 
 
 @register("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), v AS (SELECT label, i, stddev_samp(x) AS s FROM e GROUP BY 1, 2)
@@ -84,7 +85,7 @@ def loss_terms(spark: SparkSession, d: str) -> DataFrame:
     """M6: the variance term of a collapse penalty, as an aggregate."""
     long = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     s = long.groupBy("label", "i").agg(F.stddev_samp(F.col("x").cast("double")).alias("s"))
-    return s.groupBy("label").agg(F.round(F.avg(F.greatest(F.lit(0.0), 1 - F.col("s"))), 6).alias("variance_loss"))
+    return s.groupBy("label").agg(fixed(F.avg(F.greatest(F.lit(0.0), 1 - F.col("s"))), 6).alias("variance_loss"))
 
 
 @register()
@@ -131,8 +132,8 @@ def gate_report(spark: SparkSession, d: str) -> DataFrame:
     c = standard_cells(spark, d).groupBy("cohort", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("s"), F.count("conf").alias("k"))
     j = c.join(table(spark, d, "label_map").select("cohort", "label", "cluster"), ["cohort", "label"], "left")
     observed = j.agg(
-        F.count_distinct("cohort").alias("n_cohorts"), F.round(F.sum(F.when(F.col("cluster").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share_unmapped"),
-        F.lit(len(MARKERS) - 1).alias("n_markers"), F.round(F.sum("s") / F.sum("k"), 6).alias("mean_conf"),
+        F.count_distinct("cohort").alias("n_cohorts"), fixed(F.sum(F.when(F.col("cluster").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share_unmapped"),
+        F.lit(len(MARKERS) - 1).alias("n_markers"), fixed(F.sum("s") / F.sum("k"), 6).alias("mean_conf"),
     )
     return gates.evaluate(observed, RULES)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from tessella.functions.numbers import NUDGE
 from tessella.sources.standard import MARKERS
 
 
@@ -15,8 +16,8 @@ class Registry:
     def __call__(self, sql: str | None = None):
         def add(f: Callable) -> Callable:
             self.queries[f.__name__] = f
-            if sql:
-                self.sql[f.__name__] = sql
+            if sql:  # the same nudge as in fixed()
+                self.sql[f.__name__] = sql.replace("round(", f"round({NUDGE} + ")
             return f
 
         return add

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import names, vectors
+from tessella.functions.numbers import fixed
 from tessella.operators import schema
 from tessella.plans.materialize import broadcast_up_to
 from tessella.sources.standard import MARKERS, long_values, standard_cells, value_counts
@@ -59,7 +60,7 @@ def set_diff_mates(spark: SparkSession, d: str) -> DataFrame:
 def long_and_back(spark: SparkSession, d: str) -> DataFrame:
     """Wide to long, then long to wide over declared columns."""
     long = long_values(standard_cells(spark, d), "cohort")
-    return long.groupBy("cohort").pivot("marker", list(MARKERS)).agg(F.round(F.avg("v"), 6))
+    return long.groupBy("cohort").pivot("marker", list(MARKERS)).agg(fixed(F.avg("v"), 6))
 
 
 @register(f"""WITH {L}, vocab AS (SELECT marker, row_number() OVER (ORDER BY marker) - 1 AS idx FROM (SELECT DISTINCT marker FROM l)), k AS (SELECT DISTINCT cohort FROM l),
@@ -72,7 +73,7 @@ def dense_scatter(spark: SparkSession, d: str) -> DataFrame:
     per = s.groupBy("cohort").agg(F.map_from_entries(F.collect_list(F.struct("marker", "x"))).alias("have"))
     slots = per.join(vocabulary).select("cohort", "have", F.posexplode("slots").alias("idx", "marker"))
     x = F.try_element_at("have", "marker")
-    return slots.select("cohort", F.col("idx").cast("long").alias("idx"), F.round(F.coalesce(x, F.lit(0.0)), 6).alias("x"), x.isNotNull().alias("present"))
+    return slots.select("cohort", F.col("idx").cast("long").alias("idx"), fixed(F.coalesce(x, F.lit(0.0)), 6).alias("x"), x.isNotNull().alias("present"))
 
 
 @register("""WITH f AS (SELECT source, min(doc_id) AS first FROM documents WHERE source IS NOT NULL GROUP BY 1) SELECT source, dense_rank() OVER (ORDER BY first) - 1 AS code FROM f""")
@@ -142,8 +143,8 @@ def numeric_functions(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("area_px2")
     one = F.coalesce(F.greatest(a, F.lit(1.0)), F.lit(1.0))
     return standard_cells(spark, d).groupBy("cohort").agg(
-        F.round(F.avg(F.exp(-F.col("conf"))), 6).alias("e"), F.round(F.avg(F.sqrt(F.abs(a))), 5).alias("s"), F.round(F.avg(F.ln(one)), 6).alias("l"),
-        F.round(F.avg(F.log2(one)), 6).alias("l2"), F.round(F.avg(F.log10(one)), 6).alias("l10"), F.round(F.avg(F.least(F.lit(1.0), F.coalesce(F.greatest(F.lit(0.0), a / 1000), F.lit(0.0)))), 6).alias("c"),
+        fixed(F.avg(F.exp(-F.col("conf"))), 6).alias("e"), fixed(F.avg(F.sqrt(F.abs(a))), 5).alias("s"), fixed(F.avg(F.ln(one)), 6).alias("l"),
+        fixed(F.avg(F.log2(one)), 6).alias("l2"), fixed(F.avg(F.log10(one)), 6).alias("l10"), fixed(F.avg(F.least(F.lit(1.0), F.coalesce(F.greatest(F.lit(0.0), a / 1000), F.lit(0.0)))), 6).alias("c"),
     )
 
 
@@ -153,20 +154,20 @@ def vector_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Cosine and distance of every vector to every class centre; arrays stay arrays."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.lit(0).alias("all"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     centres = vectors.centroids(e, "label", "x").select(F.lit(0).alias("all"), F.col("label").alias("prototype"), "centroid")
-    return e.join(broadcast_up_to(centres), "all").select("vec_id", "prototype", F.round(vectors.cosine("x", "centroid"), 6).alias("cosine"), F.round(vectors.distance("x", "centroid"), 5).alias("distance"))
+    return e.join(broadcast_up_to(centres), "all").select("vec_id", "prototype", fixed(vectors.cosine("x", "centroid"), 6).alias("cosine"), fixed(vectors.distance("x", "centroid"), 5).alias("distance"))
 
 
 @register("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE / 0.5 AS z FROM embeddings) SELECT vec_id, round(max(exp(z - m)) / sum(exp(z - m)), 6) AS top FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM e) GROUP BY 1""")
 def softmax_top(spark: SparkSession, d: str) -> DataFrame:
     """Greatest softmax probability at a temperature of 0.5."""
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.softmax_top(F.transform("embedding", lambda x: x.cast("double")), 0.5), 6).alias("top"))
+    return table(spark, d, "embeddings").select("vec_id", fixed(vectors.softmax_top(F.transform("embedding", lambda x: x.cast("double")), 0.5), 6).alias("top"))
 
 
 @register("SELECT vec_id, round(embedding[1]::DOUBLE + 0.3 * tanh(0.5 * embedding[2]::DOUBLE + 0.1), 6) AS corrected FROM embeddings")
 def bounded_affine(spark: SparkSession, d: str) -> DataFrame:
     """An affine correction bounded by 0.3."""
     a, b = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.bounded_correction(a, b, 0.5, 0.1, 0.3), 6).alias("corrected"))
+    return table(spark, d, "embeddings").select("vec_id", fixed(vectors.bounded_correction(a, b, 0.5, 0.1, 0.3), 6).alias("corrected"))
 
 
 @register("SELECT count(*) AS n, regexp_replace(text, '[0-9]+$', '') AS stem FROM (SELECT replace(symbol, '_PAN', '') AS text FROM marker_reference) GROUP BY 2")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.cells import null_number
+from tessella.functions.numbers import fixed
 from tessella.operators import schema
 from tessella.sources import files
 from tessella.sources.standard import MARKERS, null_like, standard_cells, standard_label
@@ -88,7 +89,7 @@ def area_units(spark: SparkSession, d: str) -> DataFrame:
     """Areas in square micrometres."""
     scale = table(spark, d, "cohorts").select("cohort", "px_um")
     cells = standard_cells(spark, d).join(scale, "cohort")
-    return cells.groupBy("cohort").agg(F.round(F.avg(F.col("area_px2") * F.col("px_um") * F.col("px_um")), 6).alias("mean_um2"), F.count("area_px2").alias("n"))
+    return cells.groupBy("cohort").agg(fixed(F.avg(F.col("area_px2") * F.col("px_um") * F.col("px_um")), 6).alias("mean_um2"), F.count("area_px2").alias("n"))
 
 
 @register("SELECT registry_id, row_number() OVER (ORDER BY registry_id) - 1 AS code FROM marker_registry")
@@ -133,7 +134,7 @@ def confidence_clip(spark: SparkSession, d: str) -> DataFrame:
     """Confidence coerced into [0, 1], and whether it says anything."""
     x = F.col("label_confidence").cast("double")
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(null_number(x), 1.0).otherwise(x)))
-    return table(spark, d, "cells").groupBy("load_id").agg(F.round(F.avg(clipped), 6).alias("mean_conf"), (F.count_distinct("label_confidence") > 1).alias("informative"))
+    return table(spark, d, "cells").groupBy("load_id").agg(fixed(F.avg(clipped), 6).alias("mean_conf"), (F.count_distinct("label_confidence") > 1).alias("informative"))
 
 
 _ORDER = "load_id, loaded_at, image_id NULLS FIRST, x_px NULLS FIRST, y_px NULLS FIRST, native_label NULLS FIRST"
@@ -154,7 +155,7 @@ def missing_shares(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x_px")
     bad = null_number(x) | (F.abs(x) == F.lit(float("inf")))
     return table(spark, d, "cells").groupBy("load_id").agg(
-        F.round(100.0 * F.avg(bad.cast("int")), 6).alias("pct_no_x"), F.round(100.0 * F.avg(F.col("patient_id").isNull().cast("int")), 6).alias("pct_no_patient")
+        fixed(100.0 * F.avg(bad.cast("int")), 6).alias("pct_no_x"), fixed(100.0 * F.avg(F.col("patient_id").isNull().cast("int")), 6).alias("pct_no_patient")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import evaluation as ev
 from tessella.operators import ranks, series
 from tessella.sources.standard import MARKERS, standard_cells, value_counts
@@ -42,7 +43,7 @@ SELECT marker, count(*) AS n_pairs, round(avg(ks), 6) AS mean_ks FROM k GROUP BY
 def ks_pairwise(spark: SparkSession, d: str) -> DataFrame:
     """Mean two-sample Kolmogorov-Smirnov distance over the pairs of cohorts."""
     k = ev.pairwise_ks(value_counts(standard_cells(spark, d), "cohort"), "cohort", "marker")
-    return k.groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("ks"), 6).alias("mean_ks"))
+    return k.groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"), fixed(F.avg("ks"), 6).alias("mean_ks"))
 
 
 _HALVES = f"""WITH {L}, c AS (SELECT cohort, image_id, label, count(*) AS n FROM m GROUP BY 1, 2, 3), e AS (SELECT cohort, image_id, round(-sum(p * ln(p + 1e-12)), 9) AS h FROM
@@ -60,7 +61,7 @@ def skew_contrast(spark: SparkSession, d: str) -> DataFrame:
     counts = value_counts(cells, "cohort", "image_id", "label").join(parts, ["cohort", "image_id"]).groupBy("cohort", "label", "marker", "part", "v").agg(F.sum("n").alias("n"))
     q = ranks.quantiles(counts, ["cohort", "label", "marker", "part"], [0.5]).where("rows >= 20")
     side = {p: q.where(F.col("part") == p).select("cohort", "label", "marker", F.col("q")[0].alias(p)) for p in ("skewed", "balanced")}
-    return side["skewed"].join(side["balanced"], ["cohort", "label", "marker"]).select("cohort", "label", "marker", F.round(F.col("skewed") - F.col("balanced"), 6).alias("contrast"))
+    return side["skewed"].join(side["balanced"], ["cohort", "label", "marker"]).select("cohort", "label", "marker", fixed(F.col("skewed") - F.col("balanced"), 6).alias("contrast"))
 
 
 @register(f"""WITH {U}, r AS (SELECT cohort, marker, label, u * t AS rank, t FROM (SELECT *, count(*) OVER (PARTITION BY cohort, marker) AS t FROM u)),
@@ -76,7 +77,7 @@ FROM (SELECT tp.*, unnest([truth, pred]) AS c, truth <> pred AS two FROM tp WHER
 SELECT cohort, class, round(hit / nullif(p, 0)::DOUBLE, 4) AS prec, round(hit / t::DOUBLE, 4) AS rec, round(2.0 * hit / (t + p), 4) AS f1 FROM s WHERE t > 0""")
 def per_class_scores(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall and F1 of the classes in the truth."""
-    return ev.class_scores(_pairs(spark, d), ["cohort"]).select("cohort", "class", F.round("prec", 4).alias("prec"), F.round("rec", 4).alias("rec"), F.round("f1", 4).alias("f1"))
+    return ev.class_scores(_pairs(spark, d), ["cohort"]).select("cohort", "class", fixed("prec", 4).alias("prec"), fixed("rec", 4).alias("rec"), fixed("f1", 4).alias("f1"))
 
 
 _F1 = _TP + """, s AS (SELECT cohort, c AS class, sum(n * (truth = c AND pred = c)::INT) AS hit, sum(n * (truth = c)::INT) AS t, sum(n * (pred = c)::INT) AS p
@@ -87,7 +88,7 @@ FROM (SELECT tp.*, unnest([truth, pred]) AS c FROM tp WHERE truth <> pred UNION
 def macro_f1(spark: SparkSession, d: str) -> DataFrame:
     """Macro-F1 over classes in the truth, and over those with enough rows."""
     s = ev.class_scores(_pairs(spark, d), ["cohort"])
-    return s.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_classes"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.avg(F.when(F.col("support") >= 100, F.col("f1"))), 6).alias("macro_learnable"))
+    return s.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_classes"), fixed(F.avg("f1"), 6).alias("macro_f1"), fixed(F.avg(F.when(F.col("support") >= 100, F.col("f1"))), 6).alias("macro_learnable"))
 
 
 @register(f"WITH {_TP}, c AS (SELECT cohort, truth, sum(n) AS n FROM tp GROUP BY 1, 2) SELECT cohort, round(max(n) / sum(n)::DOUBLE, 6) AS majority, round(sum(n * n) / (sum(n) * sum(n))::DOUBLE, 6) AS chance, round(sum(n::DOUBLE / total * log2(total / n)), 6) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY cohort)::DOUBLE AS total FROM c) GROUP BY 1")
@@ -120,7 +121,7 @@ def ari(spark: SparkSession, d: str) -> DataFrame:
 def cohort_guard(spark: SparkSession, d: str) -> DataFrame:
     """Share of cells in clusters of more than one cohort."""
     z = _partitions(spark, d).groupBy("cluster").agg(F.count_distinct("cohort").alias("k"), F.sum("w").alias("w"))
-    return z.agg(F.round(F.sum(F.when(F.col("k") > 1, F.col("w")).otherwise(0)) / F.sum("w"), 6).alias("shared_cells"), F.count_if(F.col("k") > 1).alias("n_shared"), F.count(F.lit(1)).alias("n_clusters"))
+    return z.agg(fixed(F.sum(F.when(F.col("k") > 1, F.col("w")).otherwise(0)) / F.sum("w"), 6).alias("shared_cells"), F.count_if(F.col("k") > 1).alias("n_shared"), F.count(F.lit(1)).alias("n_clusters"))
 
 
 @register(f"""WITH {_PART}, t AS (SELECT cluster AS a, label AS b, count(*)::DOUBLE AS n FROM part GROUP BY 1, 2), s AS (SELECT sum(n) AS n FROM t), r AS (SELECT a, sum(n) AS n FROM t GROUP BY 1), k AS (SELECT b, sum(n) AS n FROM t GROUP BY 1),
@@ -172,7 +173,7 @@ def support_bands(spark: SparkSession, d: str) -> DataFrame:
     k = p.groupBy(F.col("truth").alias("class")).agg(F.count_distinct("cohort").alias("k"))
     s = ev.class_scores(p, ["cohort"]).join(k, "class")
     band = F.when(F.col("k") <= 1, "1").when(F.col("k") <= 3, "2-3").otherwise("4+")
-    return s.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.round(F.avg((F.col("f1") == 0).cast("int")), 6).alias("share_zero"))
+    return s.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("f1"), 6).alias("mean_f1"), fixed(F.avg((F.col("f1") == 0).cast("int")), 6).alias("share_zero"))
 
 
 @register(f"WITH {_TP}, m1 AS (SELECT cohort, pred, truth, sum(n) AS n FROM tp GROUP BY ALL) SELECT cohort, round(sum(top) / sum(total)::DOUBLE, 6) AS agreement FROM (SELECT cohort, pred, max(n) AS top, sum(n) AS total FROM m1 GROUP BY 1, 2) GROUP BY 1")
@@ -205,7 +206,7 @@ def kept_vs_excluded(spark: SparkSession, d: str) -> DataFrame:
     q = ranks.quantiles(counts, ["marker", "flagged"], [0.25, 0.5, 0.75]).select("marker", "flagged", F.col("q")[1].alias("med"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
     b = q.where("flagged").select("marker", F.col("med").alias("med_b"), F.col("iqr").alias("iqr_b"))
     ratio = F.col("iqr") / F.when(F.col("iqr_b") != 0, F.col("iqr_b"))
-    return q.where("not flagged").join(b, "marker").select("marker", F.round(F.col("med") - F.col("med_b"), 6).alias("median_gap"), F.round(ratio, 6).alias("iqr_ratio"))
+    return q.where("not flagged").join(b, "marker").select("marker", fixed(F.col("med") - F.col("med_b"), 6).alias("median_gap"), fixed(ratio, 6).alias("iqr_ratio"))
 
 
 @register("WITH " + _PART.replace("x.cluster, count(*)", "CASE WHEN x.unreliable THEN -1 ELSE x.cluster END AS cluster, count(*)") + _ARI.format(a="cluster", b="label", w="w::DOUBLE"))
@@ -233,7 +234,7 @@ def coherence(spark: SparkSession, d: str) -> DataFrame:
     g = counts.join(table(spark, d, "label_map").select("cohort", "label", "cluster"), ["cohort", "label"])
     w = g.groupBy("marker", "cluster").agg(F.var_pop("mean").alias("within"), F.avg("mean").alias("c"), F.count(F.lit(1)).alias("n"))
     inside = F.avg(F.when(F.col("n") > 1, F.col("within")))
-    return w.groupBy("marker").agg(F.round(inside, 5).alias("within"), F.round(F.var_pop("c"), 5).alias("between_"), (inside < F.var_pop("c")).alias("coherent"))
+    return w.groupBy("marker").agg(fixed(inside, 5).alias("within"), fixed(F.var_pop("c"), 5).alias("between_"), (inside < F.var_pop("c")).alias("coherent"))
 
 
 @register()

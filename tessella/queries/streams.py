@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.streaming import windows
 
 from .registry import Registry
@@ -16,7 +17,7 @@ REGISTRY = register = Registry()
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Events per day and type."""
     t = windows.tumbling(spark, d)
-    return t.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return t.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", fixed("total", 4).alias("total"))
 
 
 @register("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")

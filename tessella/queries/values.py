@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import ranks, sampling
 from tessella.sources.standard import MARKERS, long_values, standard_cells, value_counts
 from tessella.sources.tables import table
@@ -45,7 +46,7 @@ def sample_on_full_ranks(spark: SparkSession, d: str) -> DataFrame:
     u = ranks.mid_rank(value_counts(cells, "cohort"), ["cohort", "marker"]).select("cohort", "marker", "v", "u")
     ids = cells.where("cell_id is not null").select("cell_id").distinct().withColumn("h", F.md5(F.concat_ws("|", F.lit("7"), F.col("cell_id").cast("string")))).orderBy("h", "cell_id").limit(300).select("cell_id")
     rows = long_values(cells, "cell_id", "cohort").join(ids, "cell_id")
-    return rows.join(u, ["cohort", "marker", "v"]).groupBy("cohort", "marker").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("u"), 6).alias("mean_u"))
+    return rows.join(u, ["cohort", "marker", "v"]).groupBy("cohort", "marker").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("u"), 6).alias("mean_u"))
 
 
 @register(f"""WITH {U}, t AS (SELECT i * 0.1 AS level FROM range(1, 10) g(i)), s AS (SELECT cohort, marker, var_samp(u) * 12 AS s FROM u GROUP BY 1, 2)
@@ -77,7 +78,7 @@ def split_floor(spark: SparkSession, d: str) -> DataFrame:
     split = sampling.group_split(cells, "cohort", "image_id")
     counts = value_counts(cells, "cohort", "image_id").join(split, ["cohort", "image_id"]).groupBy("cohort", "marker", "split", "v").agg(F.sum("n").alias("n"))
     q = ranks.quantiles(counts, ["cohort", "marker", "split"], [0.5])
-    return q.select("cohort", "marker", "split", F.col("rows").alias("n"), F.round(F.col("q")[0], 6).alias("med"), (F.col("rows") >= 100).alias("floor_met"))
+    return q.select("cohort", "marker", "split", F.col("rows").alias("n"), fixed(F.col("q")[0], 6).alias("med"), (F.col("rows") >= 100).alias("floor_met"))
 
 
 @register(f"""WITH {M}, {_SPLIT}, r AS (SELECT m.cohort, split, cell_id, row_number() OVER (PARTITION BY m.cohort, split ORDER BY {_id_hash(_ID)}, cell_id) AS rn FROM m JOIN sp USING (cohort, image_id) WHERE cell_id IS NOT NULL)
@@ -121,4 +122,4 @@ def confidence_sidecar(spark: SparkSession, d: str) -> DataFrame:
     cells = standard_cells(spark, d).select("cohort", "conf")
     informative = cells.where("conf is not null").groupBy("cohort").agg(F.min("conf").alias("lo"), F.max("conf").alias("hi")).where("lo < hi").select("cohort")
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("conf", F.lit(1.0))))
-    return cells.join(informative, "cohort", "left_semi").groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(clipped), 6).alias("mean_conf"))
+    return cells.join(informative, "cohort", "left_semi").groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg(clipped), 6).alias("mean_conf"))

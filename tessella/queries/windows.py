@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.numbers import fixed
 from tessella.operators import ranks, series
 from tessella.operators.matching import standard_profiles
 from tessella.sources.standard import long_values, standard_cells, value_counts
@@ -20,7 +21,7 @@ def ecdf_cohort(spark: SparkSession, d: str) -> DataFrame:
     """Mid-rank within cohort and marker, brought back to every row."""
     rows = long_values(standard_cells(spark, d), "cell_id", "cohort").where(F.col("marker").isin("area", "dnx"))
     counts = rows.groupBy("cohort", "marker", "v").agg(F.count(F.lit(1)).alias("n"))
-    u = ranks.mid_rank(counts, ["cohort", "marker"]).select("cohort", "marker", "v", F.round("u", 8).alias("u"))
+    u = ranks.mid_rank(counts, ["cohort", "marker"]).select("cohort", "marker", "v", fixed("u", 8).alias("u"))
     return rows.join(u, ["cohort", "marker", "v"]).select("cell_id", "cohort", "marker", "v", "u")
 
 
@@ -29,7 +30,7 @@ SELECT image_id, marker, v, round(max(u), 8) AS u, count(*) AS n FROM r WHERE ma
 def ecdf_image(spark: SparkSession, d: str) -> DataFrame:
     """Mid-rank within the slide, one row for each distinct value."""
     counts = value_counts(standard_cells(spark, d), "image_id").where("marker = 'area'")
-    return ranks.mid_rank(counts, ["image_id", "marker"]).select("image_id", "marker", "v", F.round("u", 8).alias("u"), "n")
+    return ranks.mid_rank(counts, ["image_id", "marker"]).select("image_id", "marker", "v", fixed("u", 8).alias("u"), "n")
 
 
 @register("SELECT registry_id, row_number() OVER (PARTITION BY panel_id ORDER BY registry_id) - 1 AS k FROM marker_registry WHERE panel_id IS NOT NULL")
@@ -50,7 +51,7 @@ def slide_stats(spark: SparkSession, d: str) -> DataFrame:
 
     def z(c: str):
         spread = F.stddev_samp(c).over(w)
-        return F.round((F.col(c) - F.avg(c).over(w)) / F.coalesce(F.when(spread != 0, spread), F.lit(1.0)), 5).alias(f"{c}_z")
+        return fixed((F.col(c) - F.avg(c).over(w)) / F.coalesce(F.when(spread != 0, spread), F.lit(1.0)), 5).alias(f"{c}_z")
 
     return s.select("cohort", "image_id", "marker", z("med"), z("iqr"))
 
@@ -61,7 +62,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cohort, label ORDER BY z DESC, m
 SELECT cohort, label, marker, z, CASE WHEN z > 0.8 AND hi <= 3 THEN '+' ELSE '-' END AS sign FROM r WHERE (z > 0.8 AND hi <= 3) OR (z < -1.2 AND lo = 1)""")
 def zscore_topk(spark: SparkSession, d: str) -> DataFrame:
     """Markers that stand out of a label, up to three high and one low."""
-    z = standard_profiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort"], "label", least=50).withColumn("z", F.round("z", 6))
+    z = standard_profiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort"], "label", least=50).withColumn("z", fixed("z", 6))
     w = Window.partitionBy("cohort", "label")
     ranked = z.withColumn("hi", F.row_number().over(w.orderBy(F.desc("z"), "marker"))).withColumn("lo", F.row_number().over(w.orderBy("z", "marker")))
     high = (F.col("z") > 0.8) & (F.col("hi") <= 3)
@@ -75,7 +76,7 @@ def lag_monotone(spark: SparkSession, d: str) -> DataFrame:
     s = standard_cells(spark, d).groupBy("cohort", "load_id").agg(F.avg("conf").alias("c"))
     step = F.col("c") - F.lag("c").over(Window.partitionBy("cohort").orderBy("load_id"))
     g = s.withColumn("step", step).groupBy("cohort")
-    return g.agg(F.count("step").alias("n_steps"), F.coalesce(F.bool_and(F.col("step") <= 1e-9), F.lit(True)).alias("falling"), F.round(F.max_by("c", "load_id") - F.min_by("c", "load_id"), 6).alias("change"))
+    return g.agg(F.count("step").alias("n_steps"), F.coalesce(F.bool_and(F.col("step") <= 1e-9), F.lit(True)).alias("falling"), fixed(F.max_by("c", "load_id") - F.min_by("c", "load_id"), 6).alias("change"))
 
 
 @register(f"""WITH {M}, k AS (SELECT m.cohort, m.label, conf, x.cluster_name = m.label AS ok FROM m JOIN label_map x USING (cohort, label) WHERE conf IS NOT NULL),
@@ -97,7 +98,7 @@ f AS (SELECT *, max(CASE WHEN best IS NULL OR x < best THEN i END) OVER (PARTITI
 SELECT cohort, min(load_id) AS stop_load FROM f WHERE i - last_good >= 2 GROUP BY 1""")
 def early_stop(spark: SparkSession, d: str) -> DataFrame:
     """The load at which a series has not improved for two steps."""
-    s = standard_cells(spark, d).where("area_px2 is not null").groupBy("cohort", "load_id").agg(F.round(F.avg("area_px2"), 6).alias("x"))
+    s = standard_cells(spark, d).where("area_px2 is not null").groupBy("cohort", "load_id").agg(fixed(F.avg("area_px2"), 6).alias("x"))
     return series.patience(s, "cohort", "load_id", "x", 2).groupBy("cohort").agg(F.min("load_id").alias("stop_load"))
 
 
@@ -133,5 +134,5 @@ def argmax_smallest(spark: SparkSession, d: str) -> DataFrame:
     counts = standard_cells(spark, d).where("conf is not null").groupBy("cohort", "conf").agg(F.count(F.lit(1)).alias("n"))
     cuts = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: i * F.lit(1.0) / 10)
     s = counts.withColumn("cut", F.explode(cuts)).groupBy("cohort", "cut").agg(F.abs(F.sum(F.when(F.col("conf") < F.col("cut"), F.col("n")).otherwise(0)) / F.sum("n") - 0.5).alias("gap"))
-    w = Window.partitionBy("cohort").orderBy(F.round("gap", 9), "cut")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("cohort", "cut", F.round("gap", 6).alias("gap"))
+    w = Window.partitionBy("cohort").orderBy(fixed("gap", 9), "cut")
+    return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("cohort", "cut", fixed("gap", 6).alias("gap"))
