@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.plans.materialize import cut
+from tessella.plans.materialize import broadcast_up_to, cut
 
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 #: Bits of the first digit: sign, exponent and a little of the mantissa; bits of each further digit.
 FIRST = {32: 12, 64: 15}
 NEXT = 5
+#: Groups of which the followed bins (about 1 KB each) are broadcast; more of them are joined by a shuffle.
+MOST_BROADCAST = 20_000
 #: A followed bin of at most this many rows is resolved to full values at once.
 SMALL = 32
 
@@ -213,7 +215,7 @@ class RadixPercentiles:
             lists = bins.where(F.col("kind") == kind).groupBy("g1", "g2").agg(F.array_join(F.collect_set(text), ";").alias(f"bins_{kind}"))
             lists = cut(lists.withColumnsRenamed({"g1": f"_{kind}1", "g2": f"_{kind}2"}), "bins")
             same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{kind}{i}")) for i, c in enumerate(columns, 1)])
-            rows = rows.join(lists, same, "left").drop(f"_{kind}1", f"_{kind}2")
+            rows = rows.join(broadcast_up_to(lists, MOST_BROADCAST), same, "left").drop(f"_{kind}1", f"_{kind}2")
         wanted = reduce(lambda a, b: a | b, [F.col(f"bins_{kind}").isNotNull() for kind in self.groupings])
         counted = rows.where(wanted).mapInPandas(_follow(self.groupings, self.fields, self.bits), _HIST.format(load=""))
         return _merged(counted, *_GROUP, "shift", "prefix")
