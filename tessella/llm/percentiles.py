@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.plans.materialize import broadcast_up_to, cut
+from tessella.plans.materialize import broadcast_up_to, cut, small_batches
 
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 #: Bits of the first digit: sign, exponent and a little of the mantissa; bits of each further digit.
@@ -25,6 +25,8 @@ FIRST = {32: 12, 64: 15}
 NEXT = 5
 #: Groups of which the followed bins (about 1 KB each) are broadcast; more of them are joined by a shuffle.
 MOST_BROADCAST = 20_000
+#: Rows tallied at once in a task.
+BATCH = 100_000
 #: A followed bin of at most this many rows is resolved to full values at once.
 SMALL = 32
 
@@ -43,11 +45,15 @@ def key_value(keys: np.ndarray, bits: int) -> np.ndarray:
     return raw.astype(np.int32).view(np.float32).astype(np.float64) if bits == 32 else raw.view(np.float64)
 
 
-def _tally(names: list[str], parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
-    """Rows, least and greatest key of each combination of the named integer arrays."""
-    frame = pd.concat([pd.DataFrame(p) for p in parts], ignore_index=True)
-    grouped = frame.groupby(names, sort=False)["key"]
-    return grouped.agg(["size", "min", "max"]).reset_index()
+def _tally(codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes with their number of rows, least and greatest key."""
+    order = np.argsort(codes, kind="stable")
+    codes, keys = codes[order], keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(codes)))
+    if not len(starts):
+        return codes, sizes, keys, keys
+    return codes[starts], sizes, np.minimum.reduceat(keys, starts), np.maximum.reduceat(keys, starts)
 
 
 _HIST = "kind string, g1 string, g2 string, {load}field int, shift int, prefix long, n long, low long, high long"
@@ -73,15 +79,21 @@ def _first_pass(kinds: dict[str, tuple[str, ...]], fields: list[str], bits: list
             for kind, columns in kinds.items():
                 codes = frame.groupby(list(columns), dropna=False, sort=False).ngroup().to_numpy()
                 firsts = np.unique(codes, return_index=True)[1]
-                parts = []
+                n_loads, n_fields, span = len(load[1]), len(fields), 1 << max(FIRST.values())
+                parts, all_keys = [], []
                 for f, ((at, keys), b) in enumerate(zip(keyed, bits)):
-                    parts.append({"group": codes[at], "load": load[0][at], "field": np.full(len(at), f, np.int32), "prefix": keys >> (b - FIRST[b]), "key": keys})
-                got = _tally(["group", "load", "field", "prefix"], parts)
-                rows = firsts[got["group"].to_numpy()]
+                    place = (codes[at].astype(np.int64) * n_loads + load[0][at]) * n_fields + f
+                    parts.append(place * span + (keys >> (b - FIRST[b])) + span // 2)
+                    all_keys.append(keys)
+                place, size, low, high = _tally(np.concatenate(parts), np.concatenate(all_keys))
+                prefix, place = place % span - span // 2, place // span
+                field, place = (place % n_fields).astype(np.int32), place // n_fields
+                rows = firsts[place // n_loads]
                 out = pd.DataFrame({"kind": kind, "g1": frame[columns[0]].to_numpy()[rows], "g2": frame[columns[1]].to_numpy()[rows] if len(columns) > 1 else None})
-                out["load_id"] = pd.array(load[1].take(got["load"]) if len(got) else [], dtype="Int64")
-                out["field"], out["shift"] = got["field"].astype("int32"), got["field"].map(lambda f: bits[f] - FIRST[bits[f]]).astype("int32")
-                out["prefix"], out["n"], out["low"], out["high"] = got["prefix"], got["size"], got["min"], got["max"]
+                out["load_id"] = pd.array(load[1].take(place % n_loads) if len(place) else [], dtype="Int64")
+                shifts = np.array([b - FIRST[b] for b in bits], np.int32)
+                out["field"], out["shift"], out["prefix"] = field, shifts[field], prefix
+                out["n"], out["low"], out["high"] = size, low, high
                 yield out
 
     return run
@@ -102,7 +114,7 @@ def _follow(kinds: dict[str, tuple[str, ...]], fields: list[str], bits: list[int
                 texts = frame[f"bins_{kind}"].to_numpy()
                 codes = frame.groupby(list(columns), dropna=False, sort=False).ngroup().to_numpy()
                 firsts = np.unique(codes, return_index=True)[1]
-                parts = []
+                parts, all_keys, all_prefixes = [], [], []
                 for f, (at, keys) in enumerate(keyed):
                     entries = []
                     for group, row in enumerate(firsts):
@@ -124,14 +136,19 @@ def _follow(kinds: dict[str, tuple[str, ...]], fields: list[str], bits: list[int
                         asked = pd.MultiIndex.from_arrays([mine[:, 0], mine[:, 1]])
                         hit = asked.get_indexer(pd.MultiIndex.from_arrays([codes[at], keys >> start])) >= 0
                         chosen = keys[hit]
-                        parts.append({"group": codes[at][hit], "field": np.full(len(chosen), f, np.int32), "shift": np.full(len(chosen), end, np.int32), "prefix": chosen >> end, "key": chosen})
+                        parts.append((codes[at][hit].astype(np.int64) * len(fields) + f) * 64 + end)
+                        all_keys.append(chosen)
+                        all_prefixes.append(chosen >> end)
                 if not parts:
                     continue
-                got = _tally(["group", "field", "shift", "prefix"], parts)
-                rows = firsts[got["group"].to_numpy()]
+                prefixes, number = np.unique(np.concatenate(all_prefixes), return_inverse=True)
+                place, size, low, high = _tally(np.concatenate(parts) * len(prefixes) + number, np.concatenate(all_keys))
+                prefix, place = prefixes[place % max(1, len(prefixes))], place // max(1, len(prefixes))
+                shift, place = (place % 64).astype(np.int32), place // 64
+                rows = firsts[place // len(fields)]
                 out = pd.DataFrame({"kind": kind, "g1": frame[columns[0]].to_numpy()[rows], "g2": frame[columns[1]].to_numpy()[rows] if len(columns) > 1 else None})
-                out["field"], out["shift"] = got["field"].astype("int32"), got["shift"].astype("int32")
-                out["prefix"], out["n"], out["low"], out["high"] = got["prefix"], got["size"], got["min"], got["max"]
+                out["field"], out["shift"], out["prefix"] = (place % len(fields)).astype(np.int32), shift, prefix
+                out["n"], out["low"], out["high"] = size, low, high
                 yield out
 
     return run
@@ -155,11 +172,14 @@ class RadixPercentiles:
         typed = [F.col(f).cast("float" if b == 32 else "double").alias(f) for f, b in zip(fields, self.bits)]
         self.rows = rows.select(F.col(load).cast("long").alias("load_id"), *[F.col(c).cast("string").alias(c) for c in columns], *typed)
 
+    def _partial(self) -> DataFrame:
+        run = _first_pass(self.groupings, self.fields, self.bits)
+        small_batches(self.rows.sparkSession, BATCH)
+        return self.rows.mapInPandas(run, _HIST.format(load="load_id long, "))
+
     def histograms(self) -> DataFrame:
         """First-digit histograms per load and group: the results that can be stored and combined."""
-        run = _first_pass(self.groupings, self.fields, self.bits)
-        counted = self.rows.mapInPandas(run, _HIST.format(load="load_id long, "))
-        return _merged(counted, "load_id", *_GROUP, "shift", "prefix")
+        return _merged(self._partial(), "load_id", *_GROUP, "shift", "prefix")
 
     def _locate(self, hist: DataFrame, targets: DataFrame) -> DataFrame:
         """The bin of each target rank; ``before`` counts the group's rows below the bins that are listed."""
@@ -178,7 +198,8 @@ class RadixPercentiles:
         NULL, NaN and infinite values don't count; a group without finite values gives no row; NULL is a group of its
         own; ties and repeated rows count as often as they occur.
         """
-        loads = cut(self.histograms() if histograms is None else histograms, "load-hist")
+        # the tasks' parts of a load's histogram add up just as the loads do, so they needn't be merged by load first
+        loads = cut(self._partial() if histograms is None else histograms, "load-hist")
         hist = _merged(loads, *_GROUP, "shift", "prefix").withColumn("within", F.lit(0).cast("long"))
         totals = loads.groupBy(*_GROUP).agg(F.sum("n").alias("total"))
         rank = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("total") / 100.0)).cast("long")
@@ -210,6 +231,7 @@ class RadixPercentiles:
     def _next(self, bins: DataFrame) -> DataFrame:
         """Histograms of the next digits within the followed bins, from one more pass over the rows."""
         rows = self.rows.drop("load_id")
+        small_batches(rows.sparkSession, BATCH)
         text = F.concat_ws(":", F.col("field"), F.col("prefix"), F.col("shift"), F.col("to"))
         for kind, columns in self.groupings.items():
             lists = bins.where(F.col("kind") == kind).groupBy("g1", "g2").agg(F.array_join(F.collect_set(text), ";").alias(f"bins_{kind}"))
