@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from tessella.plans.session import local_session
 
-    session = local_session(4, partitions=4, memory="4g")
+    session = local_session(8, partitions=2, memory="4g")
     yield session
     session.stop()
 
