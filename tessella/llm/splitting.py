@@ -24,12 +24,13 @@ from . import bpe
 SECTION, PARAGRAPH, LINE, SENTENCE, TOKEN = 1, 2, 3, 4, 5
 LEVELS = {SECTION: "section", PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", TOKEN: "token"}
 
-_natural = re.compile(
-    r"(?P<section>\n(?=[ \t]*(?:\\(?:(?:sub)*section|chapter|part|paragraph|appendix|bibliography|begin\{(?:abstract|"
-    r"document|thebibliography)\})|\#{1,6} )))|(?P<paragraph>(?:\r?\n[ \t]*){2,}|\r[ \t]*\r)|(?P<line>\r?\n|\r)|"
-    r"(?P<sentence>[.!?。！？]+[\"')\]”’]*(?=\s))"
+_section = re.compile(
+    r"\n(?=[ \t]*(?:\\(?:(?:sub)*section|chapter|part|paragraph|appendix|bibliography|begin\{(?:abstract|document|"
+    r"thebibliography)\})|\#{1,6} ))"
 )
-_levels = {"section": SECTION, "paragraph": PARAGRAPH, "line": LINE, "sentence": SENTENCE}
+_STOPS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
+_CLOSERS = np.array([ord(c) for c in "\"')]”’"], np.uint32)
+_BLANKS = np.array([ord(c) for c in " \t\r\n\f\v\u00a0\u2028\u2029\u3000"], np.uint32)
 
 #: No pre-token crosses a change from a visible character to white space, or between ASCII letters and digits.
 _seam = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -37,24 +38,42 @@ _seam = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A
 PIECE = "doc_id {k}, piece_no int, first_token long, end_token long, first_char long, end_char long, cut_at string, n_tokens long"
 
 
+def natural_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Character offsets at which the text may be cut, and their levels; a break counts before and after its line end."""
+    a = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    after = np.append(a[1:], 0)[: len(a)]
+    blank = np.isin(a, _BLANKS)
+    ends = np.flatnonzero((a == 10) | ((a == 13) & (after != 10)))  # a line feed, or a lone carriage return
+    starts = ends - ((a[ends] == 10) & (ends > 0) & (a[ends - 1] == 13))
+    visible = np.append(0, np.cumsum(~blank))
+    between = np.diff(visible[ends]) if len(ends) else np.empty(0, np.int64)
+    empty = between == 0  # nothing but white space between a line end and the next
+    in_break = np.append(empty, False) | np.append(False, empty) if len(ends) else np.empty(0, bool)
+    line_level = np.where(in_break, PARAGRAPH, LINE).astype(np.int8)
+    stop = np.isin(a, _STOPS)
+    closer = np.isin(a, _CLOSERS)
+    before_blank, last = np.append(blank[1:], False)[: len(a)], []
+    for _ in range(3):  # the stop itself, or one or two closing quotes or brackets after it
+        last.append(np.flatnonzero(stop & before_blank))
+        stop = np.append(False, stop[:-1])[: len(a)] & closer
+    sentence = np.concatenate(last) + 1
+    section = np.array([m.start() for m in _section.finditer(text)], np.int64)
+    at = np.concatenate([section, section + 1, ends + 1, starts, sentence])
+    level = np.concatenate([np.full(2 * len(section), SECTION), line_level, line_level, np.full(len(sentence), SENTENCE)]).astype(np.int8)
+    inside = (at > 0) & (at < len(a))
+    return at[inside], level[inside]
+
+
 def boundaries(text: str, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token offsets of the natural boundaries of ``text``, and their levels; only those where a token ends."""
     ends = np.cumsum(np.where(spans < 0, -1 - spans, spans), dtype=np.int64)
-    at, level = [], []
-    for m in _natural.finditer(text):
-        at.append(m.end())
-        level.append(_levels[m.lastgroup])
-        if m.lastgroup != "sentence" and m.start():
-            at.append(m.start())  # where white space after the break belongs to the next token, before the break
-            level.append(_levels[m.lastgroup])
-    at, level = np.array(at, np.int64), np.array(level, np.int8)
+    at, level = natural_places(text)
     if not len(at):
-        return at, level
+        return at.astype(np.int64), level
     token = np.searchsorted(ends, at)
     good = (token < len(ends)) & (ends[np.minimum(token, len(ends) - 1)] == at)
     # tokens that add no character share an end: the boundary stands after the last of them
-    token = np.searchsorted(ends, at[good], side="right")
-    level = level[good]
+    token, level = np.searchsorted(ends, at[good], side="right"), level[good]
     order = np.lexsort((level, token))
     token, level = token[order], level[order]
     first = np.ones(len(token), bool)

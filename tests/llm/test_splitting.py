@@ -77,3 +77,16 @@ def test_equal_keys_with_different_long_texts(spark):
     assert ends == sorted([(1, len(a)), (1, len(b)), (None, len(a))], key=repr)
     with pytest.raises(ValueError):
         piece_offsets(df, limit=10, overlap=5)
+
+
+def test_natural_places():
+    from tessella.llm.splitting import LINE, PARAGRAPH, SECTION, SENTENCE, natural_places
+
+    text = 'One. "Two."\nthree\r\n \nfour\n\\section{x} e.g.x\r5?'
+    got = {}
+    for at, level in zip(*natural_places(text)):
+        got[int(at)] = min(int(level), got.get(int(at), 9))
+    assert got[text.index("One.") + 4] == SENTENCE and got[text.index("\nthree")] == LINE and got[text.index("three")] == LINE
+    assert got[text.index("\r\n ")] == PARAGRAPH and got[text.index("four")] == PARAGRAPH
+    assert got[text.index("\\section")] == SECTION and got[text.index("\r5")] == LINE and text.index(".x") + 1 not in got
+    assert [len(x) for x in natural_places("")] == [0, 0] and [len(x) for x in natural_places("abc")] == [0, 0]
