@@ -22,7 +22,7 @@ from tessella.plans.materialize import cut
 
 NUMERIC = ("area_px2", "label_confidence")
 #: Fine bins decide where exact counting is needed, COARSE of them make one bin of the classifier.
-FINE, COARSE = 128, 8
+FINE, COARSE = 64, 4
 MISSING, ODD = -1, -2
 
 
