@@ -149,11 +149,18 @@ def leak_guard(spark: SparkSession, d: str) -> DataFrame:
 @register("""WITH a AS (SELECT load_id, cell_id FROM cells WHERE load_id <= 2), b AS (SELECT DISTINCT load_id, cell_id FROM cells WHERE load_id <= 2)
 SELECT load_id, cell_id, count(*) - 1 AS times, 'first' AS only_in FROM a GROUP BY 1, 2 HAVING count(*) > 1""")
 def identity_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that two ways of loading don't share; here, what reading without repeats loses."""
+    """Rows that two ways of loading don't share; here, what reading without repeats loses of loads up to 2."""
     a = table(spark, d, "cells").where("load_id <= 2").select("load_id", "cell_id")
     return gates.differences(a, a.distinct())
 
 
+@register("SELECT load_id, cell_id, count(*) - 1 AS times, 'first' AS only_in FROM cells GROUP BY 1, 2 HAVING count(*) > 1")
+def identity_guard_all(spark: SparkSession, d: str) -> DataFrame:
+    """identity_guard over every load."""
+    a = table(spark, d, "cells").select("load_id", "cell_id")
+    return gates.differences(a, a.distinct())
+
+
 @register("SELECT cluster, bool_or(unreliable) AS flagged, string_agg(DISTINCT unreliable_reason, ', ' ORDER BY unreliable_reason) AS reasons FROM label_map GROUP BY 1")
 def waiver_flags(spark: SparkSession, d: str) -> DataFrame:
     """Failing cases flag their clusters downstream."""

@@ -19,10 +19,16 @@ REGISTRY = register = Registry()
 
 @register("SELECT cell_id, image_id, area_px2 FROM cells WHERE area_px2 > 250 AND load_id <= 5")
 def scan_project(spark: SparkSession, d: str) -> DataFrame:
-    """A pruned scan with its filter pushed down."""
+    """A pruned scan with its filter pushed down, of loads up to 5."""
     return schema.require(table(spark, d, "cells"), ["cell_id", "image_id", "area_px2", "load_id"]).where("area_px2 > 250 and load_id <= 5").select("cell_id", "image_id", "area_px2")
 
 
+@register("SELECT cell_id, image_id, area_px2 FROM cells WHERE area_px2 > 250")
+def scan_project_all(spark: SparkSession, d: str) -> DataFrame:
+    """scan_project over every load."""
+    return schema.require(table(spark, d, "cells"), ["cell_id", "image_id", "area_px2"]).where("area_px2 > 250").select("cell_id", "image_id", "area_px2")
+
+
 @register("SELECT raw_column, coalesce(note, '') AS note, count(*) AS n FROM marker_registry WHERE raw_column IS NOT NULL AND raw_column <> '' GROUP BY ALL")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Text columns written as CSV and read back, 'NA' kept as a name."""

@@ -16,23 +16,40 @@ from .registry import L, M, U, Registry
 REGISTRY = register = Registry()
 
 
-@register(f"WITH {U} SELECT cell_id, cohort, marker, v, round(u, 8) AS u FROM u WHERE marker IN ('area', 'dnx')")
-def ecdf_cohort(spark: SparkSession, d: str) -> DataFrame:
-    """Mid-rank within cohort and marker, brought back to every row."""
-    rows = long_values(standard_cells(spark, d), "cell_id", "cohort").where(F.col("marker").isin("area", "dnx"))
+def _cohort_ranks(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("cohort", "marker", "v").agg(F.count(F.lit(1)).alias("n"))
     u = ranks.mid_rank(counts, ["cohort", "marker"]).select("cohort", "marker", "v", fixed("u", 8).alias("u"))
     return rows.join(u, ["cohort", "marker", "v"]).select("cell_id", "cohort", "marker", "v", "u")
 
 
+@register(f"WITH {U} SELECT cell_id, cohort, marker, v, round(u, 8) AS u FROM u WHERE marker IN ('area', 'dnx')")
+def ecdf_cohort(spark: SparkSession, d: str) -> DataFrame:
+    """Mid-rank of area and dnx within cohort and marker, brought back to every row."""
+    return _cohort_ranks(long_values(standard_cells(spark, d), "cell_id", "cohort").where(F.col("marker").isin("area", "dnx")))
+
+
+@register(f"WITH {U} SELECT cell_id, cohort, marker, v, round(u, 8) AS u FROM u")
+def ecdf_cohort_all(spark: SparkSession, d: str) -> DataFrame:
+    """ecdf_cohort for every marker."""
+    return _cohort_ranks(long_values(standard_cells(spark, d), "cell_id", "cohort"))
+
+
 @register(f"""WITH {L}, r AS (SELECT *, (rank() OVER (PARTITION BY image_id, marker ORDER BY v) + (count(*) OVER (PARTITION BY image_id, marker, v) - 1) / 2.0) / count(*) OVER (PARTITION BY image_id, marker) AS u FROM l)
 SELECT image_id, marker, v, round(max(u), 8) AS u, count(*) AS n FROM r WHERE marker = 'area' GROUP BY 1, 2, 3""")
 def ecdf_image(spark: SparkSession, d: str) -> DataFrame:
-    """Mid-rank within the slide, one row for each distinct value."""
+    """Mid-rank of area within the slide, one row for each distinct value."""
     counts = value_counts(standard_cells(spark, d), "image_id").where("marker = 'area'")
     return ranks.mid_rank(counts, ["image_id", "marker"]).select("image_id", "marker", "v", fixed("u", 8).alias("u"), "n")
 
 
+@register(f"""WITH {L}, r AS (SELECT *, (rank() OVER (PARTITION BY image_id, marker ORDER BY v) + (count(*) OVER (PARTITION BY image_id, marker, v) - 1) / 2.0) / count(*) OVER (PARTITION BY image_id, marker) AS u FROM l)
+SELECT image_id, marker, v, round(max(u), 8) AS u, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+def ecdf_image_all(spark: SparkSession, d: str) -> DataFrame:
+    """ecdf_image for every marker."""
+    counts = value_counts(standard_cells(spark, d), "image_id")
+    return ranks.mid_rank(counts, ["image_id", "marker"]).select("image_id", "marker", "v", fixed("u", 8).alias("u"), "n")
+
+
 @register("SELECT registry_id, row_number() OVER (PARTITION BY panel_id ORDER BY registry_id) - 1 AS k FROM marker_registry WHERE panel_id IS NOT NULL")
 def cumcount(spark: SparkSession, d: str) -> DataFrame:
     """Ordinal within the panel, from 0."""
