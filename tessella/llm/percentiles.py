@@ -1,9 +1,10 @@
 """Problem 5: percentiles per group by radix selection, with bounded rank error and results that can be combined.
 
 A number becomes an integer in the same order: the sign bit of a float decides whether its other bits are flipped.
-The first pass counts the leading digits of these integers per load and group; such histograms add up across loads,
-days or partitions.  A target rank lies in exactly one digit's bin; only such bins are followed into their next
-digit, until a bin holds one value or too few rows to matter.
+One pass over the rows counts the leading digits of these integers per load and group, and the further digits of every
+bin that holds enough of its load's group to matter; such histograms add up across loads, days or partitions, and the
+percentiles come from them alone.  There a target rank lies in exactly one digit's bin; only such bins are followed into
+their next digit, until a bin holds one value.
 """
 
 from __future__ import annotations
@@ -17,18 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.plans.materialize import broadcast_up_to, cut, small_batches
+from tessella.plans.materialize import cut, small_batches
 
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 #: Bits of the first digit: sign, exponent and a little of the mantissa; bits of each further digit.
 FIRST = {32: 12, 64: 15}
 NEXT = 5
-#: Groups of which the followed bins (about 1 KB each) are broadcast; more of them are joined by a shuffle.
-MOST_BROADCAST = 20_000
-#: Rows tallied at once in a task.
+#: Rows summarised at once in a task.
 BATCH = 100_000
-#: A followed bin of at most this many rows is resolved to full values at once.
-SMALL = 32
+#: A followed bin of at most this many stored values is resolved to full values at once.
+SMALL = 100_000
 
 
 def order_key(values: np.ndarray) -> np.ndarray:
@@ -45,18 +44,7 @@ def key_value(keys: np.ndarray, bits: int) -> np.ndarray:
     return raw.astype(np.int32).view(np.float32).astype(np.float64) if bits == 32 else raw.view(np.float64)
 
 
-def _tally(codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes with their number of rows, least and greatest key."""
-    order = np.argsort(codes, kind="stable")
-    codes, keys = codes[order], keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(starts, len(codes)))
-    if not len(starts):
-        return codes, sizes, keys, keys
-    return codes[starts], sizes, np.minimum.reduceat(keys, starts), np.maximum.reduceat(keys, starts)
-
-
-_HIST = "kind string, g1 string, g2 string, {load}field int, shift int, prefix long, n long, low long, high long"
+_HIST = "load_id long, kind string, g1 string, g2 string, field int, shift int, prefix long, n long, low long, high long"
 
 
 def _arrays(frame: pd.DataFrame, fields: list[str], bits: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -69,87 +57,46 @@ def _arrays(frame: pd.DataFrame, fields: list[str], bits: list[int]) -> list[tup
     return out
 
 
-def _first_pass(kinds: dict[str, tuple[str, ...]], fields: list[str], bits: list[int]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            keyed = _arrays(frame, fields, bits)
-            load = pd.factorize(frame["load_id"], use_na_sentinel=False)
-            for kind, columns in kinds.items():
-                codes = frame.groupby(list(columns), dropna=False, sort=False).ngroup().to_numpy()
-                firsts = np.unique(codes, return_index=True)[1]
-                n_loads, n_fields, span = len(load[1]), len(fields), 1 << max(FIRST.values())
-                parts, all_keys = [], []
-                for f, ((at, keys), b) in enumerate(zip(keyed, bits)):
-                    place = (codes[at].astype(np.int64) * n_loads + load[0][at]) * n_fields + f
-                    parts.append(place * span + (keys >> (b - FIRST[b])) + span // 2)
-                    all_keys.append(keys)
-                place, size, low, high = _tally(np.concatenate(parts), np.concatenate(all_keys))
-                prefix, place = place % span - span // 2, place // span
-                field, place = (place % n_fields).astype(np.int32), place // n_fields
-                rows = firsts[place // n_loads]
-                out = pd.DataFrame({"kind": kind, "g1": frame[columns[0]].to_numpy()[rows], "g2": frame[columns[1]].to_numpy()[rows] if len(columns) > 1 else None})
-                out["load_id"] = pd.array(load[1].take(place % n_loads) if len(place) else [], dtype="Int64")
-                shifts = np.array([b - FIRST[b] for b in bits], np.int32)
-                out["field"], out["shift"], out["prefix"] = field, shifts[field], prefix
-                out["n"], out["low"], out["high"] = size, low, high
-                yield out
-
-    return run
-
-
-def _follow(kinds: dict[str, tuple[str, ...]], fields: list[str], bits: list[int]):
-    """Next digits of the rows in followed bins; ``bins_<kind>`` lists a group's bins as field:prefix:from:to."""
+def _leaves(place: np.ndarray, keys: np.ndarray, bits: int, error: float) -> tuple[np.ndarray, ...]:
+    """Place, shift, prefix, rows, least and greatest key of the bins of each place: a bin's next digit is taken until
+    the bin holds one value or less than ``error`` of its place's rows."""
+    order = np.lexsort((keys, place))
+    place, keys = place[order], keys[order]
+    limit = error * np.bincount(place)[place] if len(place) else np.empty(0)
+    done, shift = [], bits - FIRST[bits]
+    while len(keys):
+        prefix = keys >> shift
+        starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (prefix[1:] != prefix[:-1])]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        low, high = keys[starts], keys[starts + sizes - 1]
+        settled = (low == high) | (sizes < limit[starts]) | (shift == 0)
+        at = starts[settled]
+        done.append((place[at], np.full(len(at), shift), prefix[at], sizes[settled], low[settled], high[settled]))
+        open_ = np.repeat(~settled, sizes)
+        place, keys, limit = place[open_], keys[open_], limit[open_]
+        shift = max(0, shift - NEXT)
+    return tuple(np.concatenate(x).astype(np.int64) if done else np.empty(0, np.int64) for x in (zip(*done) if done else [()] * 6))
+
+
+def _summarise(kinds: dict[str, tuple[str, ...]], fields: list[str], bits: list[int], error: float):
+    """Bins of each load and group, for each batch of rows by itself."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[str, dict[int, list[tuple[int, int, int]]]] = {}
         for frame in frames:
             if not len(frame):
                 continue
-            if len(parsed) > 20_000:
-                parsed.clear()
             keyed = _arrays(frame, fields, bits)
+            loads = frame["load_id"].to_numpy()
             for kind, columns in kinds.items():
-                texts = frame[f"bins_{kind}"].to_numpy()
-                codes = frame.groupby(list(columns), dropna=False, sort=False).ngroup().to_numpy()
+                codes = frame.groupby(["load_id", *columns], dropna=False, sort=False).ngroup().to_numpy()
                 firsts = np.unique(codes, return_index=True)[1]
-                parts, all_keys, all_prefixes = [], [], []
-                for f, (at, keys) in enumerate(keyed):
-                    entries = []
-                    for group, row in enumerate(firsts):
-                        text = texts[row]
-                        if text is None:
-                            continue
-                        if text not in parsed:
-                            by_field: dict[int, list[tuple[int, int, int]]] = {}
-                            for piece in text.split(";"):
-                                field, prefix, start, end = map(int, piece.split(":"))
-                                by_field.setdefault(field, []).append((prefix, start, end))
-                            parsed[text] = by_field
-                        entries += [(group, *e) for e in parsed[text].get(f, ())]
-                    if not entries:
-                        continue
-                    table = np.array(entries, np.int64)
-                    for start, end in np.unique(table[:, 2:], axis=0):
-                        mine = table[(table[:, 2] == start) & (table[:, 3] == end)]
-                        asked = pd.MultiIndex.from_arrays([mine[:, 0], mine[:, 1]])
-                        hit = asked.get_indexer(pd.MultiIndex.from_arrays([codes[at], keys >> start])) >= 0
-                        chosen = keys[hit]
-                        parts.append((codes[at][hit].astype(np.int64) * len(fields) + f) * 64 + end)
-                        all_keys.append(chosen)
-                        all_prefixes.append(chosen >> end)
-                if not parts:
-                    continue
-                prefixes, number = np.unique(np.concatenate(all_prefixes), return_inverse=True)
-                place, size, low, high = _tally(np.concatenate(parts) * len(prefixes) + number, np.concatenate(all_keys))
-                prefix, place = prefixes[place % max(1, len(prefixes))], place // max(1, len(prefixes))
-                shift, place = (place % 64).astype(np.int32), place // 64
-                rows = firsts[place // len(fields)]
-                out = pd.DataFrame({"kind": kind, "g1": frame[columns[0]].to_numpy()[rows], "g2": frame[columns[1]].to_numpy()[rows] if len(columns) > 1 else None})
-                out["field"], out["shift"], out["prefix"] = (place % len(fields)).astype(np.int32), shift, prefix
-                out["n"], out["low"], out["high"] = size, low, high
-                yield out
+                for f, ((at, keys), b) in enumerate(zip(keyed, bits)):
+                    place, shift, prefix, size, low, high = _leaves(codes[at], keys, b, error)
+                    rows = firsts[place]
+                    out = pd.DataFrame({"load_id": pd.array(loads[rows], dtype="Int64"), "kind": kind, "g1": frame[columns[0]].to_numpy()[rows], "g2": frame[columns[1]].to_numpy()[rows] if len(columns) > 1 else None})
+                    out["field"], out["shift"], out["prefix"] = f, shift, prefix
+                    out["n"], out["low"], out["high"] = size, low, high
+                    yield out
 
     return run
 
@@ -172,75 +119,74 @@ class RadixPercentiles:
         typed = [F.col(f).cast("float" if b == 32 else "double").alias(f) for f, b in zip(fields, self.bits)]
         self.rows = rows.select(F.col(load).cast("long").alias("load_id"), *[F.col(c).cast("string").alias(c) for c in columns], *typed)
 
-    def _partial(self) -> DataFrame:
-        run = _first_pass(self.groupings, self.fields, self.bits)
+    def _partial(self, error: float) -> DataFrame:
         small_batches(self.rows.sparkSession, BATCH)
-        return self.rows.mapInPandas(run, _HIST.format(load="load_id long, "))
+        return self.rows.mapInPandas(_summarise(self.groupings, self.fields, self.bits, error), _HIST)
+
+    def histograms(self, error: float = 0.005) -> DataFrame:
+        """Histograms per load and group: the results that can be stored and combined.
 
-    def histograms(self) -> DataFrame:
-        """First-digit histograms per load and group: the results that can be stored and combined."""
-        return _merged(self._partial(), "load_id", *_GROUP, "shift", "prefix")
+        Around any value, the bins of a load that hold values on both sides of it have less than ``error`` of the rows
+        of the load's group, so those of all loads together have less than ``error`` of the whole group.
+        """
+        return _merged(self._partial(error), "load_id", *_GROUP, "shift", "prefix")
 
     def _locate(self, hist: DataFrame, targets: DataFrame) -> DataFrame:
-        """The bin of each target rank; ``before`` counts the group's rows below the bins that are listed."""
+        """The bin of each target; ``before`` is the weight of the group below the bins that are listed."""
         inner = Window.partitionBy(*_GROUP, "within").orderBy("prefix")
-        ranged = hist.withColumn("upto", F.sum("n").over(inner)).withColumn("lower", F.col("upto") - F.col("n"))
+        ranged = hist.withColumn("upto", F.sum("w").over(inner)).withColumn("lower", F.col("upto") - F.col("w"))
         asked = targets.withColumnsRenamed({k: f"t_{k}" for k in (*_GROUP, "within")})
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in (*_GROUP, "within")])
-        return ranged.join(asked, same).where("rank - before > lower and rank - before <= upto").select(
-            *_GROUP, "percentile", "rank", "total", (F.col("before") + F.col("lower")).alias("before"), "shift", "prefix", "n", "low", "high"
+        return ranged.join(asked, same).where("2 * rank - before > lower and 2 * rank - before <= upto").select(
+            *_GROUP, "percentile", "rank", "total", (F.col("before") + F.col("lower")).alias("before"), "shift", "prefix", "points", "low", "high"
         )
 
     def compute(self, percentiles=PERCENTILES, error: float = 0.005, histograms: DataFrame | None = None) -> DataFrame:
         """``kind, g1, g2, field, percentile, total, value``: the values of the target ranks, each an actual value of its
         group whose rank is off by less than ``error`` times the group's finite values.
 
+        With ``histograms``, such as loads stored, the rows aren't read, and the error is the one these were made with.
         NULL, NaN and infinite values don't count; a group without finite values gives no row; NULL is a group of its
         own; ties and repeated rows count as often as they occur.
         """
         # the tasks' parts of a load's histogram add up just as the loads do, so they needn't be merged by load first
-        loads = cut(self._partial() if histograms is None else histograms, "load-hist")
-        hist = _merged(loads, *_GROUP, "shift", "prefix").withColumn("within", F.lit(0).cast("long"))
-        totals = loads.groupBy(*_GROUP).agg(F.sum("n").alias("total"))
+        loads = cut(self._partial(error) if histograms is None else histograms, "load-hist")
+        # half of a bin's rows count at its least value and half at its greatest (as weights of n, for whole numbers);
+        # a rank is then off by at most half of the bins that it may lie in
+        ends = F.array(*[F.struct(F.col(c).alias("key"), F.col("n").alias("w")) for c in ("low", "high")])
+        points = cut(loads.select(*_GROUP, F.inline(ends)).groupBy(*_GROUP, "key").agg(F.sum("w").alias("w")), "points")
+        bits = F.array(*map(F.lit, self.bits))[F.col("field")]
+        first = F.when(bits == 32, 32 - FIRST[32]).otherwise(64 - FIRST[64])
+        hist = self._binned(points.withColumn("shift", first).withColumn("within", F.lit(0).cast("long")))
         rank = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("total") / 100.0)).cast("long")
         targets = (
-            totals.withColumn("percentile", F.explode(F.array(*map(F.lit, percentiles)))).withColumn("rank", rank)
+            loads.groupBy(*_GROUP).agg(F.sum("n").alias("total"))
+            .withColumn("percentile", F.explode(F.array(*map(F.lit, percentiles)))).withColumn("rank", rank)
             .withColumn("before", F.lit(0).cast("long")).withColumn("within", F.lit(0).cast("long"))
         )
         done: list[DataFrame] = []
         while True:
             found = cut(self._locate(hist, targets), "ranks")
-            settled = (F.col("low") == F.col("high")) | (F.col("n") < error * F.col("total")) | (F.col("shift") == 0)
+            settled = F.col("low") == F.col("high")
             done.append(found.where(settled))
             open_ = found.where(~settled)
             if open_.isEmpty():
                 break
-            small = (F.col("n") <= SMALL) | (F.col("shift") <= NEXT)
-            bins = open_.withColumn("to", F.when(small, 0).otherwise(F.col("shift") - NEXT).cast("int"))
-            hist = cut(self._next(bins), "next-hist").join(bins.select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("prefix").alias("within"), F.col("shift").alias("_from"), "to").distinct(), self._belongs()).drop(*[f"_{k}" for k in _GROUP], "_from", "to")
+            whole = (F.col("points") <= SMALL) | (F.col("shift") <= NEXT)
+            bins = open_.withColumn("to", F.when(whole, 0).otherwise(F.col("shift") - NEXT).cast("int"))
+            followed = bins.select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("prefix").alias("within"), F.col("shift").alias("_from"), F.col("to").alias("shift")).distinct()
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in _GROUP])
+            inside = points.join(followed, same & (F.expr("shiftright(key, _from)") == F.col("within")))
+            hist = cut(self._binned(inside), "next-hist")
             targets = bins.select(*_GROUP, "percentile", "rank", "total", "before", F.col("prefix").alias("within"))
-        out = reduce(DataFrame.unionByName, done)
-        upper = F.col("rank") - F.col("before") > F.col("n") / 2
-        return self._decode(out.withColumn("key", F.when(upper, F.col("high")).otherwise(F.col("low"))))
+        return self._decode(reduce(DataFrame.unionByName, done).withColumn("key", F.col("low")))
 
     @staticmethod
-    def _belongs():
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in _GROUP])
-        return same & (F.col("shift") == F.col("to")) & (F.expr("shiftright(prefix, _from - to)") == F.col("within"))
-
-    def _next(self, bins: DataFrame) -> DataFrame:
-        """Histograms of the next digits within the followed bins, from one more pass over the rows."""
-        rows = self.rows.drop("load_id")
-        small_batches(rows.sparkSession, BATCH)
-        text = F.concat_ws(":", F.col("field"), F.col("prefix"), F.col("shift"), F.col("to"))
-        for kind, columns in self.groupings.items():
-            lists = bins.where(F.col("kind") == kind).groupBy("g1", "g2").agg(F.array_join(F.collect_set(text), ";").alias(f"bins_{kind}"))
-            lists = cut(lists.withColumnsRenamed({"g1": f"_{kind}1", "g2": f"_{kind}2"}), "bins")
-            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{kind}{i}")) for i, c in enumerate(columns, 1)])
-            rows = rows.join(broadcast_up_to(lists, MOST_BROADCAST), same, "left").drop(f"_{kind}1", f"_{kind}2")
-        wanted = reduce(lambda a, b: a | b, [F.col(f"bins_{kind}").isNotNull() for kind in self.groupings])
-        counted = rows.where(wanted).mapInPandas(_follow(self.groupings, self.fields, self.bits), _HIST.format(load=""))
-        return _merged(counted, *_GROUP, "shift", "prefix")
+    def _binned(points: DataFrame) -> DataFrame:
+        """Weight, number of points, least and greatest key of each digit's bin."""
+        return points.withColumn("prefix", F.expr("shiftright(key, shift)")).groupBy(*_GROUP, "within", "shift", "prefix").agg(
+            F.sum("w").alias("w"), F.count(F.lit(1)).alias("points"), F.min("key").alias("low"), F.max("key").alias("high")
+        )
 
     def _decode(self, out: DataFrame) -> DataFrame:
         bits, fields = self.bits, self.fields
