@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions.numbers import fixed
 from tessella.operators import evaluation as ev
 from tessella.operators import gates, prototypes, sampling
-from tessella.plans.materialize import broadcast_up_to
+from tessella.plans.materialize import broadcast_up_to, cut
 from tessella.sources.standard import MARKERS, standard_cells
 from tessella.sources.tables import table
 
@@ -107,11 +107,11 @@ def cohort_probe(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def masked_marker_regression(spark: SparkSession, d: str) -> DataFrame:
     """M2: a hidden marker predicted from the others by ridge regression, each cohort held out in turn (no SQL)."""
-    names = ["area_px2", "raw_velk2", "raw_orsa1"]
+    names = [c for c in MARKERS.values() if c != "raw_dnx"]
     cells = standard_cells(spark, d).where("raw_dnx is not null").select("cohort", "raw_dnx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(cells).select("cohort", "features", "raw_dnx")
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(cut(cells, "masked")).select("cohort", "features", "raw_dnx")
     out = None
-    for held in ("NORDA", "OSTEL", "PELIC"):
+    for (held,) in table(spark, d, "cohorts").select("cohort").orderBy("cohort").collect():
         model = LinearRegression(featuresCol="features", labelCol="raw_dnx", regParam=0.1, solver="normal").fit(data.where(F.col("cohort") != held))
         scored = model.transform(data.where(F.col("cohort") == held))
         gap = F.col("raw_dnx") - F.col("prediction")
