@@ -249,18 +249,17 @@ def distribution_changes(cells: DataFrame, loads: DataFrame, cohorts: DataFrame,
     )
     at_start = F.col("before_ours") / F.col("all_ours") - F.col("before_theirs") / F.col("all_theirs")
     reach = F.greatest(F.abs(at_start + F.col("ours") / F.col("all_ours")), F.abs(at_start - F.col("theirs") / F.col("all_theirs")))
-    shares = cut(shares.withColumn("reach", reach), "shares")
+    at_end = at_start + F.col("ours") / F.col("all_ours") - F.col("theirs") / F.col("all_theirs")
+    shares = cut(shares.withColumn("reach", reach).withColumn("known", F.max(F.abs(at_end)).over(column)), "shares")
     possible = shares.groupBy("pair", "column_name").agg(F.max("reach").alias("possible"))
     candidates = (
         tested.join(possible, (F.col("pair") == F.col("load_id")) & (possible["column_name"] == tested["column_name"]))
         .where((F.col("gap_alone") >= least_gap) | (F.col("possible") > limit - 1e-9)).select("pair", tested["column_name"])
     )
     candidates = cut(candidates, "candidates")
-    # only the bins that can hold the greatest difference are counted value by value; a bin is a task's share
-    reaching = F.max("reach").over(column)
-    asked = shares.join(candidates, ["pair", "column_name"]).withColumn("most", reaching).where(
-        (F.col("reach") > limit - 1e-9) | (F.col("reach") == F.col("most"))
-    ).drop("most", "ours", "theirs", "reach")
+    # only the bins that can hold the greatest difference, which is at least the one known at the bins' ends, are
+    # counted value by value; a bin is a task's share
+    asked = shares.join(candidates, ["pair", "column_name"]).where(F.col("reach") > F.col("known") - 1e-9).drop("known", "ours", "theirs", "reach")
     involved = asked.select("pair", "column_name", "bin").join(pairs.withColumnRenamed("load_id", "pair"), "pair")
     needed = involved.select(F.col("pair").alias("load_id"), "column_name", "bin").unionByName(involved.select(F.col("baseline").alias("load_id"), "column_name", "bin")).distinct()
     counts = long.join(needed, ["load_id", "column_name", "bin"], "left_semi").groupBy("load_id", "column_name", "bin", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -78,6 +78,17 @@ def test_difference_matches_sorting(spark, cohorts):
         assert row.difference == pytest.approx(ks) and row.drift == (ks > 0.2)
 
 
+def test_difference_beside_a_bin_of_ties(spark, cohorts):
+    rng = np.random.default_rng(6)
+    # half of both loads is one value, whose bin has the greatest bound and hardly any difference
+    a, b = np.r_[rng.uniform(0, 70, 600), [100.0] * 600], np.r_[70 * rng.beta(1.5, 1, 600), [100.0] * 600]
+    rows = [(i, "A", "s", None, float(i), float(x), 0.5, load_id, None, None) for load_id, part in ((1, a), (2, b)) for i, x in enumerate(part)]
+    got = quality.distribution_changes(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, None), (2, 1)], LOADS), cohorts)
+    ks = max(abs((a <= v).mean() - (b <= v).mean()) for v in np.union1d(a, b))
+    row = got.where("column_name = 'area_px2'").first()
+    assert 0.05 < ks < 0.2 and row.difference == pytest.approx(ks) and not row.drift
+
+
 def test_classifier_tells_columns_apart(spark, cohorts):
     rows = load(1, n=800) + load(2, n=800, shift=60, seed=7)
     got = quality.distribution_changes(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, None), (2, 1)], LOADS), cohorts)
