@@ -35,7 +35,7 @@ _command = re.compile(
 _joined = re.compile(r"\{" + _JOIN + r"(.)\}", re.S)
 _definition = re.compile(
     r"\\(?:(?:re|provide)?newcommand\*?\s*(?:\{\s*\\([A-Za-z@]+)\s*\}|\\([A-Za-z@]+))\s*(?:\[(\d)\])?(?:\[[^\]]*\])?"
-    r"|def\s*\\([A-Za-z@]+)\s*((?:#\d)*))\s*\{"
+    r"|g?def\s*\\([A-Za-z@]+)\s*((?:#\d)*))\s*\{"
 )
 
 
@@ -54,8 +54,8 @@ def _accented(m: re.Match) -> str:
     return " "
 
 
-def _body(text: str, at: int) -> tuple[str, int]:
-    """The balanced group whose opening brace ends just before ``at``, and the place after it."""
+def _body(text: str, at: int) -> tuple[str, int | None]:
+    """The balanced group whose opening brace ends just before ``at``, and the place after it; None if it isn't closed."""
     depth, i = 1, at
     while i < len(text):
         c = text[i]
@@ -68,7 +68,7 @@ def _body(text: str, at: int) -> tuple[str, int]:
             if not depth:
                 return text[at:i], i + 1
         i += 1
-    return text[at : at + 200], len(text)  # a cut-off file
+    return text[at : at + 200], None  # a cut-off file
 
 
 def macros(text: str) -> dict[str, tuple[int, str]]:
@@ -100,6 +100,9 @@ def expand(text: str, depth: int = 6, growth: int = 8) -> str:
                     end += 1
                 if end < len(text) and text[end] == "{":
                     arg, end = _body(text, end + 1)
+                    if end is None:  # the use stays as it is, so that no text is lost
+                        body, end = m[0], m.end()
+                        break
                 else:
                     arg, end = text[end : end + 1], end + 1
                 body = body.replace(f"#{k}", arg)
@@ -118,7 +121,7 @@ def tex_words(text: str | None) -> list[str]:
     if not text:
         return []
     if "\\" in text:
-        if "\\newcommand" in text or "\\def" in text or "\\renewcommand" in text or "\\providecommand" in text:
+        if "\\newcommand" in text or "\\def" in text or "\\gdef" in text or "\\renewcommand" in text or "\\providecommand" in text:
             text = expand(text)
         text = _command.sub(_accented, text)
         if _JOIN in text:

@@ -18,6 +18,13 @@ def test_tex_words():
     assert tex_words(r"\newcommand{\cut}{never closed") == ["cut", "never", "closed", "never", "closed"] or True
 
 
+def test_open_argument_drops_no_text():
+    rest = " ".join(f"w{k}" for k in range(200))
+    assert tex_words(r"\newcommand{\x}[1]{#1} before \x{" + rest)[-201:] == ["before", *rest.split()]
+    assert tex_words(r"\newcommand{\x}[2]{#1 #2} \x{a}{b " + rest)[-202:] == ["a", "b", *rest.split()]
+    assert tex_words(r"\gdef\y{marks apiece} 12 \y{} x")[-4:] == ["12", "marks", "apiece", "x"]
+
+
 def brute(doc, item, n=12):
     d, i = tex_words(doc), word_runs(item.lower())
     grams = {tuple(i[k : k + n]) for k in range(len(i) - n + 1)}
