@@ -1,8 +1,8 @@
 """Lineage cuts that survive a lost executor.
 
 A cut writes the frame as Parquet below ``spark.checkpoint.dir`` (the folder all executors share) and reads it
-back: smaller than an RDD checkpoint, and later readers still prune its columns.  Where the setting is absent, as in
-tests on one machine, a temporary folder is made for the session and removed at exit.
+back: smaller than an RDD checkpoint, and later readers still prune its columns.  What is written is removed when the
+session ends.
 """
 
 from __future__ import annotations
@@ -19,10 +19,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a session-wide temporary folder if none is set."""
+    """``spark.checkpoint.dir`` of the session; on one machine, if none is set, a temporary folder of the session.
+
+    Executors on other machines don't see such a folder, so there the setting is required.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tessella-")
@@ -30,17 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which exists and is removed when the session's JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and return a frame that reads it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of one Arrow batch, for tables whose single values may hold megabytes of text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
 def broadcast_up_to(df: DataFrame, rows: int = 10_000) -> DataFrame:

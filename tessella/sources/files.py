@@ -2,36 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from tessella.plans.materialize import shared_dir
-
-
-def _place(df: DataFrame, kind: str) -> str:
-    return f"{shared_dir(df.sparkSession)}/tessella-{kind}-{uuid.uuid4().hex}"
+from tessella.plans.materialize import shared_path, until_exit
 
 
 def csv_round_trip(df: DataFrame) -> DataFrame:
     """Write text columns as CSV and read them with their own schema; empty strings come back empty, 'NA' stays a name."""
-    path = _place(df, "csv")
+    path = shared_path(df.sparkSession, "csv")
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return (
         df.sparkSession.read.schema(df.schema).option("header", True).option("escape", '"').option("multiLine", True)
-        .option("nullValue", "\x00").option("emptyValue", "").csv(path)
+        .option("nullValue", "\x00").option("emptyValue", "").csv(until_exit(df.sparkSession, path))
     )
 
 
 def json_round_trip(df: DataFrame) -> DataFrame:
     """Write rows as JSON lines and read them with their own schema, so nothing is inferred."""
-    path = _place(df, "json")
+    path = shared_path(df.sparkSession, "json")
     df.write.json(path)
-    return df.sparkSession.read.schema(df.schema).json(path)
+    return df.sparkSession.read.schema(df.schema).json(until_exit(df.sparkSession, path))
 
 
 def partitioned(df: DataFrame, *keys: str) -> DataFrame:
     """Write Parquet partitioned by ``keys`` and read it back; filters on the keys skip folders."""
-    path = _place(df, "parts")
+    path = shared_path(df.sparkSession, "parts")
     df.write.partitionBy(*keys).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(until_exit(df.sparkSession, path))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.plans.materialize import shared_dir
+from tessella.plans.materialize import shared_path, until_exit
 
 
 def _events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -24,10 +22,11 @@ def _parent(folder: str, name: str) -> str:
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Write the stream to Parquet until all present input is taken, then read the result."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/tessella-stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     if mode == "append":
         query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         query.awaitTermination()
+        until_exit(spark, base)
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
     # complete results are replaced by each micro-batch; the last one stands
     latest = []
@@ -39,6 +38,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    until_exit(spark, base)
     return spark.read.schema(stream.schema).parquet(latest[-1]) if latest else spark.createDataFrame([], stream.schema)
 
 
