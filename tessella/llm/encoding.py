@@ -8,8 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.plans.materialize import small_batches
-
 from . import bpe
 
 
@@ -20,7 +18,6 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     recognised, their strings are ordinary text.  NULL and empty texts give an empty list; other columns are not read;
     repeated rows stay repeated; an empty table gives no rows.
     """
-    small_batches(df.sparkSession)
     path = ranks or bpe.default_path()
     source = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
 

@@ -22,6 +22,7 @@ LETTERS = {
     "i": "ı", "j": "ȷ",
 }
 
+_defines = re.compile(r"\\(?:(?:re|provide)?newcommand|g?def)(?![A-Za-z])").search
 _JOIN = "\ue000"  # stands before a letter made from an accent command, until its braces are gone
 _command = re.compile(
     r"\\(?:(?P<hyphen>-)"
@@ -54,78 +55,196 @@ def _accented(m: re.Match) -> str:
     return " "
 
 
-def _body(text: str, at: int) -> tuple[str, int | None]:
-    """The balanced group whose opening brace ends just before ``at``, and the place after it; None if it isn't closed."""
-    depth, i = 1, at
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            i += 1
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return text[at:i], i + 1
-        i += 1
-    return text[at : at + 200], None  # a cut-off file
-
-
-def macros(text: str) -> dict[str, tuple[int, str]]:
-    """Macros that the text defines: name to number of arguments and body; the last definition counts."""
+_braces = re.compile(r"\\.|[{}]", re.S)
+_parameter = re.compile(r"#(\d)")
+_token = re.compile(r"\\(?:[A-Za-z@]+|.)|.", re.S)
+#: Stands between passages that aren't neighbours: a word that no item holds.
+BREAK = "ꙮ" * 3
+
+
+def _closings(text: str) -> dict[int, int]:
+    """The place after each opening brace, to the place of the brace that closes it; open groups are left out."""
+    open_, out = [], {}
+    for m in _braces.finditer(text):
+        if m[0] == "{":
+            open_.append(m.end())
+        elif m[0] == "}" and open_:
+            out[open_.pop()] = m.start()
+    return out
+
+
+def macros(text: str, closings: dict[int, int] | None = None) -> dict[str, tuple[int, str]]:
+    """Macros that the text defines: name to number of arguments and body; the last definition counts.
+
+    The body of a group that is never closed, as in a cut-off file, goes on to the text's end.
+    """
+    closings = _closings(text) if closings is None else closings
     out = {}
     for m in _definition.finditer(text):
         name = m[1] or m[2] or m[4]
-        out[name] = (int(m[3] or 0) if m[4] is None else m[5].count("#"), _body(text, m.end())[0])
+        out[name] = (int(m[3] or 0) if m[4] is None else m[5].count("#"), text[m.end() : closings.get(m.end(), len(text))])
     return out
 
 
-def expand(text: str, depth: int = 6, growth: int = 8) -> str:
-    """The text with its own macros replaced, nested ones up to ``depth``; a text that grows beyond ``growth`` times
-    its length (plus 100,000 characters) by recursive macros is left at that stage."""
-    known = macros(text)
-    if not known:
-        return text
-    most = growth * len(text) + 100_000
-    use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?![A-Za-z@])")
-    for _ in range(depth):
-        out, done = [], 0
-        for m in use.finditer(text):
-            if m.start() < done:
+def _reached(known: dict[str, tuple[int, str]], use: re.Pattern) -> dict[str, set[str]]:
+    """Each macro with all macros that its body uses, directly or through others."""
+    direct = {name: {m[1] for m in use.finditer(body)} for name, (_, body) in known.items()}
+    out = {}
+    for name in known:
+        seen, stack = set(), list(direct[name])
+        while stack:
+            other = stack.pop()
+            if other not in seen:
+                seen.add(other)
+                stack += out[other] - seen if other in out else direct[other]
+        out[name] = seen
+    return out
+
+
+def _ends_in_command(text: str) -> bool:
+    name = len(text)
+    while name and (text[name - 1].isascii() and text[name - 1].isalpha() or text[name - 1] == "@"):
+        name -= 1
+    slashes = name
+    while slashes and text[slashes - 1] == "\\":
+        slashes -= 1
+    return name < len(text) and (name - slashes) % 2 == 1
+
+
+class _Frame:
+    """A stretch of text at work: its place, what is done of it, and the macro use at hand with its arguments."""
+
+    def __init__(self, text: str, closings: dict[int, int], at: int, end: int, owner: str | None = None, key: tuple | None = None):
+        self.text, self.closings, self.at, self.end, self.owner, self.key = text, closings, at, end, owner, key
+        self.parts: list[str] = []
+        self.use: str | None = None
+        self.left: list[tuple[int, int]] = []
+        self.done: list[str] = []
+
+    def add(self, value: str) -> None:
+        """Append what a use stands for; its letters are no part of a command's name before it, nor those after it of one at its end."""
+        if value and self.parts and _ends_in_command(self.parts[-1]):
+            self.parts.append(" ")
+        self.parts.append(value + " " if _ends_in_command(value) else value)
+
+
+class _Expansion:
+    """Macro uses of one text replaced by what they stand for.
+
+    Arguments come first, then the body; equal uses are worked out once.  What a macro uses of itself, directly or
+    through others, is a plain command.  What a use stands for is kept whole up to ``2 * keep`` words; of a longer one
+    its first and last ``keep`` words stand in the text, and the whole is put ``aside`` once.  So every run of at most
+    ``keep`` words is met, and no chain of macros makes the text grow beyond ``2 * keep`` words a use.
+    """
+
+    def __init__(self, known: dict[str, tuple[int, str]], keep: int):
+        self.known, self.keep = known, keep
+        self.use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?![A-Za-z@])")
+        self.reached = _reached(known, self.use)
+        self.values: dict[tuple, str] = {}
+        self.aside: list[str] = []
+
+    def of(self, text: str, closings: dict[int, int]) -> str:
+        """The text expanded; by a stack of its own, so that no depth is too deep."""
+        defined = {m.start(k) - 1 for m in _definition.finditer(text) for k in (1, 2, 4) if m[k]}
+        frames = [_Frame(text, closings, 0, len(text))]
+        while True:
+            f = frames[-1]
+            if f.use is not None:
+                if f.left:
+                    frames.append(_Frame(f.text, f.closings, *f.left.pop(), f.owner))
+                    continue
+                key = (f.use, *f.done)
+                if key in self.values:
+                    f.add(self.values[key])
+                    f.use = None
+                else:
+                    body = _parameter.sub(lambda m: f.done[int(m[1]) - 1] if 0 < int(m[1]) <= len(f.done) else m[0], self.known[f.use][1])
+                    frames.append(_Frame(body, _closings(body), 0, len(body), f.use, key))
                 continue
-            n, body = known[m[1]]
-            end = m.end()
-            for k in range(1, n + 1):
-                while end < len(text) and text[end] in " \t\n":
-                    end += 1
-                if end < len(text) and text[end] == "{":
-                    arg, end = _body(text, end + 1)
-                    if end is None:  # the use stays as it is, so that no text is lost
-                        body, end = m[0], m.end()
-                        break
+            m = self.use.search(f.text, f.at, f.end)
+            if m is None:
+                f.parts.append(f.text[f.at : f.end])
+                value = "".join(f.parts)
+                frames.pop()
+                if not frames:
+                    return value
+                if f.key is not None:
+                    self.values[f.key] = self._bounded(value)
                 else:
-                    arg, end = text[end : end + 1], end + 1
-                body = body.replace(f"#{k}", arg)
-            out += [text[done : m.start()], body]
-            done = end
-        if not done:
-            break
-        text = "".join([*out, text[done:]])
-        if len(text) > most:
-            break
-    return text
-
-
-def tex_words(text: str | None) -> list[str]:
-    """Lower-case words of a TeX text; none for an empty or missing one."""
-    if not text:
-        return []
+                    frames[-1].done.append(value)
+                continue
+            f.parts.append(f.text[f.at : m.start()])
+            spans, after = self._arguments(f.text, f.closings, m.end(), f.end, self.known[m[1]][0])
+            recursive = f.owner is not None and (f.owner == m[1] or f.owner in self.reached[m[1]])
+            if recursive or spans is None or (len(frames) == 1 and m.start() in defined):
+                # a macro within itself, one with an argument that is never closed, and the name of a definition stay
+                # as they are, so that no text is lost
+                f.parts.append(" " if recursive else m[0])
+                f.at = m.end()
+            else:
+                f.use, f.left, f.done, f.at = m[1], spans[::-1], [], after
+
+    @staticmethod
+    def _arguments(text: str, closings: dict[int, int], at: int, end: int, n: int) -> tuple[list[tuple[int, int]] | None, int]:
+        """Spans of the ``n`` arguments from ``at`` on, and the place after them; None if one isn't closed."""
+        spans = []
+        for _ in range(n):
+            while at < end and text[at] in " \t\n":
+                at += 1
+            if at < end and text[at] == "{":
+                stop = closings.get(at + 1)
+                if stop is None or stop >= end:
+                    return None, at
+                spans.append((at + 1, stop))
+                at = stop + 1
+            else:
+                m = _token.match(text, at, end)
+                spans.append((at, m.end() if m else at))
+                at = spans[-1][1]
+        return spans, at
+
+    def _bounded(self, value: str) -> str:
+        if len(value) <= 4 * self.keep:
+            return value
+        read = _read(value)
+        # a word longer than any item's equals none, so its rest doesn't matter
+        words = [w[: self.keep + 1] for w in word_runs(read)]
+        if len(words) <= 2 * self.keep:
+            inner = " ".join(words)
+        else:
+            self.aside.append(" ".join(words))
+            inner = " ".join([*words[: self.keep], BREAK, *words[-self.keep :]])
+        return ("" if word_runs(read[:1]) else " ") + inner + ("" if word_runs(read[-1:]) else " ")
+
+
+def expand(text: str, keep: int = 1_000) -> str:
+    """The text with its own macros replaced; see ``_Expansion`` for what ``keep`` bounds."""
+    closings = _closings(text)
+    known = macros(text, closings)
+    if not known:
+        return text
+    expansion = _Expansion(known, keep)
+    main = expansion.of(text, closings)
+    return f" {BREAK} ".join([main, *expansion.aside])
+
+
+def _read(text: str) -> str:
+    """The text with its commands read: accents as letters, keys dropped, other commands as spaces."""
     if "\\" in text:
-        if "\\newcommand" in text or "\\def" in text or "\\gdef" in text or "\\renewcommand" in text or "\\providecommand" in text:
-            text = expand(text)
         text = _command.sub(_accented, text)
         if _JOIN in text:
             text = _joined.sub(r"\1", text).replace(_JOIN, "")
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    return word_runs(text.lower())
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
+
+
+def tex_words(text: str | None, keep: int = 1_000) -> list[str]:
+    """Lower-case words of a TeX text; none for an empty or missing one.
+
+    Every run of at most ``keep`` words of the text with its macros expanded is a run of the result.
+    """
+    if not text:
+        return []
+    if "\\" in text and _defines(text):
+        text = expand(text, keep)
+    return word_runs(_read(text).lower())
