@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessella.llm.frequency import label_terms, standard_label
-from tessella.llm.grouping import assign_splits, components, slide_splits, tied_slides
+from tessella.llm.grouping import assign_splits, components, shared_out, slide_splits, tied_slides
 from tessella.llm.percentiles import CELL_FIELDS, RadixPercentiles, cell_percentiles, key_value, order_key
 
 CELLS = "cell_id long, image_id string, cohort string, native_label string, patient_id string, area_px2 double, raw_dnx float, raw_velk2 float, raw_orsa1 float, raw_tamq4 float, load_id int, term string, node string, prefix long"
@@ -72,6 +72,39 @@ def test_components(spark, per_task):
     assert got == {x: find(x) for x in parent}
 
 
+@pytest.mark.parametrize("form", ["hub", "path", "cliques"])
+def test_levels_shrink_and_tasks_are_bounded(spark, form):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import grouping
+
+    n, limit = 20_000, 4_000
+    if form == "hub":
+        edges, groups = spark.range(n).selectExpr("'hub' as a", "concat('n', id) as b"), 1
+    elif form == "path":  # names in no order, so that neighbours are never in one share
+        edges, groups = spark.range(n).selectExpr("md5(string(id)) as a", "md5(string(id + 1)) as b"), 1
+    else:
+        edges, groups = spark.range(n).selectExpr("concat('x', id % 500, '-', id % 7) as a", "concat('x', id % 500, '-', id % 11) as b"), 500
+    counts, shares = [], []
+    forests, shared = grouping._forests, grouping._shares
+
+    def seen(level, rows, per_task):
+        counts.append(rows)
+        parts = shared(level, rows, per_task)
+        shares.extend(r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect())
+        return forests(level, rows, per_task)
+
+    grouping._forests = seen
+    try:
+        got = components(edges, limit)
+        assert got.select("root").distinct().count() == groups
+        assert got.count() == edges.selectExpr("explode(array(a, b))").distinct().count()
+        assert got.groupBy("root").agg(F.min("node").alias("least")).where("root <> least").isEmpty()
+    finally:
+        grouping._forests = forests
+    assert max(shares, default=0) <= limit and all(y < x for x, y in zip(counts, counts[1:]))
+
+
 COHORTS = [("A", r"A\|P\d{3}"), ("B", r"B\|\d+")]
 
 
@@ -107,10 +140,27 @@ def test_splits_hold_groups_and_shares(spark):
 
 def test_equal_groups_are_shared_out(spark):
     slides = spark.createDataFrame([(f"s{i}", f"s{i}", None if i % 2 else "A") for i in range(200)], "image_id string, group_id string, cohort string")
-    n = {r.split: r["count"] for r in assign_splits(slides, buckets=5).groupBy("split").count().collect()}
+    n = {r.split: r["count"] for r in assign_splits(slides, bucket_rows=45).groupBy("split").count().collect()}
     assert n == {"train": 136, "validation": 24, "test": 40}
 
 
+def test_sharing_out_equals_one_by_one():
+    r = random.Random(1)
+    for _ in range(300):
+        lead, step, n = [r.choice([r.uniform(-50, 300), float(r.randrange(100))]) for _ in range(3)], float(r.choice([1, 4, 9])), r.randrange(1, 200)
+        left, counts = lead[:], [0, 0, 0]
+        for _ in range(n):
+            best = max(range(3), key=lambda s: lead[s] - counts[s] * step)
+            counts[best] += 1
+        assert sum(shared_out(lead, step, n)) == n and shared_out(lead, step, n) == counts, (lead, step, n, left)
+
+
+def test_many_equal_groups(spark):
+    slides = spark.range(1_000_000).selectExpr("concat('s', id) as image_id", "concat('s', id) as group_id", "'A' as cohort")
+    n = {r.split: r["count"] for r in assign_splits(slides).groupBy("split").count().collect()}
+    assert n == {"train": 680_000, "validation": 120_000, "test": 200_000}
+
+
 def test_keys_keep_order():
     for kind in (np.float32, np.float64):
         v = np.sort(np.array([-np.finfo(kind).max, -3.5, -1e-30, -0.0, 0.0, 1e-30, 0.1, 2.0, np.finfo(kind).max], kind))
