@@ -1,23 +1,29 @@
 """Problem 8: cut oversized texts into overlapping pieces at natural boundaries.
 
-Texts are read in ranges of characters.  A worker sees its range with a halo and finds the first place in each halo
-where no pre-token can go on; from there to the next range's place it counts tokens and lists the natural boundaries
-(section, paragraph, line and sentence ends).  The boundary tables of one text are then stitched in order: prefix sums
-of the token counts give every boundary its offset in the whole text, and pieces come out as offsets while at most one
-piece's tokens are held.  Texts of a single range need no stitching and no shuffle.
+Large texts are read in ranges that end where no pre-token can go on.  For a file, workers look for such a place in a
+halo after each range's first byte, these places are stitched to a table of ranges, and each range is then read by its
+offsets; a text that is a row's value is cut at such places in one go.  Ranges are dealt to all tasks, which count
+tokens and list the natural boundaries (section, paragraph, line and sentence ends).  The boundary tables of one text
+are then stitched in order: prefix sums of the lengths give every boundary its offset in the whole text, and pieces come
+out as offsets, and as stretches of ranges, while at most one piece's tokens are held.  Texts of a single range need
+no stitching and no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.materialize import cut
+from tessella.plans.materialize import cut, task_count
 
 from . import bpe
 
@@ -35,7 +41,7 @@ _BLANKS = np.array([ord(c) for c in " \t\r\n\f\v\u00a0\u2028\u2029\u3000"], np.u
 #: No pre-token crosses a change from a visible character to white space, or between ASCII letters and digits.
 _seam = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
-PIECE = "doc_id {k}, piece_no int, first_token long, end_token long, first_char long, end_char long, cut_at string, n_tokens long"
+_OFFSETS = "piece_no int, first_token long, end_token long, first_char long, end_char long, cut_at string, n_tokens long"
 
 
 def natural_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -132,79 +138,138 @@ class Cutter:
         )
 
 
-def _seam_after(text: str, at: int, reach: int) -> int:
-    """The first seam at or after ``at``, within ``reach`` characters; -1 if there is none."""
-    m = _seam.search(text, at, min(len(text), at + reach))
-    return m.end() if m else -1
-
-
-def _ranges(df: DataFrame, size: int, halo: int) -> DataFrame:
-    """One row for each range of each text: its number, the number of ranges, and its characters with the halo."""
-    n = F.length("text")
-    count = F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
-    return (
-        df.select("doc_id", "text", "row", count.alias("ranges"))
-        .select("doc_id", "row", "text", "ranges", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)).alias("range_no"))
-        .select(
-            "doc_id", "row", "ranges", "range_no",
-            F.when(F.col("ranges") == 1, F.col("text"))
-            .otherwise(F.substring("text", F.greatest(F.lit(1), F.col("range_no") * size), F.lit(size + halo + 1)))
-            .alias("body"),
-        )
-    )
+_RANGE = "doc_id {k}, row string, range_no int, ranges int, body string"
+_TABLE = _RANGE + ", n_tokens long, spans binary, tokens binary, levels binary"
+
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-def _scan(limit: int, overlap: int, size: int, halo: int, path: str, key: str):
-    """Function for mapInPandas: finished pieces of one-range texts, boundary tables of the others."""
+
+def _whole(limit: int, overlap: int, path: str, with_text: bool):
+    """Function for mapInPandas: the pieces of texts of one range; with their characters, of oversized texts only."""
+    columns = ["doc_id", *_names(_OFFSETS), *(["piece_text"] if with_text else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = bpe.encoder(path)
         for frame in frames:
             rows = []
-            for doc, row_id, ranges, no, body in frame.itertuples(index=False, name=None):
-                body = body or ""
-                if ranges == 1:
-                    spans = encoder.spans(body) if body else np.empty(0, np.int16)
-                    table = boundaries(body, spans) if len(spans) > limit else (np.empty(0, np.int64), np.empty(0, np.int8))
-                    cutter = Cutter(limit, overlap)
-                    for row in cutter.feed(spans, *table, True):
-                        rows.append((doc, row_id, -1, *row, len(spans), None, None, None, True))
+            for doc, text in frame.itertuples(index=False, name=None):
+                text = text or ""
+                spans = encoder.spans(text) if text else np.empty(0, np.int16)
+                over = len(spans) > limit
+                if with_text and not over:
                     continue
-                lead = 1 if no else 0  # the character before the range, for the seam's look back
-                start = _seam_after(body, lead, halo) if no else 0
-                stop = _seam_after(body, lead + size, halo) if no < ranges - 1 else len(body)
-                whole = start >= 0 and stop >= 0
-                spans = encoder.spans(body[start:stop]) if whole else np.empty(0, np.int16)
-                token, level = boundaries(body[start:stop], spans) if whole else (np.empty(0, np.int64), np.empty(0, np.int8))
-                rows.append((doc, row_id, no, None, None, None, None, None, None, len(spans), spans.tobytes(), token.astype(np.int32).tobytes(), level.tobytes(), whole))
-            yield pd.DataFrame(rows, columns=_columns)
-
-    schema = (
-        f"doc_id {key}, row long, range_no int, piece_no int, first_token long, end_token long, first_char long, end_char long, "
-        "cut_at string, n_tokens long, spans binary, tokens binary, levels binary, whole boolean"
-    )
-    _columns = [c.split()[0] for c in schema.split(", ")]
-    return run, schema
+                table = boundaries(text, spans) if over else (np.empty(0, np.int64), np.empty(0, np.int8))
+                for row in Cutter(limit, overlap).feed(spans, *table, True):
+                    rows.append((doc, *row, len(spans), text[row[3] : row[4]]) if with_text else (doc, *row, len(spans)))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def _places(text: str, size: int) -> list[int]:
+    """Where the text's ranges begin and end: each is the first seam after ``size`` characters of the former range."""
+    out = [0]
+    while (m := _seam.search(text, out[-1] + size)) is not None:
+        out.append(m.end())
+    return [*out, len(text)]
+
+
+def _ranges(size: int):
+    """Function for mapInPandas: one row for each range of each text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc, row, text in frame.itertuples(index=False, name=None):
+                places = _places(text, size)
+                for k in range(0, len(places) - 1, 64):
+                    part = [(doc, row, no, len(places) - 1, text[places[no] : places[no + 1]]) for no in range(k, min(k + 64, len(places) - 1))]
+                    yield pd.DataFrame(part, columns=_names(_RANGE))
+
+    return run
+
+
+def _tables(path: str):
+    """Function for mapInPandas: each range with its tokens and natural boundaries."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = bpe.encoder(path)
+        for frame in frames:
+            rows = []
+            for body in frame["body"]:
+                spans = encoder.spans(body) if body else np.empty(0, np.int16)
+                token, level = boundaries(body, spans)
+                rows.append((len(spans), spans.tobytes(), token.astype(np.int32).tobytes(), level.tobytes()))
+            got = pd.DataFrame(rows, columns=["n_tokens", "spans", "tokens", "levels"])
+            yield pd.concat([frame.reset_index(drop=True), got], axis=1)
+
+    return run
 
 
 def _stitch(limit: int, overlap: int):
-    """Function for mapInPandas over boundary tables sorted by text and range."""
+    """Function for mapInPandas over boundary tables sorted by text and range: pieces with the stretches of ranges they are made of."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter = None
+        cutter, starts = None, [0]
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
                 if cutter is None or r.range_no == 0:
-                    cutter = Cutter(limit, overlap)
+                    cutter, starts = Cutter(limit, overlap), [0]
+                spans = np.frombuffer(r.spans, np.int16)
+                starts.append(starts[-1] + int(np.where(spans < 0, -1 - spans, spans).sum(dtype=np.int64)))
                 token = np.frombuffer(r.tokens, np.int32).astype(np.int64)
-                fed = cutter.feed(np.frombuffer(r.spans, np.int16), token, np.frombuffer(r.levels, np.int8), r.range_no == r.last_no)
-                rows += [(r.doc_id, *row, r.total) for row in fed]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "first_token", "end_token", "first_char", "end_char", "cut_at", "n_tokens"])
+                for row in cutter.feed(spans, token, np.frombuffer(r.levels, np.int8), r.range_no == r.ranges - 1):
+                    first, end, parts = row[3], row[4], []
+                    for no in range(bisect_right(starts, first) - 1, r.range_no + 1):
+                        lo, hi = max(first, starts[no]), min(end, starts[no + 1])
+                        if lo < hi:
+                            parts.append({"range_no": no, "start": lo - starts[no], "n": hi - lo})
+                    rows.append((r.doc_id, *row, r.total, r.row, parts))
+            yield pd.DataFrame(rows, columns=["doc_id", *_names(_OFFSETS), "row", "parts"])
 
     return run
 
 
+def _assembled(tables: DataFrame, kind: str, limit: int, overlap: int, with_text: bool) -> DataFrame:
+    """The pieces of the texts whose ranges ``tables`` has; with their characters, of oversized texts only."""
+    totals = tables.groupBy("row").agg(F.sum("n_tokens").alias("total"))
+    if with_text:
+        totals = totals.where(F.col("total") > limit)
+    sorted_tables = (
+        tables.select("doc_id", "row", "range_no", "ranges", "spans", "tokens", "levels").join(totals, "row")
+        .repartition("row").sortWithinPartitions("row", "range_no")
+    )
+    schema = f"doc_id {kind}, {_OFFSETS}, row string, parts array<struct<range_no: int, start: int, n: int>>"
+    pieces = sorted_tables.mapInPandas(_stitch(limit, overlap), schema)
+    columns = ["doc_id", *_names(_OFFSETS)]
+    if not with_text:
+        return pieces.select(columns)
+    stretch = pieces.select("*", F.inline("parts")).drop("parts").join(tables.select("row", "range_no", "body"), ["row", "range_no"])
+    text = F.struct("range_no", F.expr("substring(body, start + 1, n)").alias("text"))
+    joined = stretch.groupBy("row", *columns).agg(F.array_sort(F.collect_list(text)).alias("texts"))
+    return joined.select(*columns, F.array_join("texts.text", "").alias("piece_text"))
+
+
+def _pieces(df: DataFrame, key: str, text: str, limit: int, overlap: int, range_chars: int, ranks: str | None, with_text: bool) -> DataFrame:
+    if not 0 <= overlap < limit // 2:
+        raise ValueError("overlap must be less than half the limit")
+    spark, path = df.sparkSession, ranks or bpe.default_path()
+    source = df.select(df[key].alias("doc_id"), df[text].cast("string").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, {_OFFSETS}" + (", piece_text string" if with_text else "")
+    whole = source.where(F.coalesce(F.length("text"), F.lit(0)) <= range_chars).mapInPandas(_whole(limit, overlap, path, with_text), schema)
+    large = source.where(F.length("text") > range_chars)
+    name = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), F.lit("\x02"), "text"))
+    ranges = (
+        large.select("doc_id", name.alias("row"), "text").mapInPandas(_ranges(range_chars), _RANGE.format(k=kind))
+        .repartition(task_count(spark), "row", "range_no").dropDuplicates(["row", "range_no"])
+    )
+    tables = cut(ranges.select(_names(_RANGE)).mapInPandas(_tables(path), _TABLE.format(k=kind)), "ranges")
+    return whole.unionByName(_assembled(tables, kind, limit, overlap, with_text)).withColumnRenamed("doc_id", key)
+
+
 def piece_offsets(
     df: DataFrame,
     key: str = "doc_id",
@@ -212,7 +277,6 @@ def piece_offsets(
     limit: int = 1024,
     overlap: int = 64,
     range_chars: int = 65_536,
-    halo: int = 4_096,
     ranks: str | None = None,
 ) -> DataFrame:
     """Offsets of the pieces of every text: one row for a text within the limit, several for an oversized one.
@@ -221,49 +285,83 @@ def piece_offsets(
     boundary ends the piece; ``end`` for the last) and ``n_tokens`` of the whole text.  Consecutive pieces share
     ``overlap`` tokens, a few more where the overlap would begin within a character.  NULL and empty texts give one
     empty piece.  Different texts of one key, NULL included, are cut apart from one another; whole repeats of a text of
-    several ranges give its pieces once.  Other columns aren't read.  A text whose halo shows no seam (a run of over ``halo`` letters)
-    is processed as one range: slower, with the same result.
+    more than ``range_chars`` characters give its pieces once.  Other columns aren't read; an empty table gives no rows.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be less than half the limit")
-    path = ranks or bpe.default_path()
-    source = df.select(df[key].alias("doc_id"), df[text].cast("string").alias("text"), F.xxhash64(df[text]).alias("row"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    run, schema = _scan(limit, overlap, range_chars, halo, path, kind)
-    scanned = cut(_ranges(source, range_chars, halo).mapInPandas(run, schema), "ranges")
-    out = [c.split()[0] for c in PIECE.split(", ")]
-    pieces = scanned.where("piece_no is not null").select(*out)
-    of_text = Window.partitionBy("doc_id", "row")
-    tables = (
-        scanned.where("piece_no is null").select("doc_id", "row", "range_no", "n_tokens", "spans", "tokens", "levels", "whole")
-        .dropDuplicates(["doc_id", "row", "range_no"]).repartition("doc_id", "row")
-        .withColumn("last_no", F.max("range_no").over(of_text)).withColumn("total", F.sum("n_tokens").over(of_text))
-        .withColumn("seamed", F.min("whole").over(of_text))
-    )
-    stitched = (
-        tables.where("seamed").select("doc_id", "row", "range_no", "spans", "tokens", "levels", "last_no", "total")
-        .sortWithinPartitions("doc_id", "row", "range_no").mapInPandas(_stitch(limit, overlap), PIECE.format(k=kind))
-    )
-    left = scanned.where("piece_no is null and not whole").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
-    if left.isEmpty():  # the usual case; the texts needn't move to be compared with nothing
-        return pieces.unionByName(stitched).withColumnRenamed("doc_id", key)
-    one = source.join(left, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left_semi").select(
-        "doc_id", "row", F.lit(1).alias("ranges"), F.lit(0).alias("range_no"), F.col("text").alias("body")
-    )
-    rest = one.mapInPandas(run, schema).select(*out)
-    return pieces.unionByName(stitched).unionByName(rest).withColumnRenamed("doc_id", key)
+    return _pieces(df, key, text, limit, overlap, range_chars, ranks, False)
 
 
-def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1024, **options) -> DataFrame:
+def split_texts(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    limit: int = 1024,
+    overlap: int = 64,
+    range_chars: int = 65_536,
+    ranks: str | None = None,
+) -> DataFrame:
     """The pieces of oversized texts with their characters (``piece_text``), otherwise as ``piece_offsets``.
 
-    The text is rebuilt by dropping from each piece the characters before the former piece's ``end_char``.  The key
-    must be unique and not NULL here, since it brings the pieces back to their text.
+    The text is rebuilt by dropping from each piece the characters before the former piece's ``end_char``.  Only texts
+    of more than ``range_chars`` characters are shuffled, as ranges.
+    """
+    return _pieces(df, key, text, limit, overlap, range_chars, ranks, True)
+
+
+def _read_bytes(path: str, at: int, n: int) -> bytes:
+    """``n`` bytes of a file from ``at`` on, from a local path or whatever store the path names."""
+    if path.startswith("file:"):
+        with open("/" + unquote(path[5:]).lstrip("/"), "rb") as f:
+            f.seek(at)
+            return f.read(n)
+    store, place = pa.fs.FileSystem.from_uri(path)
+    with store.open_input_file(place) as f:
+        f.seek(at)
+        return f.read(n)
+
+
+def _file_seams(size: int, halo: int):
+    """Function for mapInPandas: for each range of a file the byte at which the first pre-token in its halo begins; -1 if none is seen there."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at = []
+            for path, no in zip(frame["path"], frame["range_no"]):
+                if no == 0:
+                    at.append(0)
+                    continue
+                data = _read_bytes(path, no * size - 1, halo + 1)  # with a byte before, for the seam's look back
+                lead = next((k for k, byte in enumerate(data[:4]) if byte & 0xC0 != 0x80), 0)
+                text = data[lead:].decode("utf-8", "surrogateescape")
+                m = _seam.search(text, 1)
+                at.append(no * size - 1 + lead + len(text[: m.end()].encode("utf-8", "surrogateescape")) if m else -1)
+            yield pd.DataFrame({"path": frame["path"].to_numpy(), "length": frame["length"].to_numpy(), "at": at})
+
+    return run
+
+
+def _file_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        body = [_read_bytes(p, a, n).decode("utf-8", "replace") for p, a, n in zip(frame["path"], frame["at"], frame["n"])]
+        yield pd.DataFrame({"doc_id": frame["path"], "row": frame["path"], "range_no": frame["range_no"], "ranges": frame["ranges"], "body": body})
+
+
+def split_files(
+    spark: SparkSession, paths: str | list[str], limit: int = 1024, overlap: int = 64, range_bytes: int = 1 << 20, halo: int = 4_096, ranks: str | None = None
+) -> DataFrame:
+    """The pieces of oversized text files, as ``split_texts`` with ``path`` for a key; no task reads a whole file.
+
+    Where a halo shows no place to part pre-tokens, a range goes on to the next one that does.  Bytes that aren't
+    UTF-8 become U+FFFD; an empty file gives no piece.
     """
-    pieces = piece_offsets(df, key, text, limit, **options).where(F.col("n_tokens") > limit)
-    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_whole"))
-    return (
-        pieces.join(texts, pieces[key] == F.col("_key"))
-        .withColumn("piece_text", F.expr("substring(_whole, int(first_char) + 1, int(end_char - first_char))"))
-        .drop("_whole", "_key")
-    )
+    tasks = task_count(spark)
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
+    starts = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes).cast("int"))).alias("range_no"))
+    seams = starts.repartition(tasks, "path", "range_no").mapInPandas(_file_seams(range_bytes, halo), "path string, length long, at long").where("at >= 0 and at < length")
+    of_file = Window.partitionBy("path").orderBy("at")
+    table = (
+        seams.distinct().withColumn("n", F.lead("at").over(of_file)).withColumn("n", F.coalesce("n", "length") - F.col("at"))
+        .withColumn("range_no", F.row_number().over(of_file) - 1).withColumn("ranges", F.count(F.lit(1)).over(Window.partitionBy("path")).cast("int"))
+    )
+    bodies = table.repartition(tasks, "path", "at").mapInPandas(_file_ranges, _RANGE.format(k="string"))
+    tables = cut(bodies.mapInPandas(_tables(ranks or bpe.default_path()), _TABLE.format(k="string")), "ranges")
+    return _assembled(tables, "string", limit, overlap, True).withColumnRenamed("doc_id", "path")

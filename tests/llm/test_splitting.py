@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tessella.llm import bpe
-from tessella.llm.splitting import piece_offsets, split_texts
+from tessella.llm.splitting import piece_offsets, split_files, split_texts
 
 pytestmark = pytest.mark.skipif(not os.path.exists(bpe.default_path()), reason="no vocabulary here")
 
@@ -27,11 +27,11 @@ def docs(spark):
     return spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").selectExpr("*", "'clash' as piece_no", "1 as row")
 
 
-@pytest.mark.parametrize("size,halo", [(65_536, 4_096), (700, 90), (300, 40)])
-def test_pieces_cover_and_overlap(docs, size, halo):
+@pytest.mark.parametrize("size", [65_536, 700, 300])
+def test_pieces_cover_and_overlap(docs, size):
     limit, overlap, e = 128, 16, bpe.encoder()
     by_doc = {}
-    for r in split_texts(docs, limit=limit, overlap=overlap, range_chars=size, halo=halo).collect():
+    for r in split_texts(docs, limit=limit, overlap=overlap, range_chars=size).collect():
         by_doc.setdefault(r.doc_id, []).append(r)
     assert set(by_doc) == {k for k, t in TEXTS.items() if t and len(e.ids(t)) > limit}
     for doc, pieces in by_doc.items():
@@ -49,10 +49,10 @@ def test_pieces_cover_and_overlap(docs, size, halo):
 
 
 def test_ranges_do_not_change_pieces(docs):
-    def pieces(size, halo):
-        return sorted(map(tuple, piece_offsets(docs, limit=128, overlap=16, range_chars=size, halo=halo).collect()))
+    def pieces(size):
+        return sorted(map(tuple, piece_offsets(docs, limit=128, overlap=16, range_chars=size).collect()))
 
-    assert pieces(300, 40) == pieces(65_536, 4_096)
+    assert pieces(300) == pieces(65_536)
 
 
 def test_natural_boundaries_are_used(spark):
@@ -72,13 +72,56 @@ def test_small_and_missing_texts(spark):
 def test_equal_keys_with_different_long_texts(spark):
     a, b = article(3, 600), article(4, 700)
     df = spark.createDataFrame([(1, a), (1, b), (None, a)], "doc_id long, text string")
-    rows = piece_offsets(df, limit=128, overlap=16, range_chars=500, halo=60).collect()
+    rows = piece_offsets(df, limit=128, overlap=16, range_chars=500).collect()
     ends = sorted(((r.doc_id, r.end_char) for r in rows if r.cut_at == "end"), key=repr)
     assert ends == sorted([(1, len(a)), (1, len(b)), (None, len(a))], key=repr)
     with pytest.raises(ValueError):
         piece_offsets(df, limit=10, overlap=5)
 
 
+def test_files_are_cut_like_values(spark, tmp_path):
+    texts = {"a b.txt": article(5, 4000), "seamless": "日本" * 3000 + " end " + "x" * 9000 + "\n" + "word " * 500, "small": "short", "empty": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    wanted = sorted(tuple(r)[1:] for r in split_texts(df, "name", limit=128, overlap=16).collect())
+    for size, halo in ((1 << 20, 4096), (1000, 100), (333, 20)):
+        got = split_files(spark, str(tmp_path), limit=128, overlap=16, range_bytes=size, halo=halo)
+        assert sorted(tuple(r)[1:] for r in got.collect()) == wanted
+    assert len(wanted) > 100
+
+
+def test_ranges_of_one_text_are_dealt_out(spark, monkeypatch):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tessella.llm import splitting
+
+    seen = []
+    keep = splitting.cut
+    monkeypatch.setattr(splitting, "cut", lambda df, name="cut": seen.append(keep(df, name)) or seen[-1])
+    text, took = article(1, 20_000), []
+    for times in (4, 16):
+        df = spark.createDataFrame([(1, text * times)], "doc_id long, text string")
+        began = time.time()
+        n = split_texts(df).where("cut_at = 'end'").first()
+        took.append(time.time() - began)
+        assert n.end_char == len(text) * times
+    files = seen[-1].select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 0.3 * sum(r["count"] for r in files)
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_places_are_found_once():
+    from tessella.llm.splitting import _places
+
+    assert _places("a" * 100, 10) == [0, 100] and _places("ab cd ef", 3) == [0, 5, 8]
+    text = "x" * 3_000_000 + " " + "y z " * 50_000
+    places = _places(text, 1000)
+    assert places[:2] == [0, 3_000_000] and places == sorted(set(places)) and len(places) > 150
+
+
 def test_natural_places():
     from tessella.llm.splitting import LINE, PARAGRAPH, SECTION, SENTENCE, natural_places
 
