@@ -243,7 +243,7 @@ def leaks(
     pairs = candidates.join(passages.select("passage_no", "passage"), "passage_no").join(known.select("item_no", "words"), "item_no")
     # dealt out one by one: few bytes and much work, so neither bytes nor keys should set the tasks
     aligned = pairs.repartition(task_count(spark)).mapInPandas(_aligned, "passage_no string, item_no string, score int, equal_words int, longest_run int")
-    aligned = aligned.join(known.select("item_no", "item_id", F.col("n_words").alias("item_words")), "item_no")
+    aligned = aligned.join(known.select("item_no", "item_id", F.col("n_words").alias("item_words")), "item_no").drop("item_no")
     holds = skew_join(scanned.select("doc_id", "passage_no").distinct(), cut(aligned, "aligned"), ["passage_no"], F.col("doc_id"))
     top = F.max(F.struct(F.col("equal_words") / F.col("item_words"), "item_words"))
     return (
