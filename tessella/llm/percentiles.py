@@ -1,7 +1,7 @@
 """Problem 5: percentiles per group by radix selection, with bounded rank error and results that can be combined.
 
 A number becomes an integer in the same order: the sign bit of a float decides whether its other bits are flipped.
-One pass over the rows counts the leading digits of these integers per load and group, and the further digits of every
+One pass over the rows counts the leading digit of these integers per load and group, and takes a further digit of every
 bin that holds enough of its load's group to matter; such histograms add up across loads, days or partitions, and the
 percentiles come from them alone.  There a target rank lies in exactly one digit's bin; only such bins are followed into
 their next digit, until a bin holds one value.
@@ -14,18 +14,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.plans.joins import skew_join
 from tessella.plans.materialize import cut
 
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
-#: Bits of the first digit: sign, exponent and a little of the mantissa; bits of each further digit.
-FIRST = {32: 12, 64: 15}
-NEXT = 5
+#: Bits of a number, of its first digit (sign and exponent), of each further digit where ranks are followed, and of each
+#: further digit of a load's bins, which are to be few.
+BITS, FIRST, NEXT, SPLIT = 64, 12, 13, 1
 #: Rows summarised at once in a task.
-BATCH = 100_000
+BATCH = 250_000
 #: A followed bin of at most this many stored values is resolved to full values at once.
 SMALL = 100_000
 
@@ -44,100 +46,139 @@ def key_value(keys: np.ndarray, bits: int) -> np.ndarray:
     return raw.astype(np.int32).view(np.float32).astype(np.float64) if bits == 32 else raw.view(np.float64)
 
 
-_HIST = "load_id long, kind string, g1 string, g2 string, field int, shift int, prefix long, n long, low long, high long"
-
-
-def _arrays(frame: pd.DataFrame, fields: list[str], bits: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each field the positions of its finite values, and their keys."""
-    out = []
-    for name, b in zip(fields, bits):
-        values = frame[name].to_numpy(np.float32 if b == 32 else np.float64, na_value=np.nan)
-        at = np.flatnonzero(np.isfinite(values))
-        out.append((at, order_key(values[at])))
-    return out
+_BINS = "array<struct<shift: int, prefix: long, n: long, low: long, high: long>>"
+_HIST = f"load_id long, kind string, g1 string, g2 string, field int, total long, bins {_BINS}"
+_GROUP = ("kind", "g1", "g2", "field")
 
 
-def _leaves(place: np.ndarray, keys: np.ndarray, bits: int, error: float) -> tuple[np.ndarray, ...]:
-    """Place, shift, prefix, rows, least and greatest key of the bins of each place: a bin's next digit is taken until
-    the bin holds one value or less than ``error`` of its place's rows."""
+def _leaves(place: np.ndarray, keys: np.ndarray, error: float) -> tuple[np.ndarray, ...]:
+    """Place, shift, prefix, rows, least and greatest key of the bins of each place, in order: a bin's next digit is taken
+    until the bin holds one value or less than ``error`` of its place's rows.  A place with so few rows that each of
+    them matters has a bin for each value."""
     order = np.lexsort((keys, place))
     place, keys = place[order], keys[order]
     limit = error * np.bincount(place)[place] if len(place) else np.empty(0)
-    done, shift = [], bits - FIRST[bits]
-    while len(keys):
-        prefix = keys >> shift
-        starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (prefix[1:] != prefix[:-1])]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        low, high = keys[starts], keys[starts + sizes - 1]
-        settled = (low == high) | (sizes < limit[starts]) | (shift == 0)
-        at = starts[settled]
-        done.append((place[at], np.full(len(at), shift), prefix[at], sizes[settled], low[settled], high[settled]))
-        open_ = np.repeat(~settled, sizes)
-        place, keys, limit = place[open_], keys[open_], limit[open_]
-        shift = max(0, shift - NEXT)
-    return tuple(np.concatenate(x).astype(np.int64) if done else np.empty(0, np.int64) for x in (zip(*done) if done else [()] * 6))
-
-
-def _summarise(kinds: dict[str, tuple[str, ...]], fields: list[str], bits: list[int], error: float):
-    """Bins of each load and group, for each batch of rows by itself."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            keyed = _arrays(frame, fields, bits)
-            loads = frame["load_id"].to_numpy()
-            for kind, columns in kinds.items():
-                codes = frame.groupby(["load_id", *columns], dropna=False, sort=False).ngroup().to_numpy()
-                firsts = np.unique(codes, return_index=True)[1]
-                for f, ((at, keys), b) in enumerate(zip(keyed, bits)):
-                    place, shift, prefix, size, low, high = _leaves(codes[at], keys, b, error)
-                    rows = firsts[place]
-                    out = pd.DataFrame({"load_id": pd.array(loads[rows], dtype="Int64"), "kind": kind, "g1": frame[columns[0]].to_numpy()[rows], "g2": frame[columns[1]].to_numpy()[rows] if len(columns) > 1 else None})
-                    out["field"], out["shift"], out["prefix"] = f, shift, prefix
-                    out["n"], out["low"], out["high"] = size, low, high
-                    yield out
+    done = []
+
+    def level(some: np.ndarray, shift: int) -> np.ndarray:
+        """The bins of the keys chosen that need no further digit; the keys of the others."""
+        at, key, most = place[some], keys[some], limit[some]
+        prefix = key >> shift
+        starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (prefix[1:] != prefix[:-1])]))
+        sizes = np.diff(np.append(starts, len(key)))
+        low, high = key[starts], key[starts + sizes - 1]
+        settled = (low == high) | (sizes < most[starts]) | (shift == 0)
+        k = starts[settled]
+        done.append((at[k], np.full(len(k), shift), prefix[k], sizes[settled], low[settled], high[settled]))
+        return some[np.repeat(~settled, sizes)]
+
+    few = np.flatnonzero(limit <= 1)
+    if len(few):
+        level(few, 0)
+    rest, shift = np.flatnonzero(limit > 1), BITS - FIRST
+    while len(rest):
+        rest, shift = level(rest, shift), max(0, shift - SPLIT)
+    if not done:
+        return tuple(np.empty(0, np.int64) for _ in range(6))
+    out = [np.concatenate(x).astype(np.int64) for x in zip(*done)]
+    order = np.lexsort((out[4], out[0]))
+    return tuple(x[order] for x in out)
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, int]:
+    """Small numbers for the column's values, 0 for NULL, and how many there are."""
+    coded = column.dictionary_encode()
+    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1, len(coded.dictionary) + 1
+
+
+def _summary(table: pa.Table, groupings: dict[str, tuple[str, ...]], fields: list[str], error: float) -> Iterator[pa.RecordBatch]:
+    columns = {c: table[c].combine_chunks() for c in ("load_id", *dict.fromkeys(c for g in groupings.values() for c in g))}
+    coded = {c: _codes(x) for c, x in columns.items()}
+    keyed = []
+    for name in fields:
+        values = table[name].to_numpy()
+        at = np.flatnonzero(np.isfinite(values))
+        keyed.append((at, order_key(values[at])))
+    for kind, group in groupings.items():
+        code = coded["load_id"][0]
+        for c in group:
+            code = code * coded[c][1] + coded[c][0]
+        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        for f, (at, keys) in enumerate(keyed):
+            place, shift, prefix, size, low, high = _leaves(inverse[at], keys, error)
+            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, np.int64)
+            n, rows = len(starts), pa.array(first[place[starts]])
+            parts = [pa.array(shift.astype(np.int32)), *map(pa.array, (prefix, size, low, high))]
+            bins = pa.ListArray.from_arrays(pa.array(np.append(starts, len(place)).astype(np.int32)), pa.StructArray.from_arrays(parts, ["shift", "prefix", "n", "low", "high"]))
+            second = columns[group[1]].take(rows) if len(group) > 1 else pa.nulls(n, pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    columns["load_id"].take(rows), pa.array([kind] * n, pa.string()), columns[group[0]].take(rows).cast(pa.string()), second.cast(pa.string()),
+                    pa.array(np.full(n, f, np.int32)), pa.array(np.add.reduceat(size, starts) if n else np.empty(0, np.int64)), bins,
+                ],
+                ["load_id", *_GROUP, "total", "bins"],
+            )
+
+
+def _summarise(groupings: dict[str, tuple[str, ...]], fields: list[str], error: float):
+    """Function for mapInArrow: one row of bins for each load, group and field of the task's rows, or of BATCH of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BATCH:
+                yield from _summary(pa.Table.from_batches(held), groupings, fields, error)
+                held, rows = [], 0
+        if rows:
+            yield from _summary(pa.Table.from_batches(held), groupings, fields, error)
 
     return run
 
 
-def _merged(hist: DataFrame, *keys: str) -> DataFrame:
-    return hist.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-
-
-_GROUP = ("kind", "g1", "g2", "field")
+def _group_key() -> Column:
+    """A number for each group and field; whether a part is NULL counts."""
+    return F.xxhash64("kind", F.isnull("g1"), "g1", F.isnull("g2"), "g2", "field").alias("gid")
 
 
 class RadixPercentiles:
     """Percentiles of several fields in several groupings of one table."""
 
     def __init__(self, rows: DataFrame, groupings: dict[str, tuple[str, ...]], fields: list[str], load: str = "load_id"):
-        widths = {"float": 32, "double": 64}
         self.fields, self.groupings = fields, groupings
-        self.bits = [widths.get(rows.schema[f].dataType.simpleString(), 64) for f in fields]
         columns = list(dict.fromkeys(c for g in groupings.values() for c in g))
-        typed = [F.col(f).cast("float" if b == 32 else "double").alias(f) for f, b in zip(fields, self.bits)]
-        self.rows = rows.select(F.col(load).cast("long").alias("load_id"), *[F.col(c).cast("string").alias(c) for c in columns], *typed)
+        self.rows = rows.select(F.col(load).cast("long").alias("load_id"), *[F.col(c).cast("string").alias(c) for c in columns], *[F.col(f).cast("double").alias(f) for f in fields])
 
     def _partial(self, error: float) -> DataFrame:
-        return self.rows.mapInPandas(_summarise(self.groupings, self.fields, self.bits, error), _HIST)
+        return self.rows.mapInArrow(_summarise(self.groupings, self.fields, error), _HIST)
 
     def histograms(self, error: float = 0.005) -> DataFrame:
-        """Histograms per load and group: the results that can be stored and combined.
+        """Histograms per load, group and field, a row each: the results that can be stored and combined.
 
         Around any value, the bins of a load that hold values on both sides of it have less than ``error`` of the rows
         of the load's group, so those of all loads together have less than ``error`` of the whole group.
         """
-        return _merged(self._partial(error), "load_id", *_GROUP, "shift", "prefix")
+        keys = ["load_id", *_GROUP]
+        bins = self._partial(error).select(*keys, F.inline("bins")).groupBy(*keys, "shift", "prefix").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        packed = F.sort_array(F.collect_list(F.struct("low", "shift", "prefix", "n", "high")))
+        ordered = F.transform(packed, lambda b: F.struct(b["shift"].alias("shift"), b["prefix"].alias("prefix"), b["n"].alias("n"), b["low"].alias("low"), b["high"].alias("high")))
+        return bins.groupBy(*keys).agg(F.sum("n").alias("total"), ordered.alias("bins"))
 
-    def _locate(self, hist: DataFrame, targets: DataFrame) -> DataFrame:
+    @staticmethod
+    def _locate(hist: DataFrame, targets: DataFrame) -> DataFrame:
         """The bin of each target; ``before`` is the weight of the group below the bins that are listed."""
-        inner = Window.partitionBy(*_GROUP, "within").orderBy("prefix")
+        inner = Window.partitionBy("gid", "within").orderBy("prefix")
         ranged = hist.withColumn("upto", F.sum("w").over(inner)).withColumn("lower", F.col("upto") - F.col("w"))
-        asked = targets.withColumnsRenamed({k: f"t_{k}" for k in (*_GROUP, "within")})
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in (*_GROUP, "within")])
-        return ranged.join(asked, same).where("2 * rank - before > lower and 2 * rank - before <= upto").select(
-            *_GROUP, "percentile", "rank", "total", (F.col("before") + F.col("lower")).alias("before"), "shift", "prefix", "points", "low", "high"
+        return ranged.join(targets, ["gid", "within"]).where("2 * rank - before > lower and 2 * rank - before <= upto").select(
+            "gid", "percentile", "rank", "total", (F.col("before") + F.col("lower")).alias("before"), "prefix", "points", "low", "high"
+        )
+
+    @staticmethod
+    def _binned(points: DataFrame) -> DataFrame:
+        """Weight, number of points, least and greatest key of each digit's bin."""
+        return points.withColumn("prefix", F.expr("shiftright(key, shift)")).groupBy("gid", "within", "prefix").agg(
+            F.sum("w").alias("w"), F.count(F.lit(1)).alias("points"), F.min("key").alias("low"), F.max("key").alias("high")
         )
 
     def compute(self, percentiles=PERCENTILES, error: float = 0.005, histograms: DataFrame | None = None) -> DataFrame:
@@ -149,19 +190,19 @@ class RadixPercentiles:
         own; ties and repeated rows count as often as they occur.
         """
         # the tasks' parts of a load's histogram add up just as the loads do, so they needn't be merged by load first
-        loads = cut(self._partial(error) if histograms is None else histograms, "load-hist")
+        loads = cut((self._partial(error) if histograms is None else histograms).withColumn("gid", _group_key()), "load-hist")
         # half of a bin's rows count at its least value and half at its greatest (as weights of n, for whole numbers);
         # a rank is then off by at most half of the bins that it may lie in
-        ends = F.array(*[F.struct(F.col(c).alias("key"), F.col("n").alias("w")) for c in ("low", "high")])
-        points = cut(loads.select(*_GROUP, F.inline(ends)).groupBy(*_GROUP, "key").agg(F.sum("w").alias("w")), "points")
-        bits = F.array(*map(F.lit, self.bits))[F.col("field")]
-        first = F.when(bits == 32, 32 - FIRST[32]).otherwise(64 - FIRST[64])
-        hist = self._binned(points.withColumn("shift", first).withColumn("within", F.lit(0).cast("long")))
+        one, two = ([F.struct(F.col(c).alias("key"), (F.col("n") * w).alias("w")) for c in cs] for w, cs in ((2, ("low",)), (1, ("low", "high"))))
+        ends = F.when(F.col("low") == F.col("high"), F.array(*one)).otherwise(F.array(*two))
+        points = cut(loads.select("gid", F.inline("bins")).select("gid", F.inline(ends)).groupBy("gid", "key").agg(F.sum("w").alias("w")), "points")
+        shift = BITS - FIRST
+        hist = self._binned(points.withColumns({"shift": F.lit(shift), "within": F.lit(0).cast("long")}))
         rank = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("total") / 100.0)).cast("long")
         targets = (
-            loads.groupBy(*_GROUP).agg(F.sum("n").alias("total"))
+            loads.groupBy("gid").agg(F.sum("total").alias("total"))
             .withColumn("percentile", F.explode(F.array(*map(F.lit, percentiles)))).withColumn("rank", rank)
-            .withColumn("before", F.lit(0).cast("long")).withColumn("within", F.lit(0).cast("long"))
+            .withColumns({"before": F.lit(0).cast("long"), "within": F.lit(0).cast("long")})
         )
         done: list[DataFrame] = []
         while True:
@@ -171,36 +212,22 @@ class RadixPercentiles:
             open_ = found.where(~settled)
             if open_.isEmpty():
                 break
-            whole = (F.col("points") <= SMALL) | (F.col("shift") <= NEXT)
-            bins = open_.withColumn("to", F.when(whole, 0).otherwise(F.col("shift") - NEXT).cast("int"))
-            followed = bins.select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("prefix").alias("within"), F.col("shift").alias("_from"), F.col("to").alias("shift")).distinct()
-            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in _GROUP])
-            inside = points.join(followed, same & (F.expr("shiftright(key, _from)") == F.col("within")))
-            hist = cut(self._binned(inside), "next-hist")
-            targets = bins.select(*_GROUP, "percentile", "rank", "total", "before", F.col("prefix").alias("within"))
-        return self._decode(reduce(DataFrame.unionByName, done).withColumn("key", F.col("low")))
-
-    @staticmethod
-    def _binned(points: DataFrame) -> DataFrame:
-        """Weight, number of points, least and greatest key of each digit's bin."""
-        return points.withColumn("prefix", F.expr("shiftright(key, shift)")).groupBy(*_GROUP, "within", "shift", "prefix").agg(
-            F.sum("w").alias("w"), F.count(F.lit(1)).alias("points"), F.min("key").alias("low"), F.max("key").alias("high")
-        )
+            below = max(0, shift - NEXT)
+            bins = open_.withColumn("to", F.when(F.col("points") <= SMALL, 0).otherwise(below)).withColumnRenamed("prefix", "within")
+            followed = bins.select("gid", "within", F.col("to").alias("shift")).distinct()
+            inside = skew_join(points.withColumn("within", F.shiftright("key", shift)), followed, ["gid", "within"], F.col("key"))
+            hist = self._binned(inside)
+            targets = bins.select("gid", "percentile", "rank", "total", "before", "within")
+            shift = below
+        names = loads.select("gid", *_GROUP).distinct()
+        return self._decode(reduce(DataFrame.unionByName, done).select("gid", "percentile", "total", F.col("low").alias("key")).join(names, "gid"))
 
     def _decode(self, out: DataFrame) -> DataFrame:
-        bits, fields = self.bits, self.fields
-
-        def value(field: pd.Series, key: pd.Series) -> pd.Series:
-            is32 = field.map(lambda f: bits[f] == 32).to_numpy(bool)
-            keys = key.to_numpy(np.int64)
-            wide = key_value(keys, 64)
-            return pd.Series(np.where(is32, key_value(np.where(is32, keys, 0), 32), wide))
-
-        names = F.array(*map(F.lit, fields))
-        return out.select(
-            "kind", "g1", "g2", names[F.col("field")].alias("field"), "percentile", "total",
-            F.pandas_udf(value, T.DoubleType())("field", "key").alias("value"),
-        )
+        def value(key: pd.Series) -> pd.Series:
+            return pd.Series(key_value(key.to_numpy(np.int64), BITS))
+
+        names = F.array(*map(F.lit, self.fields))
+        return out.select("kind", "g1", "g2", names[F.col("field")].alias("field"), "percentile", "total", F.pandas_udf(value, T.DoubleType())("key").alias("value"))
 
 
 CELL_FIELDS = ["area_px2", "raw_dnx", "raw_velk2", "raw_orsa1", "raw_tamq4"]
