@@ -208,19 +208,19 @@ def _tables(path: str):
 
 
 def _stitch(limit: int, overlap: int):
-    """Function for mapInPandas over boundary tables sorted by text and range: pieces with the stretches of ranges they are made of."""
+    """Function for mapInPandas over boundary tables in order: pieces with the stretches of ranges they are made of."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter, starts = None, [0]
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                if cutter is None or r.range_no == 0:
+                if r.at == 1:
                     cutter, starts = Cutter(limit, overlap), [0]
                 spans = np.frombuffer(r.spans, np.int16)
                 starts.append(starts[-1] + int(np.where(spans < 0, -1 - spans, spans).sum(dtype=np.int64)))
                 token = np.frombuffer(r.tokens, np.int32).astype(np.int64)
-                for row in cutter.feed(spans, token, np.frombuffer(r.levels, np.int8), r.range_no == r.ranges - 1):
+                for row in cutter.feed(spans, token, np.frombuffer(r.levels, np.int8), r.at == r.ranges):
                     first, end, parts = row[3], row[4], []
                     for no in range(bisect_right(starts, first) - 1, r.range_no + 1):
                         lo, hi = max(first, starts[no]), min(end, starts[no + 1])
@@ -237,12 +237,12 @@ def _assembled(tables: DataFrame, kind: str, limit: int, overlap: int, with_text
     totals = tables.groupBy("row").agg(F.sum("n_tokens").alias("total"))
     if with_text:
         totals = totals.where(F.col("total") > limit)
-    sorted_tables = (
-        tables.select("doc_id", "row", "range_no", "ranges", "spans", "tokens", "levels").join(totals, "row")
-        .repartition("row").sortWithinPartitions("row", "range_no")
-    )
+    # the window, which the function's place in the text comes from, holds each text's ranges together in order, also
+    # where joins are planned anew at run time
+    at = F.row_number().over(Window.partitionBy("row").orderBy("range_no"))
+    in_order = tables.select("doc_id", "row", "range_no", "ranges", "spans", "tokens", "levels").join(totals, "row").withColumn("at", at)
     schema = f"doc_id {kind}, {_OFFSETS}, row string, parts array<struct<range_no: int, start: int, n: int>>"
-    pieces = sorted_tables.mapInPandas(_stitch(limit, overlap), schema)
+    pieces = in_order.mapInPandas(_stitch(limit, overlap), schema)
     columns = ["doc_id", *_names(_OFFSETS)]
     if not with_text:
         return pieces.select(columns)

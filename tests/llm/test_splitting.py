@@ -133,3 +133,21 @@ def test_natural_places():
     assert got[text.index("\r\n ")] == PARAGRAPH and got[text.index("four")] == PARAGRAPH
     assert got[text.index("\\section")] == SECTION and got[text.index("\r5")] == LINE and text.index(".x") + 1 not in got
     assert [len(x) for x in natural_places("")] == [0, 0] and [len(x) for x in natural_places("abc")] == [0, 0]
+
+
+@pytest.mark.parametrize("threshold", ["256k", "-1"])
+def test_ranges_stay_in_order_when_joins_are_planned_anew(spark, threshold):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.createDataFrame([(k, article(k, 700)) for k in range(40)], "doc_id long, text string").repartition(8)
+        pieces = {}
+        for r in split_texts(df, limit=128, overlap=16, range_chars=300).collect():
+            pieces.setdefault(r.doc_id, {})[r.piece_no] = r
+        for doc, found in pieces.items():
+            assert found[max(found)].end_char == len(article(doc, 700)) and sorted(found) == list(range(len(found)))
+        assert len(pieces) == 40
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
