@@ -4,7 +4,7 @@ A number becomes an integer in the same order: the sign bit of a float decides w
 One pass over the rows counts the leading digit of these integers per load and group, and takes a further digit of every
 bin that holds enough of its load's group to matter; such histograms add up across loads, days or partitions, and the
 percentiles come from them alone.  There a target rank lies in exactly one digit's bin; only such bins are followed into
-their next digit, until a bin holds one value.
+their next digit, until a bin holds one value.  A bin of few stored values, be it a whole group, is resolved at once.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 #: Bits of a number, of its first digit (sign and exponent), of each further digit where ranks are followed, and of each
 #: further digit of a load's bins, which are to be few.
 BITS, FIRST, NEXT, SPLIT = 64, 12, 13, 1
+#: A group of more stored bins than this is followed digit by digit; so is a bin of more stored values.
+SMALL = 200_000
 #: Rows summarised at once in a task.
 BATCH = 250_000
-#: A followed bin of at most this many stored values is resolved to full values at once.
-SMALL = 100_000
 
 
 def order_key(values: np.ndarray) -> np.ndarray:
@@ -181,46 +181,77 @@ class RadixPercentiles:
             F.sum("w").alias("w"), F.count(F.lit(1)).alias("points"), F.min("key").alias("low"), F.max("key").alias("high")
         )
 
-    def compute(self, percentiles=PERCENTILES, error: float = 0.005, histograms: DataFrame | None = None) -> DataFrame:
+    def compute(self, percentiles=PERCENTILES, error: float = 0.005, histograms: DataFrame | None = None, small: int = SMALL) -> DataFrame:
         """``kind, g1, g2, field, percentile, total, value``: the values of the target ranks, each an actual value of its
         group whose rank is off by less than ``error`` times the group's finite values.
 
         With ``histograms``, such as loads stored, the rows aren't read, and the error is the one these were made with.
         NULL, NaN and infinite values don't count; a group without finite values gives no row; NULL is a group of its
-        own; ties and repeated rows count as often as they occur.
+        own; ties and repeated rows count as often as they occur.  Groups of more than ``small`` stored bins are
+        spread over tasks by their digits.
         """
         # the tasks' parts of a load's histogram add up just as the loads do, so they needn't be merged by load first
         loads = cut((self._partial(error) if histograms is None else histograms).withColumn("gid", _group_key()), "load-hist")
-        # half of a bin's rows count at its least value and half at its greatest (as weights of n, for whole numbers);
-        # a rank is then off by at most half of the bins that it may lie in
+        sizes = loads.groupBy("gid").agg(F.sum("total").alias("total"), F.sum(F.size("bins")).alias("stored"))
+        large = cut(sizes.where(F.col("stored") > small), "large")
+        if large.isEmpty():
+            found = self._at_once(loads, percentiles)
+        else:
+            ids = large.select("gid")
+            few, many = (skew_join(loads, ids, ["gid"], F.col("load_id"), how) for how in ("left_anti", "left_semi"))
+            found = self._at_once(few, percentiles).unionByName(self._by_digits(many, large, percentiles, small))
+        names = loads.select("gid", *_GROUP).distinct()
+        return self._decode(found.join(names, "gid"))
+
+    @staticmethod
+    def _weighted(loads: DataFrame) -> DataFrame:
+        """``gid``, ``key`` and weight ``w``: half of a bin's rows count at its least value and half at its greatest (twice
+        the rows, for whole numbers); a rank is then off by at most half of the bins that it may lie in."""
         one, two = ([F.struct(F.col(c).alias("key"), (F.col("n") * w).alias("w")) for c in cs] for w, cs in ((2, ("low",)), (1, ("low", "high"))))
         ends = F.when(F.col("low") == F.col("high"), F.array(*one)).otherwise(F.array(*two))
-        points = cut(loads.select("gid", F.inline("bins")).select("gid", F.inline(ends)).groupBy("gid", "key").agg(F.sum("w").alias("w")), "points")
+        return loads.select("gid", F.inline("bins")).select("gid", F.inline(ends))
+
+    @staticmethod
+    def _at_once(loads: DataFrame, percentiles) -> DataFrame:
+        """``gid``, ``percentile``, ``total`` and ``key``, for groups of few stored bins: one shuffle by group."""
+        points = RadixPercentiles._weighted(loads).repartition("gid").groupBy("gid", "key").agg(F.sum("w").alias("w"))
+        group = Window.partitionBy("gid")
+        ranged = points.withColumns({"upto": F.sum("w").over(group.orderBy("key")), "both": F.sum("w").over(group)})
+        upto, w, total = F.col("upto"), F.col("w"), (F.col("both") / 2).cast("long")
+
+        def here(p):
+            rank = F.greatest(F.lit(1), F.ceil(p * F.col("both") / 200.0)).cast("long")
+            return (2 * rank > upto - w) & (2 * rank <= upto)
+
+        return ranged.select("gid", F.explode(F.filter(F.array(*map(F.lit, percentiles)), here)).alias("percentile"), total.alias("total"), "key")
+
+    @staticmethod
+    def _by_digits(loads: DataFrame, sizes: DataFrame, percentiles, small: int) -> DataFrame:
+        """The same for groups of many stored bins, which are followed digit by digit."""
+        points = cut(RadixPercentiles._weighted(loads).groupBy("gid", "key").agg(F.sum("w").alias("w")), "points")
         shift = BITS - FIRST
-        hist = self._binned(points.withColumns({"shift": F.lit(shift), "within": F.lit(0).cast("long")}))
+        hist = RadixPercentiles._binned(points.withColumns({"shift": F.lit(shift), "within": F.lit(0).cast("long")}))
         rank = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("total") / 100.0)).cast("long")
         targets = (
-            loads.groupBy("gid").agg(F.sum("total").alias("total"))
-            .withColumn("percentile", F.explode(F.array(*map(F.lit, percentiles)))).withColumn("rank", rank)
+            sizes.select("gid", "total", F.explode(F.array(*map(F.lit, percentiles))).alias("percentile")).withColumn("rank", rank)
             .withColumns({"before": F.lit(0).cast("long"), "within": F.lit(0).cast("long")})
         )
         done: list[DataFrame] = []
         while True:
-            found = cut(self._locate(hist, targets), "ranks")
+            found = cut(RadixPercentiles._locate(hist, targets), "ranks")
             settled = F.col("low") == F.col("high")
             done.append(found.where(settled))
             open_ = found.where(~settled)
             if open_.isEmpty():
                 break
             below = max(0, shift - NEXT)
-            bins = open_.withColumn("to", F.when(F.col("points") <= SMALL, 0).otherwise(below)).withColumnRenamed("prefix", "within")
-            followed = bins.select("gid", "within", F.col("to").alias("shift")).distinct()
+            bins = open_.withColumn("to", F.when(F.col("points") <= small, 0).otherwise(below)).withColumnRenamed("prefix", "within")
+            followed = cut(bins.select("gid", "within", F.col("to").alias("shift")).distinct(), "followed")
             inside = skew_join(points.withColumn("within", F.shiftright("key", shift)), followed, ["gid", "within"], F.col("key"))
-            hist = self._binned(inside)
+            hist = RadixPercentiles._binned(inside)
             targets = bins.select("gid", "percentile", "rank", "total", "before", "within")
             shift = below
-        names = loads.select("gid", *_GROUP).distinct()
-        return self._decode(reduce(DataFrame.unionByName, done).select("gid", "percentile", "total", F.col("low").alias("key")).join(names, "gid"))
+        return reduce(DataFrame.unionByName, done).select("gid", "percentile", "total", F.col("low").alias("key"))
 
     def _decode(self, out: DataFrame) -> DataFrame:
         def value(key: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ import pytest
 
 from tessella.llm.frequency import label_terms, standard_label
 from tessella.llm.grouping import assign_splits, components, shared_out, slide_splits, tied_slides
-from tessella.llm.percentiles import CELL_FIELDS, RadixPercentiles, cell_percentiles, key_value, order_key
+from tessella.llm.percentiles import CELL_FIELDS, CELL_GROUPINGS, RadixPercentiles, cell_percentiles, key_value, order_key
 
 CELLS = "cell_id long, image_id string, cohort string, native_label string, patient_id string, area_px2 double, raw_dnx float, raw_velk2 float, raw_orsa1 float, raw_tamq4 float, load_id int, term string, node string, prefix long"
 
@@ -39,7 +39,7 @@ def test_terms_by_brute_force(spark):
         for scope, term in [(cohort, lab), *(("*", w) for w in set(lab.split(" ")))]:
             slides_of[scope, term].add(c[1])
             cells_of[scope, term] |= {c[0]} - {None}
-    got = {(x.scope, x.term): x for x in label_terms(frame(spark, rows), salts=3).collect()}
+    got = {(x.scope, x.term): x for x in label_terms(frame(spark, rows), salt_classes=20).collect()}
     assert set(got) == set(slides_of)
     for key, x in got.items():
         s, n = len(slides_of[key]), len(cells_of[key])
@@ -195,6 +195,9 @@ def test_percentiles(spark):
     check(rows, got, 0.005)
     exact = cell_percentiles(frame(spark, rows), error=0.0).collect()
     check(rows, exact, 0.0)
+    digits = RadixPercentiles(frame(spark, rows), CELL_GROUPINGS, CELL_FIELDS)
+    for small in (0, 150):
+        check(rows, digits.compute(small=small).collect(), 0.005)
 
 
 def test_percentiles_from_parts(spark):
