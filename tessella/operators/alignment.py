@@ -25,7 +25,8 @@ def signatures(counts: DataFrame, least: int = MIN_CELLS) -> DataFrame:
     """
     u = cut(ranks.mid_rank(counts, ["cohort", "marker"]), "ranks")
     mean = u.groupBy(*NODE, "marker").agg(F.sum("n").alias("n"), (F.sum(F.col("u") * F.col("n")) / F.sum("n")).alias("mean_u")).where(F.col("n") >= least)
-    q = ranks.quantiles(u, [*NODE, "marker"], [0.1, 0.5, 0.9], value="u")
+    # ranks of a cohort are spread evenly, so even steps of them are good buckets
+    q = ranks.quantiles(u, [*NODE, "marker"], [0.1, 0.5, 0.9], value="u", place=F.floor(F.col("u") * 64))
     return mean.join(q.drop("rows"), [*NODE, "marker"]).select(*NODE, "marker", "n", "mean_u", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((10, 50, 90))])
 
 

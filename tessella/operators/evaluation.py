@@ -15,16 +15,17 @@ from . import ranks
 def pairwise_ks(counts: DataFrame, group: str, marker: str) -> DataFrame:
     """Greatest difference of the distribution functions of every two groups, per marker.
 
-    A value's running total is taken within order-preserving buckets; a value that one group lacks keeps the total of
+    A value's running total is taken within buckets of the marker's values; a value that one group lacks keeps the total of
     the last one that it has, so both are carried as signed steps over the union of their values.
     """
+    counts = ranks.bucketed(counts.select(group, marker, "v", "n"), [marker], "v").withColumnRenamed("_b", "k")
     totals = counts.groupBy(group, marker).agg(F.sum("n").alias("t"))
     a = totals.select(marker, F.col(group).alias("a"), F.col("t").alias("ta"))
     b = totals.select(marker, F.col(group).alias("b"), F.col("t").alias("tb"))
     pairs = a.join(b, marker).where("a < b")
-    ours = pairs.join(counts.withColumnRenamed(group, "a"), [marker, "a"]).select(marker, "a", "b", "v", (F.col("n") / F.col("ta")).alias("step"))
-    theirs = pairs.join(counts.withColumnRenamed(group, "b"), [marker, "b"]).select(marker, "a", "b", "v", (-F.col("n") / F.col("tb")).alias("step"))
-    steps = ours.unionByName(theirs).groupBy(marker, "a", "b", "v").agg(F.sum("step").alias("step")).withColumn("k", ranks.bucket(F.col("v")))
+    ours = pairs.join(counts.withColumnRenamed(group, "a"), [marker, "a"]).select(marker, "a", "b", "k", "v", (F.col("n") / F.col("ta")).alias("step"))
+    theirs = pairs.join(counts.withColumnRenamed(group, "b"), [marker, "b"]).select(marker, "a", "b", "k", "v", (-F.col("n") / F.col("tb")).alias("step"))
+    steps = ours.unionByName(theirs).groupBy(marker, "a", "b", "k", "v").agg(F.sum("step").alias("step"))
     sums = steps.groupBy(marker, "a", "b", "k").agg(F.sum("step").alias("s"))
     before = sums.select(marker, "a", "b", "k", (F.sum("s").over(Window.partitionBy(marker, "a", "b").orderBy("k")) - F.col("s")).alias("before"))
     inner = F.sum("step").over(Window.partitionBy(marker, "a", "b", "k").orderBy("v"))

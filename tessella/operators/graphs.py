@@ -32,7 +32,10 @@ def contract(edges: DataFrame) -> DataFrame:
 
 
 def ancestors(is_a: DataFrame, depth: int = 40) -> DataFrame:
-    """``term``, ``ancestor`` and the least number of steps (the term itself at 0) over edges ``child``, ``parent``."""
+    """``term``, ``ancestor`` and the least number of steps (the term itself at 0) over edges ``child``, ``parent``.
+
+    Terms that go on for ``depth`` steps or more are an error, and a cycle is such a one.
+    """
     terms = is_a.select(F.explode(F.array("child", "parent")).alias("term")).distinct()
     parents = is_a.select(F.col("child").alias("ancestor"), "parent").distinct()
     found = level = cut(terms.select("term", F.col("term").alias("ancestor"), F.lit(0).alias("steps")), "ancestors")
@@ -41,6 +44,8 @@ def ancestors(is_a: DataFrame, depth: int = 40) -> DataFrame:
         if level.isEmpty():
             break
         found = found.unionByName(level)
+    else:
+        raise ValueError(f"ancestors go on after {depth} steps")
     return found.groupBy("term", "ancestor").agg(F.min("steps").alias("steps"))
 
 

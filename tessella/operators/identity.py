@@ -34,6 +34,23 @@ def resolve(registry: DataFrame, reference: DataFrame) -> DataFrame:
     return keyed.join(best_keys(reference), "key", "left").withColumn("via", via)
 
 
+def resolve_in_tiers(registry: DataFrame, reference: DataFrame) -> DataFrame:
+    """As ``resolve``, but families (complexes) come first, then what the registry's own well-written ids say of a name.
+
+    A name that two families, or two ids, would take is left to the next tier.
+    """
+    families = reference.where("kind = 'FAMILY'").select("canon_id", F.explode(F.array("symbol", "full_name")).alias("name"))
+    said = registry.select(F.col("resolved_id").alias("canon_id"), F.col("core").alias("name")).join(reference.select("canon_id").distinct(), "canon_id", "left_semi")
+
+    def sole(names: DataFrame, entry: str) -> DataFrame:
+        keys = names.select("canon_id", ascii_key(F.col("name")).alias("key")).where("key <> ''")
+        return keys.groupBy("key").agg(F.min("canon_id").alias(entry), F.max("canon_id").alias("_other")).where(F.col(entry) == F.col("_other")).drop("_other")
+
+    found = resolve(registry, reference).join(sole(families, "_family"), "key", "left").join(sole(said, "_said"), "key", "left")
+    via = F.when(F.col("_family").isNotNull(), "complex").when(F.col("_said").isNotNull(), "override").otherwise(F.col("via"))
+    return found.withColumns({"via": via, "entry": F.coalesce("_family", "_said", "entry")}).drop("_family", "_said")
+
+
 def alias_table(reference: DataFrame) -> DataFrame:
     """Each symbol and alias with the entry that wrote it last (the greatest id), and the number of writers."""
     names = F.concat(F.coalesce(F.split("aliases", r"\|"), F.array().cast("array<string>")), F.array("symbol"))

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def require(df: DataFrame, names: list[str]) -> DataFrame:
@@ -52,15 +53,25 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def dense_ids(df: DataFrame, order: str, name: str, shares: int = 64) -> DataFrame:
     """``df`` with its position 0..n-1 in ``order``; ties are broken arbitrarily, NULL comes first.
 
-    The order is cut at quantiles into shares; each share numbers its own rows and adds the rows of the shares before.
+    The order is cut into shares at quantiles, for texts at those of their first seven bytes; each share numbers its own
+    rows and adds the rows of the shares before.
     """
+    place = F.col(order)
+    if isinstance(df.schema[order].dataType, T.StringType):  # bytes compare as the texts do
+        place = F.conv(F.rpad(F.hex(F.substring(F.encode(order, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
     levels = [i / shares for i in range(1, shares)]
-    edges = df.agg(F.percentile_approx(order, levels, 1_000).alias("e")).first()["e"] or []
+    edges = df.agg(F.percentile_approx(place, levels, 1_000).alias("e")).first()["e"] or []
     share = F.lit(0)
     for e in sorted(set(edges)):
-        share = share + (F.col(order) > F.lit(e)).cast("int")
+        share = share + (place > F.lit(e)).cast("int")
     placed = df.withColumn("_share", F.coalesce(share, F.lit(-1)))
     sizes = placed.groupBy("_share").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_share", (F.sum("_n").over(Window.orderBy("_share")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_share").orderBy(order)) - 1
     return placed.withColumn("_own", own).join(offsets, "_share").withColumn(name, F.col("_own") + F.col("_before")).drop("_share", "_own", "_before")
+
+
+def misaligned(frozen: DataFrame, rebuilt: DataFrame, key: str) -> DataFrame:
+    """``key``, its place ``frozen`` and ``rebuilt``, and ``state``: kept, moved, added or lost."""
+    state = F.when(F.col("frozen").isNull(), "added").when(F.col("rebuilt").isNull(), "lost").when(F.col("frozen") == F.col("rebuilt"), "kept").otherwise("moved")
+    return frozen.join(rebuilt, key, "full").select(key, "frozen", "rebuilt", state.alias("state"))

@@ -8,9 +8,11 @@ session ends.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,35 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
+_turn = 0
+
+
+def forget() -> None:
+    """Compute anew what ``compute_or_load`` stored so far."""
+    global _turn
+    _turn += 1
+
+
+def compute_or_load(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written the first time and read by later queries of the session over the same inputs.
+
+    It is found by a fingerprint of its name and of each input's path, size, number of files and time of change, so a
+    changed input is computed anew, and so is what a failed write left.
+    """
+    there = [spark.sparkContext.applicationId, str(_turn), name]
+    for path in inputs:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        size = store.getContentSummary(hadoop)
+        there += [path, str(size.getLength()), str(size.getFileCount()), str(store.getFileStatus(hadoop).getModificationTime())]
+    at = f"{shared_dir(spark)}/tessella-{name}-{hashlib.sha256(chr(0).join(there).encode()).hexdigest()[:32]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(at)
+        until_exit(spark, at)
+    return spark.read.parquet(at)
+
+
 def broadcast_up_to(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

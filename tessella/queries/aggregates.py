@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numbers import fixed
-from tessella.operators import ranks
+from tessella.operators import ranks, summaries
 from tessella.operators.summaries import entropy, tie_mass
-from tessella.sources.standard import long_values, standard_cells, value_counts
+from tessella.sources.standard import long_values, standard_cells, stored_counts
 from tessella.sources.tables import table
 
 from .registry import L, M, U, Registry
@@ -58,7 +58,7 @@ def size_median(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {L} SELECT cohort, image_id, marker, round(quantile_cont(v, 0.5), 6) AS med, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr FROM l GROUP BY 1, 2, 3")
 def group_iqr(spark: SparkSession, d: str) -> DataFrame:
     """Median and interquartile range per slide and marker."""
-    q = ranks.quantiles(value_counts(standard_cells(spark, d), "cohort", "image_id"), ["cohort", "image_id", "marker"], [0.25, 0.5, 0.75])
+    q = ranks.quantiles(stored_counts(spark, d, "cohort", "image_id"), ["cohort", "image_id", "marker"], [0.25, 0.5, 0.75])
     return q.select("cohort", "image_id", "marker", fixed(F.col("q")[1], 6).alias("med"), fixed(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
 
 
@@ -68,14 +68,14 @@ LEVELS = [0.02, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.98]
 @register(f"WITH {L} SELECT cohort, label, marker, count(*) AS n, " + ", ".join(f"round(quantile_cont(v, {x}), 6) AS q{int(x * 100):02d}" for x in LEVELS) + " FROM l GROUP BY 1, 2, 3")
 def quantile9(spark: SparkSession, d: str) -> DataFrame:
     """Nine quantiles per label and marker."""
-    q = ranks.quantiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "label", "marker"], LEVELS)
+    q = ranks.quantiles(stored_counts(spark, d, "cohort", "label"), ["cohort", "label", "marker"], LEVELS)
     return q.select("cohort", "label", "marker", F.col("rows").alias("n"), *[fixed(F.col("q")[i], 6).alias(f"q{int(x * 100):02d}") for i, x in enumerate(LEVELS)])
 
 
 @register(f"WITH {U} SELECT cohort, label, marker, round(avg(u), 6) AS mean_u FROM u GROUP BY 1, 2, 3")
 def mean_rank(spark: SparkSession, d: str) -> DataFrame:
     """Mean rank per label and marker."""
-    ranked = ranks.mid_rank(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "marker"])
+    ranked = ranks.mid_rank(stored_counts(spark, d, "cohort", "label"), ["cohort", "marker"])
     return ranked.groupBy("cohort", "label", "marker").agg(fixed(F.sum(F.col("u") * F.col("n")) / F.sum("n"), 6).alias("mean_u"))
 
 
@@ -121,7 +121,7 @@ THEN (quantile_cont(v, .75) - quantile_cont(v, .25)) / (quantile_cont(v, .99) -
 round(var_samp(u) * 12, 6) AS rank_spread, var_samp(u) * 12 < 0.2 AS excluded FROM u GROUP BY 1, 2""")
 def dynamic_range(spark: SparkSession, d: str) -> DataFrame:
     """Robust dispersion, spread of ranks, and what is left out for lack of it."""
-    counts = value_counts(standard_cells(spark, d), "cohort")
+    counts = stored_counts(spark, d, "cohort")
     q = ranks.quantiles(counts, ["cohort", "marker"], [0.01, 0.25, 0.75, 0.99])
     width = F.col("q")[3] - F.col("q")[0]
     disp = q.select("cohort", "marker", fixed(F.when(width > 1e-12, (F.col("q")[2] - F.col("q")[1]) / width).otherwise(0.0), 6).alias("dispersion"))
@@ -204,6 +204,27 @@ def mean_sem(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("cohort").agg(n.alias("n"), fixed(F.avg("x"), 5).alias("mean"), fixed(F.stddev_samp("x") / F.sqrt(n), 5).alias("sem"))
 
 
+_T = "(1.959964 + 2.372271 / {n} + 2.822499 / ({n} * {n}) + 2.555850 / ({n} * {n} * {n}) + 1.589536 / ({n} * {n} * {n} * {n}))"
+
+
+@register(f"""WITH {M}, a AS (SELECT cohort, load_id, avg(area_px2) AS x FROM m GROUP BY 1, 2), b AS (SELECT cohort, count(x) AS n, avg(x) AS mean, stddev_samp(x) / sqrt(count(x)) AS sem FROM a GROUP BY 1)
+SELECT cohort, n, round(mean - sem * {_T.format(n="(n - 1.0)")}, 4) AS low, round(mean + sem * {_T.format(n="(n - 1.0)")}, 4) AS high FROM b WHERE n > 4""")
+def mean_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The interval that holds a mean over loads in 95 of 100 cases, by Student's t."""
+    a = standard_cells(spark, d).groupBy("cohort", "load_id").agg(F.avg("area_px2").alias("x"))
+    b = summaries.t_interval(a, ["cohort"], "x").where("n > 4")
+    return b.select("cohort", "n", fixed("low", 4).alias("low"), fixed("high", 4).alias("high"))
+
+
+@register(f"""WITH {M}, a AS (SELECT cohort, load_id, avg(raw_dnx) - avg(raw_velk2) AS x FROM m GROUP BY 1, 2), b AS (SELECT cohort, count(x) AS n, avg(x) AS mean, stddev_samp(x) / sqrt(count(x)) AS sem FROM a GROUP BY 1)
+SELECT cohort, n, round(mean, 5) AS mean, round(mean / nullif(sem, 0), 4) AS t, coalesce(abs(mean / nullif(sem, 0)) > {_T.format(n="(n - 1.0)")}, false) AS differs FROM b WHERE n > 4""")
+def paired_test(spark: SparkSession, d: str) -> DataFrame:
+    """Paired t-test of two markers' means, paired by load."""
+    a = standard_cells(spark, d).groupBy("cohort", "load_id").agg((F.avg("raw_dnx") - F.avg("raw_velk2")).alias("x"))
+    b = summaries.t_interval(a, ["cohort"], "x").where("n > 4").withColumn("t", F.try_divide("mean", "sem"))
+    return b.select("cohort", "n", fixed("mean", 5).alias("mean"), fixed("t", 4).alias("t"), F.coalesce(F.abs("t") > F.col("t_bar"), F.lit(False)).alias("differs"))
+
+
 @register(f"""WITH {M}, k AS (SELECT cohort, label, count(*) AS w FROM m GROUP BY 1, 2), j AS (SELECT w, (x.cluster_name = k.label)::INT AS ok FROM k JOIN label_map x USING (cohort, label))
 SELECT round(sum(w * ok) / sum(w)::DOUBLE, 6) AS weighted, round(avg(ok), 6) AS unweighted FROM j""")
 def two_accuracies(spark: SparkSession, d: str) -> DataFrame:

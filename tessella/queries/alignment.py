@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.numbers import fixed
 from tessella.operators import alignment as al
 from tessella.operators import linkage
-from tessella.plans.materialize import cut
-from tessella.sources.standard import MARKERS, standard_cells, value_counts
+from tessella.plans.materialize import compute_or_load, cut
+from tessella.sources.standard import MARKERS, standard_cells, stored_counts
 from tessella.sources.tables import table
 
 from .registry import L, U, Registry
@@ -32,7 +32,7 @@ FROM cmp a JOIN cmp b ON a.cohort_a = b.cohort_b AND a.label_a = b.label_b AND a
 
 
 def _sig(spark: SparkSession, d: str) -> DataFrame:
-    return al.signatures(value_counts(standard_cells(spark, d), "cohort", "label"))
+    return compute_or_load(spark, "signatures", [f"{d}/cells.parquet"], lambda: al.signatures(stored_counts(spark, d, "cohort", "label")))
 
 
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,7 @@ def cluster_table(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {L}, s AS (SELECT x.cluster_name AS type, marker, count(DISTINCT cohort) AS support FROM l JOIN label_map x USING (cohort, label) GROUP BY 1, 2) SELECT marker, count(*) FILTER (WHERE support >= 2) AS specificity, sum(support)::BIGINT AS support FROM s GROUP BY 1")
 def specificity(spark: SparkSession, d: str) -> DataFrame:
     """How many types a marker is seen in."""
-    seen = value_counts(standard_cells(spark, d), "cohort", "label").select("cohort", "label", "marker").distinct()
+    seen = stored_counts(spark, d, "cohort", "label").select("cohort", "label", "marker").distinct()
     s = seen.join(table(spark, d, "label_map").select("cohort", "label", F.col("cluster_name").alias("type")), ["cohort", "label"]).groupBy("type", "marker").agg(F.count_distinct("cohort").alias("support"))
     return s.groupBy("marker").agg(F.count_if(F.col("support") >= 2).alias("specificity"), F.sum("support").alias("support"))
 
@@ -173,13 +173,14 @@ def new_cohort_markers(spark: SparkSession, d: str) -> DataFrame:
     return reg.where("cohort = 'UMBRA'").select("core").distinct().join(old, "core", "left").select("core", F.coalesce("seen", F.lit(False)).alias("known"))
 
 
-@register(f"WITH {_SIG} SELECT cohort, count(*) AS n, 0.0::DOUBLE AS max_change FROM sig WHERE cohort <> 'UMBRA' GROUP BY 1")
+@register(f"WITH {_CMP} SELECT cohort_a AS cohort, count(*) AS n, 0.0::DOUBLE AS max_change FROM cmp WHERE cohort_a <> 'UMBRA' AND cohort_b <> 'UMBRA' GROUP BY 1")
 def noninterference(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures with and without a cohort; the others must not change."""
-    counts = value_counts(standard_cells(spark, d), "cohort", "label")
-    without = al.signatures(counts.where("cohort <> 'UMBRA'")).select("cohort", "label", "marker", F.col("mean_u").alias("before"))
-    both = al.signatures(counts).join(without, ["cohort", "label", "marker"])
-    return both.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), fixed(F.max(F.abs(F.col("mean_u") - F.col("before"))), 9).alias("max_change"))
+    """The similarity of all other labels, worked out from the cells with and without a late cohort; it must not change."""
+    counts = stored_counts(spark, d, "cohort", "label").where("cohort <> 'UMBRA'")
+    without = al.compare(cut(al.rescale(al.signatures(counts)), "without")).select(*al.PAIR, F.col("similarity").alias("before"))
+    both = _compared(spark, d).where("cohort_a <> 'UMBRA' and cohort_b <> 'UMBRA'").select(*al.PAIR, "similarity").join(without, al.PAIR, "full")
+    change = F.coalesce(F.abs(F.col("similarity") - F.col("before")), F.lit(1.0))
+    return both.groupBy(F.col("cohort_a").alias("cohort")).agg(F.count(F.lit(1)).alias("n"), fixed(F.max(change), 9).alias("max_change"))
 
 
 CUTS = [round(0.30 + 0.1 * i, 4) for i in range(13)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.numbers import fixed
 from tessella.operators import graphs, matching
 from tessella.plans.materialize import cut
-from tessella.sources.standard import standard_cells, value_counts
+from tessella.sources.standard import stored_counts
 from tessella.sources.tables import table
 
 from .joins import MEANS
@@ -24,7 +24,7 @@ _REACH = _EDGES + ", reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Each label to its two nearest labels of other cohorts."""
-    profiles = matching.standard_profiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort"], "label", least=100)
+    profiles = matching.standard_profiles(stored_counts(spark, d, "cohort", "label"), ["cohort"], "label", least=100)
     w = Window.partitionBy("cohort_a", "label_a").orderBy(fixed("distance", 9), "label_b", "cohort_b")
     near = matching.squares(cut(profiles, "profiles"), 3).withColumn("rn", F.row_number().over(w)).where("rn <= 2")
     return cut(near.select(F.concat_ws("|", "cohort_a", "label_a").alias("a"), F.concat_ws("|", "cohort_b", "label_b").alias("b")), "edges")
@@ -41,7 +41,7 @@ SELECT r.a, r.b, CASE WHEN s.a IS NULL THEN 'bridged' ELSE 'measured' END AS kin
 def closure_bridge(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that only a path connects; bridged where they share too little to be measured."""
     edges = _edges(spark, d)
-    profiles = matching.standard_profiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort"], "label", least=100)
+    profiles = matching.standard_profiles(stored_counts(spark, d, "cohort", "label"), ["cohort"], "label", least=100)
     shared = matching.squares(cut(profiles, "profiles"), 3).select(F.concat_ws("|", "cohort_a", "label_a").alias("a"), F.concat_ws("|", "cohort_b", "label_b").alias("b"), F.lit(True).alias("known"))
     pairs = graphs.reachability(edges).where("a <> b").join(edges, ["a", "b"], "left_anti").join(shared, ["a", "b"], "left")
     return pairs.select("a", "b", F.when(F.col("known"), "measured").otherwise("bridged").alias("kind"))

@@ -40,6 +40,16 @@ def resolver(spark: SparkSession, d: str) -> DataFrame:
     return _resolved(spark, d).select("registry_id", "entry", "via")
 
 
+@register(_RESOLVED + f""", fam AS (SELECT key, min(canon_id) AS f FROM (SELECT canon_id, {_KEY.format('unnest([symbol, full_name])')} AS key FROM marker_reference WHERE kind = 'FAMILY') WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT canon_id) = 1),
+said AS (SELECT key, min(resolved_id) AS s FROM reg WHERE key <> '' AND resolved_id IN (SELECT canon_id FROM marker_reference) GROUP BY 1 HAVING count(DISTINCT resolved_id) = 1)
+SELECT registry_id, coalesce(f, s, entry) AS entry, CASE WHEN f IS NOT NULL THEN 'complex' WHEN s IS NOT NULL THEN 'override' ELSE via END AS via
+FROM res JOIN (SELECT registry_id, key FROM reg) USING (registry_id) LEFT JOIN fam USING (key) LEFT JOIN said USING (key)""")
+def resolver_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """R2: complexes, then overrides, then symbol, alias, former symbol and full name."""
+    r = identity.resolve_in_tiers(table(spark, d, "marker_registry"), table(spark, d, "marker_reference"))
+    return r.select("registry_id", "entry", "via")
+
+
 @register(f"""WITH {_NAMES}, v AS (SELECT registry_id, {_KEY.format('unnest([core, stripped, gene])')} AS key FROM marker_registry),
 h AS (SELECT registry_id, count(DISTINCT canon_id) AS k, min(canon_id) AS e FROM v JOIN best USING (key) GROUP BY 1)
 SELECT registry_id, CASE WHEN k = 1 THEN e END AS entry, CASE WHEN k = 1 THEN 'agreed' ELSE 'conflict' END AS outcome FROM h""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.numbers import fixed
 from tessella.operators import matching, schema
-from tessella.sources.standard import long_values, standard_cells, value_counts
+from tessella.sources.standard import long_values, standard_cells, stored_counts
 from tessella.sources.tables import table
 
 from .registry import L, M, Registry
@@ -96,7 +96,7 @@ z AS (SELECT cohort, label, marker, (mean - avg(mean) OVER w) / nullif(stddev_po
 
 
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
-    counts = value_counts(standard_cells(spark, d), "cohort", "label")
+    counts = stored_counts(spark, d, "cohort", "label")
     return matching.standard_profiles(counts, ["cohort"], "label", least=100)
 
 

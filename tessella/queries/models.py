@@ -93,7 +93,7 @@ def cohort_probe(spark: SparkSession, d: str) -> DataFrame:
     """M7: how well a multinomial logistic regression tells cohorts apart on held-out slides (no SQL)."""
     cells = standard_cells(spark, d)
     split = sampling.group_split(cells, "cohort", "image_id")
-    names = ["area_px2", "raw_dnx", "conf"]
+    names = [*MARKERS.values(), "conf"]
     rows = cells.join(split, ["cohort", "image_id"]).select("cohort", "split", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
     codes = rows.select("cohort").distinct().select("cohort", (F.row_number().over(Window.orderBy("cohort")) - 1).cast("double").alias("code"))
     data = VectorAssembler(inputCols=names, outputCol="raw").transform(rows.join(broadcast_up_to(codes), "cohort"))
@@ -146,17 +146,22 @@ def leak_guard(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cohort", (F.col("cohort_role") == "holdout").alias("held_out"), F.coalesce("has", F.lit(False)).alias("has_rows"))
 
 
-@register("""WITH a AS (SELECT load_id, cell_id FROM cells WHERE load_id <= 2), b AS (SELECT DISTINCT load_id, cell_id FROM cells WHERE load_id <= 2)
-SELECT load_id, cell_id, count(*) - 1 AS times, 'first' AS only_in FROM a GROUP BY 1, 2 HAVING count(*) > 1""")
+@register(f"""WITH {M}, a AS (SELECT DISTINCT load_id, cell_id, label FROM m), b AS (SELECT load_id, cell_id, lower(trim(native_label)) AS label FROM cells WHERE cohort IS NOT NULL AND image_id IS NOT NULL AND native_label IS NOT NULL),
+c AS (SELECT load_id, cell_id, label, count(*) AS n FROM a GROUP BY ALL), e AS (SELECT load_id, cell_id, label, count(*) AS n FROM b GROUP BY ALL),
+f AS (SELECT coalesce(c.load_id, e.load_id) AS load_id, coalesce(c.cell_id, e.cell_id) AS cell_id, coalesce(c.label, e.label) AS label, coalesce(c.n, 0) - coalesce(e.n, 0) AS more
+FROM c FULL JOIN e ON c.load_id IS NOT DISTINCT FROM e.load_id AND c.cell_id IS NOT DISTINCT FROM e.cell_id AND c.label = e.label)
+SELECT only_in, count(*) AS n_rows, sum(abs(more))::BIGINT AS times FROM (SELECT more, CASE WHEN more > 0 THEN 'first' ELSE 'second' END AS only_in FROM f WHERE more <> 0) GROUP BY 1""")
 def identity_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that two ways of loading don't share; here, what reading without repeats loses of loads up to 2."""
-    a = table(spark, d, "cells").where("load_id <= 2").select("load_id", "cell_id")
-    return gates.differences(a, a.distinct())
+    """What two loaders don't share, over every load: the standard cells without repeats, and rows read as they lie."""
+    first = standard_cells(spark, d).select("load_id", "cell_id", "label").distinct()
+    rows = table(spark, d, "cells").where("cohort is not null and image_id is not null and native_label is not null")
+    second = rows.select("load_id", "cell_id", F.lower(F.trim("native_label")).alias("label"))
+    return gates.differences(first, second).groupBy("only_in").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("times").alias("times"))
 
 
 @register("SELECT load_id, cell_id, count(*) - 1 AS times, 'first' AS only_in FROM cells GROUP BY 1, 2 HAVING count(*) > 1")
 def identity_guard_all(spark: SparkSession, d: str) -> DataFrame:
-    """identity_guard over every load."""
+    """Rows that reading without repeats loses, over every load."""
     a = table(spark, d, "cells").select("load_id", "cell_id")
     return gates.differences(a, a.distinct())
 

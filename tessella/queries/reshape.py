@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names, vectors
 from tessella.functions.numbers import fixed
 from tessella.operators import schema
-from tessella.plans.materialize import broadcast_up_to
+from tessella.plans.materialize import broadcast_up_to, cut
 from tessella.sources.standard import MARKERS, long_values, standard_cells, value_counts
 from tessella.sources.tables import table
 
@@ -86,9 +86,19 @@ def factorise(spark: SparkSession, d: str) -> DataFrame:
 @register("""WITH v AS (SELECT cohort, count(DISTINCT triple) AS n FROM marker_registry WHERE triple <> '' GROUP BY 1), a AS (SELECT DISTINCT triple FROM marker_registry WHERE triple <> '')
 SELECT triple, row_number() OVER (ORDER BY triple) - 1 AS idx FROM a""")
 def vocab_index(spark: SparkSession, d: str) -> DataFrame:
-    """Sorted distinct triples and their index; the index is frozen by writing it."""
+    """Sorted distinct triples and their index, numbered in shares."""
     triples = table(spark, d, "marker_registry").where("triple <> ''").select("triple").distinct()
-    return triples.select("triple", (F.row_number().over(Window.orderBy("triple")) - 1).alias("idx"))
+    return schema.dense_ids(triples, "triple", "idx").select("triple", "idx")
+
+
+@register("""WITH old AS (SELECT triple, row_number() OVER (ORDER BY triple) - 1 AS i FROM (SELECT DISTINCT triple FROM marker_registry WHERE triple <> '' AND cohort <> 'UMBRA')),
+new AS (SELECT triple, row_number() OVER (ORDER BY triple) - 1 AS i FROM (SELECT DISTINCT triple FROM marker_registry WHERE triple <> ''))
+SELECT triple, old.i AS frozen, new.i AS rebuilt, CASE WHEN old.i IS NULL THEN 'added' WHEN new.i IS NULL THEN 'lost' WHEN old.i = new.i THEN 'kept' ELSE 'moved' END AS state FROM old FULL JOIN new USING (triple)""")
+def vocab_freeze(spark: SparkSession, d: str) -> DataFrame:
+    """A vocabulary frozen by writing it before a cohort came, against the one built anew: what would be misaligned."""
+    named = table(spark, d, "marker_registry").where("triple <> ''").select("triple", "cohort")
+    frozen = cut(schema.dense_ids(named.where("cohort <> 'UMBRA'").select("triple").distinct(), "triple", "frozen"), "vocabulary")
+    return schema.misaligned(frozen, schema.dense_ids(named.select("triple").distinct(), "triple", "rebuilt"), "triple")
 
 
 @register("""WITH p AS (SELECT DISTINCT patient_id, image_id FROM cells WHERE patient_id IS NOT NULL AND image_id IS NOT NULL),
@@ -105,23 +115,26 @@ def subset_cohorts(spark: SparkSession, d: str) -> DataFrame:
     return standard_cells(spark, d).where(~F.col("cohort").isin("UMBRA")).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(r"""SELECT registry_id, trim(regexp_replace(split_part(trim(regexp_replace(raw_column, ':\s*Cyc[_ ]?\d+[_ ]?ch[_ ]?\d+\s*$', '', 'i')), ':', 1), '\s+-\s+.*$', '')) AS stripped,
+def _tight(pattern: str, n: int) -> str:
+    return f"regexp_extract(t, '{pattern}', {n})"
+
+
+@register(f"""SELECT registry_id, trim(regexp_replace(trim(split_part(split_part(translate(raw_column, chr(9) || chr(10) || chr(13), '   '), ':', 1), ' - ', 1)), '{names.CYCLE}', '')) AS stripped,
 upper(regexp_replace(raw_column, '[^A-Za-z0-9]', '', 'g')) AS key FROM marker_registry WHERE raw_column IS NOT NULL""")
 def strip_name(spark: SparkSession, d: str) -> DataFrame:
     """H1, H3: vendor decoration taken off, and the key of letters and digits."""
     raw = F.col("raw_column")
-    return table(spark, d, "marker_registry").where("raw_column is not null").select("registry_id", names.strip_decoration(raw).alias("stripped"), names.ascii_key(raw).alias("key"))
+    return table(spark, d, "marker_registry").where("raw_column is not null").select("registry_id", names.bare(raw).alias("stripped"), names.ascii_key(raw).alias("key"))
 
 
-@register(r"""SELECT registry_id, CASE WHEN regexp_full_match(stripped, '(?i)(?:H)?H3\s*[-_ ]?K\d+(?:ac|me\d?)') THEN 'H3'
-WHEN regexp_full_match(stripped, '(?:p|phospho)[-_ ]?[A-Z].*') THEN replace(regexp_extract(stripped, '^(?:p|phospho)[-_ ]?([A-Z].*)$', 1), '~', '') ELSE stripped END AS core,
-CASE WHEN regexp_full_match(stripped, '(?i)(?:H)?H3\s*[-_ ]?K\d+(?:ac|me\d?)') THEN 'mark' ELSE 'pan' END AS epitope,
-CASE WHEN regexp_full_match(stripped, '(?i)(?:H)?H3\s*[-_ ]?K\d+(?:ac|me\d?)') THEN 'none' WHEN regexp_full_match(stripped, '(?:p|phospho)[-_ ]?[A-Z].*') THEN 'phospho' ELSE 'none' END AS modification
-FROM (SELECT registry_id, trim(stripped) AS stripped FROM marker_registry WHERE stripped IS NOT NULL)""")
+@register(f"""WITH r AS (SELECT registry_id, trim(stripped) AS name, translate(trim(stripped), '-_ ', '') AS t FROM marker_registry WHERE stripped IS NOT NULL)
+SELECT registry_id, CASE WHEN regexp_matches(t, '{names.MARK}') THEN upper({_tight(names.MARK, 1)}) WHEN regexp_matches(t, '{names.ISOFORM}') THEN upper({_tight(names.ISOFORM, 1)})
+WHEN regexp_matches(t, '{names.PHOSPHO}') THEN {_tight(names.PHOSPHO, 2)} WHEN upper(t) = 'S6' THEN 'RPS6' ELSE name END AS core,
+CASE WHEN regexp_matches(t, '{names.MARK}') THEN upper({_tight(names.MARK, 2)}) || lower({_tight(names.MARK, 3)}) WHEN regexp_matches(t, '{names.ISOFORM}') THEN upper({_tight(names.ISOFORM, 2)}) ELSE 'pan' END AS epitope,
+CASE WHEN NOT regexp_matches(t, '{names.MARK}') AND NOT regexp_matches(t, '{names.ISOFORM}') AND regexp_matches(t, '{names.PHOSPHO}') THEN 'phospho' ELSE 'none' END AS modification FROM r""")
 def split_name(spark: SparkSession, d: str) -> DataFrame:
-    """H2: core, epitope and modification of a name."""
-    core, epitope, modification = names.split_name(F.trim("stripped"))
-    return table(spark, d, "marker_registry").where("stripped is not null").select("registry_id", core.alias("core"), epitope.alias("epitope"), modification.alias("modification"))
+    """H2: core, epitope and modification of a name: histone marks, isoforms, phosphorylated proteins, short names."""
+    return table(spark, d, "marker_registry").where("stripped is not null").select("registry_id", names.form(F.trim("stripped")).alias("f")).select("registry_id", "f.*")
 
 
 @register("""SELECT DISTINCT registry_id, variant FROM (SELECT registry_id, unnest([core, replace(core, '-', ''), replace(core, ' ', ''), replace(core, '_', ''), upper(core)]) AS variant FROM marker_registry WHERE core <> '')""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.cells import null_number
 from tessella.functions.numbers import fixed
 from tessella.operators import schema
+from tessella.plans.materialize import cut
 from tessella.sources import files
 from tessella.sources.standard import MARKERS, null_like, standard_cells, standard_label
 from tessella.sources.tables import table
@@ -17,15 +18,15 @@ from .registry import M, Registry
 REGISTRY = register = Registry()
 
 
-@register("SELECT cell_id, image_id, area_px2 FROM cells WHERE area_px2 > 250 AND load_id <= 5")
+@register("SELECT cell_id, image_id, load_id, area_px2 FROM cells WHERE area_px2 > 250")
 def scan_project(spark: SparkSession, d: str) -> DataFrame:
-    """A pruned scan with its filter pushed down, of loads up to 5."""
-    return schema.require(table(spark, d, "cells"), ["cell_id", "image_id", "area_px2", "load_id"]).where("area_px2 > 250 and load_id <= 5").select("cell_id", "image_id", "area_px2")
+    """A pruned scan with its filter pushed down, of every load."""
+    return schema.require(table(spark, d, "cells"), ["cell_id", "image_id", "load_id", "area_px2"]).where("area_px2 > 250").select("cell_id", "image_id", "load_id", "area_px2")
 
 
 @register("SELECT cell_id, image_id, area_px2 FROM cells WHERE area_px2 > 250")
 def scan_project_all(spark: SparkSession, d: str) -> DataFrame:
-    """scan_project over every load."""
+    """The same without the load."""
     return schema.require(table(spark, d, "cells"), ["cell_id", "image_id", "area_px2"]).where("area_px2 > 250").select("cell_id", "image_id", "area_px2")
 
 
@@ -59,6 +60,43 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+@register("""WITH v AS (SELECT paper_id, substr(sha256(text), 1, 16) AS digest, strlen(text)::BIGINT AS n_bytes, row_number() OVER (PARTITION BY paper_id ORDER BY doc_id) AS first,
+row_number() OVER (PARTITION BY paper_id ORDER BY doc_id DESC) AS last FROM documents WHERE text IS NOT NULL AND paper_id IS NOT NULL),
+a AS (SELECT paper_id, digest, n_bytes FROM v WHERE first = 1 AND digest < 'f'), b AS (SELECT paper_id, digest, n_bytes FROM v WHERE last = 1 AND digest > '1')
+SELECT paper_id, CASE WHEN a.digest IS NULL THEN 'new' WHEN b.digest IS NULL THEN 'missing' WHEN a.n_bytes <> b.n_bytes THEN 'size' WHEN a.digest <> b.digest THEN 'digest' ELSE 'same' END AS state FROM a FULL JOIN b USING (paper_id)""")
+def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+    """A stored manifest (size and truncated digest of each article's first text) against what there is now (its last
+    text); texts with the highest digests aren't listed, and those with the lowest are gone, so that each state occurs."""
+    texts = table(spark, d, "documents").where("text is not null and paper_id is not null").select("paper_id", "doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    entry = F.struct(F.substring("sha", 1, 16).alias("digest"), "n_bytes")
+    ends = texts.groupBy("paper_id").agg(F.min_by(entry, "doc_id").alias("a"), F.max_by(entry, "doc_id").alias("b"))
+    stored = files.stored_manifest(ends.where("a.digest < 'f'").select("paper_id", "a.*"))
+    return files.verify(stored, ends.where("b.digest > '1'").select("paper_id", "b.*"), "paper_id")
+
+
+@register("SELECT DISTINCT raw_column AS marker, regexp_replace(upper(raw_column), '[^A-Z0-9]', '', 'g') IN (SELECT upper(symbol) FROM marker_reference) AS known FROM marker_registry WHERE trim(raw_column) <> '' AND raw_column NOT LIKE '%' || chr(10) || '%'")
+def headerless_list(spark: SparkSession, d: str) -> DataFrame:
+    """A3: a list of one column without a header, written and read by a declared schema; which of its names are known."""
+    named = table(spark, d, "marker_registry").where("trim(raw_column) <> ''").where(~F.col("raw_column").contains("\n")).select("raw_column").distinct()
+    symbols = table(spark, d, "marker_reference").select(F.upper("symbol").alias("symbol"), F.lit(True).alias("known")).where("symbol is not null").distinct()
+    listed = files.list_round_trip(named, "marker")
+    return listed.join(symbols, F.regexp_replace(F.upper("marker"), "[^A-Z0-9]", "") == F.col("symbol"), "left").select("marker", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@register(f"WITH {M}, a AS (SELECT cohort, label, avg(area_px2) AS area, avg(raw_dnx) AS dnx, avg(raw_velk2) AS velk2, avg(raw_orsa1) AS orsa1, avg(raw_tamq4) AS tamq4 FROM m GROUP BY 1, 2)"
++ " UNION ALL ".join(f"SELECT cohort, label, {i} AS slot, round({m}, 6) AS value FROM a" for i, m in enumerate(MARKERS)).join([" ", ""]))
+def dense_store(spark: SparkSession, d: str) -> DataFrame:
+    """One dense array of marker means for each label, written and read back as arrays; an unmeasured slot stays NULL."""
+    means = standard_cells(spark, d).groupBy("cohort", "label").agg(F.array(*[F.avg(c) for c in MARKERS.values()]).alias("means"))
+    return cut(means, "dense").select("cohort", "label", F.posexplode("means").alias("slot", "value")).withColumn("value", fixed("value", 6))
+
+
+@register()
+def crc_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """H7: CRC-32 and size of every text (no SQL)."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 @register("SELECT DISTINCT resolved_id FROM marker_registry WHERE resolved_id IS NOT NULL AND resolved_id NOT IN (SELECT canon_id FROM marker_reference)")
 def offline_misses(spark: SparkSession, d: str) -> DataFrame:
     """Keys that the cached lookup lacks."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.numbers import fixed
 from tessella.operators import evaluation as ev
 from tessella.operators import ranks, series
-from tessella.sources.standard import MARKERS, standard_cells, value_counts
+from tessella.sources.standard import standard_cells, stored_counts, value_counts
 from tessella.sources.tables import table
 
 from .registry import L, M, U, Registry
@@ -42,7 +42,7 @@ k AS (SELECT marker, a, b, max(abs(ca / ta::DOUBLE - cb / tb::DOUBLE)) AS ks FRO
 SELECT marker, count(*) AS n_pairs, round(avg(ks), 6) AS mean_ks FROM k GROUP BY 1""")
 def ks_pairwise(spark: SparkSession, d: str) -> DataFrame:
     """Mean two-sample Kolmogorov-Smirnov distance over the pairs of cohorts."""
-    k = ev.pairwise_ks(value_counts(standard_cells(spark, d), "cohort"), "cohort", "marker")
+    k = ev.pairwise_ks(stored_counts(spark, d, "cohort"), "cohort", "marker")
     return k.groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"), fixed(F.avg("ks"), 6).alias("mean_ks"))
 
 
@@ -69,7 +69,7 @@ g AS (SELECT cohort, marker, label, count(*) AS n1, max(t) - count(*) AS n0, sum
 SELECT cohort, marker, label, round((s - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auroc, (s - n1 * (n1 + 1) / 2.0) / (n1 * n0) >= 0.75 AS pass FROM g WHERE n1 >= 20 AND n0 >= 20""")
 def auroc_rules(spark: SparkSession, d: str) -> DataFrame:
     """Area under the curve of each label against the rest by mid-ranks, with its declared bar."""
-    return ev.auroc_of_labels(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "marker"], "label", least=20, bar=0.75)
+    return ev.auroc_of_labels(stored_counts(spark, d, "cohort", "label"), ["cohort", "marker"], "label", least=20, bar=0.75)
 
 
 @register(f"""WITH {_TP}, s AS (SELECT cohort, c AS class, sum(n * (truth = c AND pred = c)::INT) AS hit, sum(n * (truth = c)::INT) AS t, sum(n * (pred = c)::INT) AS p
@@ -103,7 +103,7 @@ g AS (SELECT cohort, marker, sum(ss) - 2 * sum(mean * s) + sum(n * mean * mean)
 SELECT cohort, marker, round(CASE WHEN sst > 1e-12 THEN 1 - sse / sst END, 5) AS r2 FROM g""")
 def r2_masked(spark: SparkSession, d: str) -> DataFrame:
     """Share of a marker's variance that the label's mean explains, from sums alone."""
-    return ev.explained_by(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort", "marker"], "label")
+    return ev.explained_by(stored_counts(spark, d, "cohort", "label"), ["cohort", "marker"], "label")
 
 
 _ARI = """, t AS (SELECT {a} AS a, {b} AS b, sum({w}) AS n FROM part GROUP BY 1, 2), r AS (SELECT sum(n) AS n FROM t GROUP BY a), k AS (SELECT sum(n) AS n FROM t GROUP BY b),
@@ -202,7 +202,7 @@ SELECT a.marker, round(a.med - b.med, 6) AS median_gap, round(a.iqr / nullif(b.i
 def kept_vs_excluded(spark: SparkSession, d: str) -> DataFrame:
     """Values of kept labels against those of flagged ones."""
     flags = table(spark, d, "label_map").select("cohort", "label", F.col("unreliable").alias("flagged"))
-    counts = value_counts(standard_cells(spark, d), "cohort", "label").join(flags, ["cohort", "label"]).groupBy("marker", "flagged", "v").agg(F.sum("n").alias("n"))
+    counts = stored_counts(spark, d, "cohort", "label").join(flags, ["cohort", "label"]).groupBy("marker", "flagged", "v").agg(F.sum("n").alias("n"))
     q = ranks.quantiles(counts, ["marker", "flagged"], [0.25, 0.5, 0.75]).select("marker", "flagged", F.col("q")[1].alias("med"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
     b = q.where("flagged").select("marker", F.col("med").alias("med_b"), F.col("iqr").alias("iqr_b"))
     ratio = F.col("iqr") / F.when(F.col("iqr_b") != 0, F.col("iqr_b"))
@@ -230,7 +230,7 @@ w AS (SELECT marker, cluster, var_pop(mean) AS within, avg(mean) AS c, count(*)
 SELECT marker, round(avg(CASE WHEN n > 1 THEN within END), 5) AS within, round(var_pop(c), 5) AS between_, avg(CASE WHEN n > 1 THEN within END) < var_pop(c) AS coherent FROM w GROUP BY 1""")
 def coherence(spark: SparkSession, d: str) -> DataFrame:
     """Variance within clusters against between them."""
-    counts = value_counts(standard_cells(spark, d), "cohort", "label").groupBy("cohort", "label", "marker").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    counts = stored_counts(spark, d, "cohort", "label").groupBy("cohort", "label", "marker").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
     g = counts.join(table(spark, d, "label_map").select("cohort", "label", "cluster"), ["cohort", "label"])
     w = g.groupBy("marker", "cluster").agg(F.var_pop("mean").alias("within"), F.avg("mean").alias("c"), F.count(F.lit(1)).alias("n"))
     inside = F.avg(F.when(F.col("n") > 1, F.col("within")))

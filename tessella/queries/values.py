@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.numbers import fixed
 from tessella.operators import ranks, sampling
-from tessella.sources.standard import MARKERS, long_values, standard_cells, value_counts
+from tessella.sources.standard import long_values, standard_cells, stored_counts, value_counts
 from tessella.sources.tables import table
 
 from .registry import L, M, U, Registry
@@ -53,7 +53,7 @@ def sample_on_full_ranks(spark: SparkSession, d: str) -> DataFrame:
 SELECT level::DOUBLE AS level, count(*) FILTER (WHERE s < level) AS below, count(*) FILTER (WHERE s >= level) AS above FROM s, t GROUP BY 1""")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """V6: how many (cohort, marker) pairs each threshold of the rank spread leaves out."""
-    u = ranks.mid_rank(value_counts(standard_cells(spark, d), "cohort"), ["cohort", "marker"])
+    u = ranks.mid_rank(stored_counts(spark, d, "cohort"), ["cohort", "marker"])
     n, s, ss = F.sum("n"), F.sum(F.col("u") * F.col("n")), F.sum(F.col("u") * F.col("u") * F.col("n"))
     spread = u.groupBy("cohort", "marker").agg((12 * (ss - s * s / n) / F.when(n > 1, n - 1)).alias("s"))
     levels = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: i * F.lit(1.0) / 10)
@@ -81,6 +81,18 @@ def split_floor(spark: SparkSession, d: str) -> DataFrame:
     return q.select("cohort", "marker", "split", F.col("rows").alias("n"), fixed(F.col("q")[0], 6).alias("med"), (F.col("rows") >= 100).alias("floor_met"))
 
 
+@register(f"""WITH {L}, g AS (SELECT cohort, label, marker, count(*) AS n, sum(v) AS s FROM l GROUP BY 1, 2, 3),
+o AS (SELECT *, sum(n) OVER w - n AS rest_n, sum(s) OVER w - s AS rest_s FROM g WINDOW w AS (PARTITION BY label, marker))
+SELECT cohort AS held_out, marker, count(*) AS n_labels, round(sqrt(avg((s / n - rest_s / rest_n) ** 2)), 5) AS rmse FROM o WHERE rest_n > 0 GROUP BY 1, 2""")
+def loco_mean_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The pooled mean of the other cohorts as predictor of each held-out cohort's label means; labels that only it has are skipped."""
+    g = long_values(standard_cells(spark, d), "cohort", "label").groupBy("cohort", "label", "marker").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    w = Window.partitionBy("label", "marker")
+    o = g.withColumns({"rest_n": F.sum("n").over(w) - F.col("n"), "rest_s": F.sum("s").over(w) - F.col("s")}).where("rest_n > 0")
+    gap = F.col("s") / F.col("n") - F.col("rest_s") / F.col("rest_n")
+    return o.groupBy(F.col("cohort").alias("held_out"), "marker").agg(F.count(F.lit(1)).alias("n_labels"), fixed(F.sqrt(F.avg(gap * gap)), 5).alias("rmse"))
+
+
 @register(f"""WITH {M}, {_SPLIT}, r AS (SELECT m.cohort, split, cell_id, row_number() OVER (PARTITION BY m.cohort, split ORDER BY {_id_hash(_ID)}, cell_id) AS rn FROM m JOIN sp USING (cohort, image_id) WHERE cell_id IS NOT NULL)
 SELECT cohort, split, cell_id FROM r WHERE rn <= 100""")
 def capped_draw(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessella.functions.numbers import fixed
 from tessella.operators import ranks, series
 from tessella.operators.matching import standard_profiles
-from tessella.sources.standard import long_values, standard_cells, value_counts
+from tessella.plans.joins import skew_join
+from tessella.plans.materialize import cut
+from tessella.sources.standard import long_values, standard_cells, stored_counts
 from tessella.sources.tables import table
 
 from .registry import L, M, U, Registry
@@ -16,38 +18,44 @@ from .registry import L, M, U, Registry
 REGISTRY = register = Registry()
 
 
+def _brought_back(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Every row with its mid-rank ``u``; a value that many rows share is no hot key."""
+    counts = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
+    u = cut(ranks.mid_rank(counts, group).select(*group, "v", fixed("u", 8).alias("u")), "ranks")
+    return skew_join(rows, u, [*group, "v"], F.col("cell_id"))
+
+
 def _cohort_ranks(rows: DataFrame) -> DataFrame:
-    counts = rows.groupBy("cohort", "marker", "v").agg(F.count(F.lit(1)).alias("n"))
-    u = ranks.mid_rank(counts, ["cohort", "marker"]).select("cohort", "marker", "v", fixed("u", 8).alias("u"))
-    return rows.join(u, ["cohort", "marker", "v"]).select("cell_id", "cohort", "marker", "v", "u")
+    return _brought_back(rows, ["cohort", "marker"]).select("cell_id", "cohort", "marker", "v", "u")
 
 
-@register(f"WITH {U} SELECT cell_id, cohort, marker, v, round(u, 8) AS u FROM u WHERE marker IN ('area', 'dnx')")
+@register(f"WITH {U} SELECT cell_id, cohort, marker, v, round(u, 8) AS u FROM u")
 def ecdf_cohort(spark: SparkSession, d: str) -> DataFrame:
-    """Mid-rank of area and dnx within cohort and marker, brought back to every row."""
-    return _cohort_ranks(long_values(standard_cells(spark, d), "cell_id", "cohort").where(F.col("marker").isin("area", "dnx")))
+    """Mid-rank within cohort and marker, for every marker, brought back to every row."""
+    return _cohort_ranks(long_values(standard_cells(spark, d), "cell_id", "cohort"))
 
 
-@register(f"WITH {U} SELECT cell_id, cohort, marker, v, round(u, 8) AS u FROM u")
+@register(f"WITH {U} SELECT cohort, marker, v, count(*) AS n, round(max(u), 8) AS u FROM u GROUP BY 1, 2, 3")
 def ecdf_cohort_all(spark: SparkSession, d: str) -> DataFrame:
-    """ecdf_cohort for every marker."""
-    return _cohort_ranks(long_values(standard_cells(spark, d), "cell_id", "cohort"))
+    """The same with one row for each distinct value."""
+    counts = stored_counts(spark, d, "cohort")
+    return ranks.mid_rank(counts, ["cohort", "marker"]).select("cohort", "marker", "v", "n", fixed("u", 8).alias("u"))
 
 
 @register(f"""WITH {L}, r AS (SELECT *, (rank() OVER (PARTITION BY image_id, marker ORDER BY v) + (count(*) OVER (PARTITION BY image_id, marker, v) - 1) / 2.0) / count(*) OVER (PARTITION BY image_id, marker) AS u FROM l)
-SELECT image_id, marker, v, round(max(u), 8) AS u, count(*) AS n FROM r WHERE marker = 'area' GROUP BY 1, 2, 3""")
+SELECT image_id, marker, v, round(max(u), 8) AS u, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def ecdf_image(spark: SparkSession, d: str) -> DataFrame:
-    """Mid-rank of area within the slide, one row for each distinct value."""
-    counts = value_counts(standard_cells(spark, d), "image_id").where("marker = 'area'")
+    """Mid-rank within the slide for every marker, one row for each distinct value."""
+    counts = stored_counts(spark, d, "image_id")
     return ranks.mid_rank(counts, ["image_id", "marker"]).select("image_id", "marker", "v", fixed("u", 8).alias("u"), "n")
 
 
 @register(f"""WITH {L}, r AS (SELECT *, (rank() OVER (PARTITION BY image_id, marker ORDER BY v) + (count(*) OVER (PARTITION BY image_id, marker, v) - 1) / 2.0) / count(*) OVER (PARTITION BY image_id, marker) AS u FROM l)
-SELECT image_id, marker, v, round(max(u), 8) AS u, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+SELECT cell_id, image_id, marker, v, round(u, 8) AS u FROM r""")
 def ecdf_image_all(spark: SparkSession, d: str) -> DataFrame:
-    """ecdf_image for every marker."""
-    counts = value_counts(standard_cells(spark, d), "image_id")
-    return ranks.mid_rank(counts, ["image_id", "marker"]).select("image_id", "marker", "v", fixed("u", 8).alias("u"), "n")
+    """The same brought back to every row."""
+    rows = long_values(standard_cells(spark, d), "cell_id", "image_id")
+    return _brought_back(rows, ["image_id", "marker"]).select("cell_id", "image_id", "marker", "v", "u")
 
 
 @register("SELECT registry_id, row_number() OVER (PARTITION BY panel_id ORDER BY registry_id) - 1 AS k FROM marker_registry WHERE panel_id IS NOT NULL")
@@ -62,7 +70,7 @@ SELECT cohort, image_id, marker, round((med - avg(med) OVER w) / coalesce(nullif
 round((iqr - avg(iqr) OVER w) / coalesce(nullif(stddev_samp(iqr) OVER w, 0), 1), 5) AS iqr_z FROM s WINDOW w AS (PARTITION BY cohort, marker)""")
 def slide_stats(spark: SparkSession, d: str) -> DataFrame:
     """Slide medians and ranges, standardised within the cohort."""
-    q = ranks.quantiles(value_counts(standard_cells(spark, d), "cohort", "image_id"), ["cohort", "image_id", "marker"], [0.25, 0.5, 0.75])
+    q = ranks.quantiles(stored_counts(spark, d, "cohort", "image_id"), ["cohort", "image_id", "marker"], [0.25, 0.5, 0.75])
     s = q.select("cohort", "image_id", "marker", F.col("q")[1].alias("med"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
     w = Window.partitionBy("cohort", "marker")
 
@@ -79,7 +87,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cohort, label ORDER BY z DESC, m
 SELECT cohort, label, marker, z, CASE WHEN z > 0.8 AND hi <= 3 THEN '+' ELSE '-' END AS sign FROM r WHERE (z > 0.8 AND hi <= 3) OR (z < -1.2 AND lo = 1)""")
 def zscore_topk(spark: SparkSession, d: str) -> DataFrame:
     """Markers that stand out of a label, up to three high and one low."""
-    z = standard_profiles(value_counts(standard_cells(spark, d), "cohort", "label"), ["cohort"], "label", least=50).withColumn("z", fixed("z", 6))
+    z = standard_profiles(stored_counts(spark, d, "cohort", "label"), ["cohort"], "label", least=50).withColumn("z", fixed("z", 6))
     w = Window.partitionBy("cohort", "label")
     ranked = z.withColumn("hi", F.row_number().over(w.orderBy(F.desc("z"), "marker"))).withColumn("lo", F.row_number().over(w.orderBy("z", "marker")))
     high = (F.col("z") > 0.8) & (F.col("hi") <= 3)
@@ -109,6 +117,27 @@ def coverage_curve(spark: SparkSession, d: str) -> DataFrame:
     return series.coverage(c, "cohort", "conf", [i / 20 for i in range(1, 21)])
 
 
+@register(f"""WITH {U}, g AS (SELECT cohort, label, marker, avg(u) AS m FROM u GROUP BY 1, 2, 3 HAVING count(*) >= 50),
+p AS (SELECT h.cohort AS held_out, label, marker, avg(m) AS p FROM (SELECT DISTINCT cohort FROM g) h JOIN g ON g.cohort <> h.cohort GROUP BY 1, 2, 3),
+r AS (SELECT g.cohort, g.label, p.label AS said, round(avg((m - p) ** 2), 9) AS d FROM g JOIN p ON p.held_out = g.cohort AND p.marker = g.marker GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+b AS (SELECT cohort, label, arg_min(said, (d, said)) AS said FROM r GROUP BY 1, 2)
+SELECT cohort AS held_out, count(*) AS n_labels, count(*) FILTER (WHERE label = said) AS n_right FROM b GROUP BY 1""")
+def loco_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Each cohort held out, its labels named by the nearest mean profile of the other cohorts, all in one job."""
+    u = ranks.mid_rank(stored_counts(spark, d, "cohort", "label"), ["cohort", "marker"])
+    g = cut(u.groupBy("cohort", "label", "marker").agg(F.sum("n").alias("n"), (F.sum(F.col("u") * F.col("n")) / F.sum("n")).alias("m")).where("n >= 50"), "profiles")
+    # what the other cohorts make of a label is the total less the held-out cohort's part
+    total = g.groupBy(F.col("label").alias("said"), "marker").agg(F.sum("m").alias("s"), F.count(F.lit(1)).alias("k"))
+    own = g.select(F.col("cohort").alias("held_out"), F.col("label").alias("said"), "marker", F.col("m").alias("own"))
+    p = g.select(F.col("cohort").alias("held_out"), "label", "marker", "m").join(total, "marker").join(own, ["held_out", "said", "marker"], "left")
+    left = F.col("k") - F.when(F.col("own").isNull(), 0).otherwise(1)
+    gap = F.col("m") - (F.col("s") - F.coalesce("own", F.lit(0.0))) / F.col("left")
+    near = p.withColumn("left", left).where("left > 0").groupBy("held_out", "label", "said")
+    r = near.agg(F.count(F.lit(1)).alias("shared"), fixed(F.avg(F.pow(gap, 2)), 9).alias("d")).where("shared >= 3")
+    best = r.groupBy("held_out", "label").agg(F.min(F.struct("d", "said"))["said"].alias("said"))
+    return best.groupBy("held_out").agg(F.count(F.lit(1)).alias("n_labels"), F.count_if(F.col("label") == F.col("said")).alias("n_right"))
+
+
 @register(f"""WITH {M}, s AS (SELECT cohort, load_id, round(avg(area_px2), 6) AS x FROM m WHERE area_px2 IS NOT NULL GROUP BY 1, 2),
 b AS (SELECT *, min(x) OVER (PARTITION BY cohort ORDER BY load_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, row_number() OVER (PARTITION BY cohort ORDER BY load_id) AS i FROM s),
 f AS (SELECT *, max(CASE WHEN best IS NULL OR x < best THEN i END) OVER (PARTITION BY cohort ORDER BY load_id) AS last_good FROM b)

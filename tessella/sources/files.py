@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessella.plans.materialize import shared_path, until_exit
+from tessella.plans.materialize import cut, shared_path, until_exit
 
 
 def csv_round_trip(df: DataFrame) -> DataFrame:
@@ -29,3 +30,26 @@ def partitioned(df: DataFrame, *keys: str) -> DataFrame:
     path = shared_path(df.sparkSession, "parts")
     df.write.partitionBy(*keys).parquet(path)
     return df.sparkSession.read.parquet(until_exit(df.sparkSession, path))
+
+
+def list_round_trip(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame's one column as a CSV list without a header, and read it as ``name`` by a declared schema."""
+    path = shared_path(df.sparkSession, "list")
+    options = {"header": False, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(quoteAll=True, **options).csv(path)
+    return df.sparkSession.read.schema(f"`{name}` string").options(**options).csv(until_exit(df.sparkSession, path))
+
+
+def stored_manifest(entries: DataFrame) -> DataFrame:
+    """A manifest (a key, ``digest`` and ``n_bytes``) as it is stored."""
+    return cut(entries, "manifest")
+
+
+def verify(stored: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``state`` of everything that a stored manifest lists or that is there: same, size, digest, missing or new."""
+    now = present.select(key, F.col("digest").alias("_digest"), F.col("n_bytes").alias("_bytes"))
+    state = (
+        F.when(F.col("digest").isNull(), "new").when(F.col("_digest").isNull(), "missing")
+        .when(F.col("n_bytes") != F.col("_bytes"), "size").when(F.col("digest") != F.col("_digest"), "digest").otherwise("same")
+    )
+    return stored.join(now, key, "full").select(key, state.alias("state"))

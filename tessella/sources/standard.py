@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.cells import STAND_INS, finite
-from tessella.plans.materialize import cut
+from tessella.plans.materialize import compute_or_load, cut
 
 from .tables import table
 
@@ -48,4 +48,13 @@ def value_counts(cells: DataFrame, *keys: str) -> DataFrame:
 
     Ranks read it more than once, so it is written once instead of being counted from the rows each time.
     """
-    return cut(long_values(cells, *keys).groupBy(*keys, "marker", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    return cut(_counts(cells, *keys), "counts")
+
+
+def _counts(cells: DataFrame, *keys: str) -> DataFrame:
+    return long_values(cells, *keys).groupBy(*keys, "marker", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_counts(spark: SparkSession, d: str, *keys: str) -> DataFrame:
+    """``value_counts`` of the standard cells below ``d``, shared by all queries of the session."""
+    return compute_or_load(spark, "-".join(("counts", *keys)), [f"{d}/cells.parquet"], lambda: _counts(standard_cells(spark, d), *keys))
