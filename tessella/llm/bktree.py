@@ -62,7 +62,7 @@ class BKTree:
         out, stack = [], [self.root] if self.root else []
         while stack:
             other, children = stack.pop()
-            d = distance(word, other)
+            d = distance(word, other, most + max(children, default=0))
             if d <= most:
                 out.append((other, d))
             stack += [child for step, child in children.items() if d - most <= step <= d + most]

@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.joins import skew_join
 from tessella.plans.materialize import cut, task_count
 
 from .bktree import BKTree
 from .names import bare_names, id_key, key, plain, split_member
 
-#: Slips allowed in the stem of each kind of name; a stem of under MIN_LETTERS letters must be exact.
+#: Slips allowed in the stem of each kind of name.
 SLIPS = {"symbol": 1, "full": 2, "alias": 0, "prev": 0, "id": 0, "members": 0}
-MIN_LETTERS = 4
 NAMES = "canon_id string, kind string, stem string, member string"
 
 
@@ -82,11 +82,7 @@ def _search(queries: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
         tree = trees.get(kind)
         if tree is None:
             continue
-        if (kind, stem) in owners or len(stem) < MIN_LETTERS or not SLIPS[kind]:
-            near = [(stem, 0)] if (kind, stem) in owners else []
-        else:
-            near = tree.within(stem, SLIPS[kind])
-        rows += [(kind, stem, d, canon, member) for other, d in near for canon, member in owners[kind, other]]
+        rows += [(kind, stem, d, canon, member) for other, d in tree.within(stem, SLIPS[kind]) for canon, member in owners[kind, other]]
     return pd.DataFrame(rows, columns=["kind", "stem", "distance", "canon_id", "ref_member"])
 
 
@@ -135,7 +131,7 @@ def map_registry(registry: DataFrame, reference: DataFrame, key_column: str = "r
     matched = cut(match_values(values, reference), "matches")
     for i in range(len(columns)):
         side = matched.select(F.col("value").alias(f"v{i}"), F.col("canon_id").alias(f"c{i}"), F.col("distance").alias(f"d{i}"))
-        rows = rows.join(side, f"v{i}", "left")
+        rows = skew_join(rows, side, [f"v{i}"], F.col("key"), "left")
     first = F.coalesce(*[F.when(F.col(f"c{i}").isNotNull(), F.struct(F.col(f"c{i}").alias("canon_id"), F.lit(c).alias("matched_by"), F.col(f"d{i}").alias("distance"))) for i, c in enumerate(columns)])
     return rows.select(F.col("key").alias(key_column), first.alias("hit")).select(
         key_column, F.coalesce("hit.canon_id", F.lit("")).alias("canon_id"), F.col("hit.matched_by"), F.col("hit.distance")

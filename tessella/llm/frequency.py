@@ -1,9 +1,10 @@
 """Problem 2: how often each label and each word occurs, in cells and in slides, by suffix-sorted counting.
 
 Records (cells, slides) with the same set of labels form one class with a weight, so counting works on classes.  Of
-each label's term sequence the suffixes are routed by their first term, salted by class; sorted in reverse
-lexicographic order, every n-gram that a suffix begins with is then complete as soon as the order leaves it, and a
-stack of class sets counts all of them in one pass.  A class lives in one salt, so the salts' counts add up.
+each label's term sequence the suffixes, cut at the length of the longest n-gram asked for, are routed by their first
+term, salted by class; sorted in reverse lexicographic order, every n-gram that a suffix begins with is then complete as
+soon as the order leaves it, and a stack of class sets counts all of them in one pass.  A class lives in one salt, so the
+salts' counts add up, and there are as many salts as keep a task's sets small.
 """
 
 from __future__ import annotations
@@ -83,25 +84,25 @@ def _stack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def record_classes(cells: DataFrame) -> DataFrame:
     """Unit (cell or slide), its sorted set of (cohort, label), the number of such records, and the class's name.
 
-    Rows without label, cohort or slide don't count; a NULL ``cell_id`` counts for its slide only.
+    Rows without label, cohort or slide don't count; a NULL ``cell_id`` counts for its slide only.  The rows are read
+    once; labels are put into their standard writing when only the different sets of them are left.
     """
-    base = (
-        cells.select("cell_id", "image_id", standard_cohort(F.col("cohort")).alias("cohort"), _standard("native_label").alias("label"))
-        .where("cohort is not null and cohort <> '' and label is not null and image_id is not null and trim(image_id) <> ''")
-        .where(~F.col("label").isin(*NO_LABEL))
-    )
-    pair = F.struct("cohort", "label")
-
-    def classes(unit: str, key: str) -> DataFrame:
-        sets = base.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(pair)).alias("pairs"))
-        return sets.groupBy("pairs").agg(F.count(F.lit(1)).alias("weight")).select(F.lit(unit).alias("unit"), "pairs", "weight")
-
-    both = classes("cell", "cell_id").unionByName(classes("slide", "image_id"))
-    return cut(both.withColumn("record", F.sha1(F.to_json("pairs"))), "classes")
+    units = F.array(F.struct(F.lit("cell").alias("unit"), F.col("cell_id").cast("string").alias("key")), F.struct(F.lit("slide").alias("unit"), F.col("image_id").alias("key")))
+    raw = (
+        cells.where("cohort is not null and native_label is not null and image_id is not null and trim(image_id) <> ''")
+        .select(F.struct("cohort", F.col("native_label").alias("label")).alias("pair"), F.inline(units)).where("key is not null")
+    )
+    sets = raw.groupBy("unit", "key").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
+    written = cut(sets.groupBy("unit", "pairs").agg(F.count(F.lit(1)).alias("weight")).withColumn("no", F.sha1(F.to_json("pairs"))), "written")
+    one = written.select("unit", "no", "weight", F.explode("pairs").alias("pair")).select("unit", "no", "weight", standard_cohort(F.col("pair.cohort")).alias("cohort"), _standard("pair.label").alias("label"))
+    named = one.where("cohort <> ''").where(~F.col("label").isin(*NO_LABEL))
+    standard = named.groupBy("unit", "no", "weight").agg(F.array_sort(F.collect_set(F.struct("cohort", "label"))).alias("pairs"))
+    classes = standard.groupBy("unit", "pairs").agg(F.sum("weight").alias("weight"))
+    return cut(classes.withColumn("record", F.sha1(F.to_json("pairs"))), "classes")
 
 
 def label_terms(
-    cells: DataFrame, phrase: int = 1, salts: int = 8, few_slides: int = 3, few_cells: int = 5, most: float = 0.9
+    cells: DataFrame, phrase: int = 1, salt_classes: int = 50_000, few_slides: int = 3, few_cells: int = 5, most: float = 0.9
 ) -> DataFrame:
     """``scope``, ``term``, ``n_cells``, ``n_slides`` and ``mark`` of each cohort's labels and of all words.
 
@@ -112,6 +113,7 @@ def label_terms(
     columns aren't read; an empty table gives no rows.
     """
     classes = record_classes(cells)
+    salts = max(1, -(-classes.count() // salt_classes))
     one = classes.select("unit", "record", "weight", F.explode("pairs").alias("pair")).select("unit", "record", "weight", "pair.*")
     words = F.split("label", " ")
     sequence = F.concat(F.array(F.concat(F.lit(START), "cohort")), words, F.array(F.lit(END)))

@@ -16,21 +16,16 @@ from .percentiles import CELL_FIELDS, CELL_GROUPINGS, RadixPercentiles, cell_per
 from .splitting import piece_offsets, split_texts
 
 
-def _registry(spark: SparkSession, d: str) -> DataFrame:
-    return map_registry(table(spark, d, "marker_registry"), table(spark, d, "marker_reference"))
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The entry, or none, of every registry row whose id isn't an entry's id as written."""
-    ids = table(spark, d, "marker_reference").select(F.col("canon_id").alias("id"))
-    rows = table(spark, d, "marker_registry").select("registry_id", F.col("resolved_id").alias("id"))
-    open_rows = rows.join(ids, "id", "left_anti").select("registry_id")
-    return _registry(spark, d).join(open_rows, "registry_id", "left_semi").select("registry_id", "canon_id")
+    reference = table(spark, d, "marker_reference")
+    ids = reference.select(F.col("canon_id").alias("resolved_id"))
+    return map_registry(table(spark, d, "marker_registry").join(ids, "resolved_id", "left_anti"), reference).select("registry_id", "canon_id")
 
 
 def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
     """Every registry row with its entry, the column that named it and the distance; '' where it denotes none."""
-    return _registry(spark, d)
+    return map_registry(table(spark, d, "marker_registry"), table(spark, d, "marker_reference"))
 
 
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +38,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return label_terms(table(spark, d, "cells")).where("mark is not null").select("scope", "term", "mark")
 
 
+def p2_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Cells and slides of each label of a cohort, and of every run of up to three words."""
+    return label_terms(table(spark, d, "cells"), phrase=3)
+
+
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     """Every slide with its group and split."""
     return slide_splits(table(spark, d, "cells"), table(spark, d, "cohorts"))
@@ -90,5 +90,39 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return piece_offsets(table(spark, d, "documents")).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p2_terms, p2_found, p4_splits, p4_found, p5_percentiles, p5_load_histograms, p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p2_terms, p2_phrases, p2_found, p4_splits, p4_found, p5_percentiles, p5_load_histograms, p6_ids, p7_leaks, p7_found, p8_pieces, p8_found)}
+
+#: For these tables: full-width forms and two blanks are all that NFKC changes in them.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u3000"
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + "  "
+
+
+def _terms_sql(phrase: int) -> str:
+    return f"""
+WITH base AS (SELECT cell_id, image_id, upper(trim(cohort)) AS cohort,
+    trim(regexp_replace(lower(translate(native_label, '{_WIDE}', '{_PLAIN}')), '[\\s_\\-]+', ' ', 'g')) AS label
+    FROM cells WHERE trim(cohort) <> '' AND native_label IS NOT NULL AND trim(image_id) <> ''),
+good AS (SELECT *, string_split(label, ' ') AS w FROM base WHERE label NOT IN ('', 'nan', 'none', 'null', 'na')),
+runs AS (SELECT DISTINCT label, array_to_string(w[i:i + k - 1], ' ') AS term FROM (SELECT DISTINCT label, w FROM good),
+    unnest(range(1, len(w) + 1)) AS x(i), unnest(range(1, {phrase} + 1)) AS y(k) WHERE i + k - 1 <= len(w)),
+terms AS (SELECT cohort AS scope, label AS term, cell_id, image_id FROM good
+    UNION ALL SELECT '*', term, cell_id, image_id FROM good JOIN runs USING (label)),
+slides AS (SELECT cohort AS scope, count(DISTINCT image_id) AS all_slides FROM good GROUP BY 1 UNION ALL SELECT '*', count(DISTINCT image_id) FROM good),
+counts AS (SELECT scope, term, count(DISTINCT cell_id) AS n_cells, count(DISTINCT image_id) AS n_slides FROM terms GROUP BY 1, 2)
+SELECT scope, term, n_cells, n_slides, all_slides, CASE WHEN n_slides < 3 OR (scope <> '*' AND n_cells < 5) THEN 'rare'
+    WHEN n_slides > 0.9 * all_slides THEN 'common' END AS mark FROM counts JOIN slides USING (scope)"""
+
+
+SQL: dict[str, str] = {
+    "p2_terms": _terms_sql(1),
+    "p2_phrases": _terms_sql(3),
+    "p2_found": f"SELECT scope, term, mark FROM ({_terms_sql(1)}) WHERE mark IS NOT NULL",
+    "p4_found": """
+WITH RECURSIVE ids AS (SELECT DISTINCT image_id, upper(trim(patient_id)) AS patient FROM cells WHERE image_id IS NOT NULL AND patient_id IS NOT NULL
+    AND lower(trim(patient_id)) NOT IN ('', 'nan', 'none', 'null', 'na') AND NOT regexp_matches(lower(trim(patient_id)), '[|](nan|unknown|<na>|-1)$')),
+good AS (SELECT DISTINCT image_id, patient FROM ids JOIN cohorts ON upper(trim(cohort)) = split_part(patient, '|', 1)
+    WHERE regexp_full_match(patient, '(?i)(?:' || patient_pattern || ')')),
+near AS (SELECT DISTINCT p.image_id AS a, q.image_id AS b FROM good p JOIN good q USING (patient)),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)
+SELECT min(b) AS image_a, a AS image_b FROM reach GROUP BY a HAVING min(b) <> a""",
+}
