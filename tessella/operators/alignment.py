@@ -134,4 +134,4 @@ def name_clusters(scaled: DataFrame, members: DataFrame) -> DataFrame:
     part = F.when((F.col("hi") <= 3) & (F.col("z") > 0.8), F.concat("marker", F.lit("+"))).when((F.col("lo") == 1) & (F.col("z") < -1.2), F.concat("marker", F.lit("-")))
     parts = F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct((-F.col("z")).alias("o"), F.col("marker").alias("m"), part.alias("part")))))
     name = F.array_join(F.transform(parts, lambda x: x["part"]), " ")
-    return r.groupBy("cluster").agg(name.alias("name")).select("cluster", F.when(F.col("name") == "", "no discriminative shared marker").otherwise(F.col("name")).alias("name"))
+    return r.groupBy("cluster").agg(name.alias("name")).select("cluster", F.when(F.col("name") == "", "nothing stands out").otherwise(F.col("name")).alias("name"))

@@ -18,20 +18,16 @@ def require(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def resolve_columns(available: list[str], pattern: str | None = None, between: tuple[str, str] | None = None, names: list[str] | None = None, exclude: list[str] = ()) -> list[str]:
-    """Columns by regular expression (searched), by first and last, or by name; less the excluded ones."""
-    if names is not None:
-        missing = [n for n in names if n not in available]
-        if missing:
-            raise ValueError(f"missing columns: {', '.join(missing)}")
-        chosen = list(names)
-    elif between is not None:
-        first, last = (available.index(n) for n in between)
-        if first > last:
-            raise ValueError(f"{between[0]} stands after {between[1]}")
-        chosen = available[first : last + 1]
-    else:
-        chosen = [n for n in available if re.search(pattern or "", n)]
-    return [n for n in chosen if n not in set(exclude)]
+    """Columns by name, as a stretch from one to another, or by a regular expression found in their names; less the excluded ones."""
+    place = {n: k for k, n in enumerate(available)}
+    lacking = [n for n in (*(names or ()), *(between or ())) if n not in place]
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
+    if between and place[between[0]] > place[between[1]]:
+        raise ValueError(f"the columns from {between[0]} to {between[1]} run backwards")
+    stretch = range(place[between[0]], place[between[1]] + 1) if between else ()
+    wanted = names if names is not None else [n for n in available if (place[n] in stretch if between else re.search(pattern or "", n))]
+    return [n for n in wanted if n not in exclude]
 
 
 def no_clash(df: DataFrame, added: list[str]) -> None:

@@ -111,7 +111,7 @@ def nesting_edges(spark: SparkSession, d: str) -> DataFrame:
 @register(f"""WITH {_RES}, cl AS (SELECT x.cluster, marker, avg(p) AS c, count(*) AS k FROM res JOIN label_map x USING (cohort, label) GROUP BY 1, 2), sz AS (SELECT cluster, count(*) AS size FROM label_map GROUP BY 1),
 nc AS (SELECT marker, count(DISTINCT cohort) AS n FROM res GROUP BY 1), z AS (SELECT cluster, marker, round((c - avg(c) OVER w) / nullif(stddev_pop(c) OVER w, 0), 6) AS z, k * 2 >= size AND n >= 3 AS usable FROM cl JOIN sz USING (cluster) JOIN nc USING (marker) WINDOW w AS (PARTITION BY marker)),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY z DESC, marker) AS hi, row_number() OVER (PARTITION BY cluster ORDER BY z, marker) AS lo FROM z WHERE usable AND z IS NOT NULL)
-SELECT cluster, coalesce(string_agg(CASE WHEN hi <= 3 AND z > .8 THEN marker || '+' WHEN lo = 1 AND z < -1.2 THEN marker || '-' END, ' ' ORDER BY z DESC, marker), 'no discriminative shared marker') AS name FROM r GROUP BY 1""")
+SELECT cluster, coalesce(string_agg(CASE WHEN hi <= 3 AND z > .8 THEN marker || '+' WHEN lo = 1 AND z < -1.2 THEN marker || '-' END, ' ' ORDER BY z DESC, marker), 'nothing stands out') AS name FROM r GROUP BY 1""")
 def cluster_naming(spark: SparkSession, d: str) -> DataFrame:
     """Names from markers that stand out, measured by half the labels and three cohorts."""
     return al.name_clusters(_scaled(spark, d), table(spark, d, "label_map"))

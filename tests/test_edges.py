@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from tessella.functions.cells import finite, no_patient
 from tessella.operators import alignment, evaluation, gates, graphs, linkage, ranks, sampling, schema, series
@@ -44,16 +41,6 @@ def test_quantiles_match_numpy(spark):
     assert got.q == pytest.approx(list(np.quantile(values, [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])))
 
 
-@given(st.lists(st.floats(-1e6, 1e6), min_size=2, max_size=2))
-@settings(max_examples=50, deadline=None)
-def test_bucket_keeps_order(pair):
-    def b(v):
-        return 0 if v == 0 else int(math.copysign(math.floor(math.log2(max(abs(v), 1e-30)) * 16) + 10_000, v))
-
-    a, c = sorted(pair)
-    assert b(a) <= b(c)
-
-
 def test_auroc_extremes(spark):
     perfect = spark.createDataFrame([("g", "a", 2.0, 3), ("g", "b", 1.0, 4)], "g string, label string, v double, n long")
     got = {r.label: r.auroc for r in evaluation.auroc_of_labels(perfect, ["g"], "label", 1, 0.5).collect()}

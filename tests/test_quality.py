@@ -104,3 +104,48 @@ def test_profile(spark):
     assert (x.n_rows, x.n_null, x.n_distinct, x.min_value, x.max_value) == (3, 1, 2, 2.0, float("inf"))
     assert (s.n_null, s.n_distinct, s.min_text, s.max_text) == (1, 2, "a", "b")
     assert got[None, "x"].n_null == 1
+
+
+SHAPES = {
+    "shift": lambda r, n: (r.normal(50, 10, n), r.normal(50 + r.uniform(4, 8), 10, n)),
+    "spread": lambda r, n: (r.normal(50, 5, n), r.normal(50, r.uniform(11, 16), n)),
+    "part": lambda r, n: (r.lognormal(3, 0.5, n), np.where(r.random(n) < r.uniform(0.15, 0.35), r.lognormal(5, 0.2, n), r.lognormal(3, 0.5, n))),
+    "neighbours": lambda r, n: (np.round(r.uniform(0, 10, n)), np.where(r.random(n) < 0.27, np.minimum(np.round(r.uniform(0, 10, n)) + 2.0, 10.0), np.round(r.uniform(0, 10, n)))),
+    "atom": lambda r, n: (np.where(r.random(n) < 0.3, 7.01, r.uniform(0, 14, n)), np.where(r.random(n) < 0.3, 7.02, r.uniform(0, 14, n))),
+    "two sides": lambda r, n: (r.uniform(30, 70, n), np.where(r.random(n) < 0.5, r.uniform(0, 45, n), r.uniform(55, 100, n))),
+    "equal": lambda r, n: (r.normal(50, 10, n), r.normal(50, 10, n)),
+    "same": lambda r, n: (np.full(n, 5.0), np.full(n, 5.0)),
+}
+
+
+def test_classifier_leaves_out_no_drift(spark, cohorts):
+    r, cells, loads, wanted = np.random.default_rng(11), [], [], set()
+    for k, (shape, n) in enumerate((s, n) for s in SHAPES for n in (60, 250, 900, 2500)):
+        base, new = 2 * k + 1, 2 * k + 2
+        a, b = (np.abs(x) + 0.01 for x in SHAPES[shape](r, n))
+        loads += [(base, None), (new, base)]
+        grid = np.union1d(a, b)
+        if np.abs(np.searchsorted(np.sort(a), grid, "right") - np.searchsorted(np.sort(b), grid, "right")).max() * 5 > n:
+            wanted.add(new)
+        cells += [(i, "A", "s", "A|P001", float(i), float(v), 0.5, load_id, None, None) for load_id, part in ((base, a), (new, b)) for i, v in enumerate(part)]
+    got = found(spark, cells, loads, cohorts)
+    assert {g[0] for g in got if g[2] == "drift"} == wanted and len(wanted) > 15
+
+
+def test_without_the_classifier_there_is_no_drift(spark, cohorts, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows, loads = load(1, n=3000) + load(2, n=3000, shift=40, seed=1), [(1, None), (2, 1)]
+    assert found(spark, rows, loads, cohorts) == [(2, "area_px2", "drift")]
+    seen = quality.discriminate
+    monkeypatch.setattr(quality, "discriminate", lambda scored: seen(scored).withColumns({"auc_alone": F.lit(0.5), "gap_alone": F.lit(0.0)}))
+    assert found(spark, rows, loads, cohorts) == []
+
+
+def test_training_decides(spark, cohorts, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows, loads = load(1, n=3000) + load(2, n=3000, shift=40, seed=1), [(1, None), (2, 1)]
+    trained = quality.column_scores
+    monkeypatch.setattr(quality, "column_scores", lambda bins: trained(bins).withColumn("score", F.lit(0.0)))
+    assert found(spark, rows, loads, cohorts) == []
