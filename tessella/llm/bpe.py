@@ -18,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 import regex
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 #: Fixed value: the pattern by which this public vocabulary splits text before merging.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -201,12 +203,21 @@ class Encoder:
         return np.fromiter(chain.from_iterable(map(self._spans.__getitem__, pre_tokens(text))), np.int16)
 
 
+def shipped(spark: SparkSession, path: str | None = None) -> str:
+    """The name under which workers find the rank file, which the driver sends to every executor."""
+    path = path or default_path()
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
-    """The worker's encoder for a rank file: built once in each Python worker."""
+    """The encoder for a rank file (a path, or what ``shipped`` returned): built once in each Python worker."""
     path = path or default_path()
+    if not os.path.isfile(path):
+        path = SparkFiles.get(os.path.basename(path))
     if path not in _encoders:
         _encoders[path] = Encoder(read_ranks(path))
     return _encoders[path]

@@ -18,7 +18,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     recognised, their strings are ordinary text.  NULL and empty texts give an empty list; other columns are not read;
     repeated rows stay repeated; an empty table gives no rows.
     """
-    path = ranks or bpe.default_path()
+    path = bpe.shipped(df.sparkSession, ranks)
     source = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -255,7 +255,7 @@ def _assembled(tables: DataFrame, kind: str, limit: int, overlap: int, with_text
 def _pieces(df: DataFrame, key: str, text: str, limit: int, overlap: int, range_chars: int, ranks: str | None, with_text: bool) -> DataFrame:
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half the limit")
-    spark, path = df.sparkSession, ranks or bpe.default_path()
+    spark, path = df.sparkSession, bpe.shipped(df.sparkSession, ranks)
     source = df.select(df[key].alias("doc_id"), df[text].cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {_OFFSETS}" + (", piece_text string" if with_text else "")
@@ -363,5 +363,5 @@ def split_files(
         .withColumn("range_no", F.row_number().over(of_file) - 1).withColumn("ranges", F.count(F.lit(1)).over(Window.partitionBy("path")).cast("int"))
     )
     bodies = table.repartition(tasks, "path", "at").mapInPandas(_file_ranges, _RANGE.format(k="string"))
-    tables = cut(bodies.mapInPandas(_tables(ranks or bpe.default_path()), _TABLE.format(k="string")), "ranges")
+    tables = cut(bodies.mapInPandas(_tables(bpe.shipped(spark, ranks)), _TABLE.format(k="string")), "ranges")
     return _assembled(tables, "string", limit, overlap, True).withColumnRenamed("doc_id", "path")
