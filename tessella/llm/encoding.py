@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 
 from . import bpe
 
+#: Texts taken out of an Arrow batch at once.
+TOGETHER = 256
+
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
     """``key`` and ``ids`` (array<int>) for each row of ``df``.
@@ -24,12 +27,13 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(path)
         for batch in batches:
-            parts = [encoder.ids(t) for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(parts) + 1, np.int32)
-            np.cumsum([len(p) for p in parts], out=offsets[1:])
-            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                parts = [encoder.ids(t) for t in some.column(1).to_pylist()]
+                offsets = np.zeros(len(parts) + 1, np.int32)
+                np.cumsum([len(p) for p in parts], out=offsets[1:])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([some.column(0), ids], ["key", "ids"])
 
     kind = source.schema["key"].dataType.simpleString()
     return source.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
