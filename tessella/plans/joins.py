@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner", rows: int = 200_000, salts: int = 16) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner", rows: int = 100_000, salts: int = 16) -> DataFrame:
     """``big`` joined with ``small``, whatever share of ``big`` one key holds.
 
     ``small`` is broadcast if it has at most ``rows`` rows; beyond that it is repeated ``salts`` times, and the rows of
