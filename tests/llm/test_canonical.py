@@ -63,3 +63,11 @@ def test_nulls_and_empty(spark):
     assert sorted((r.registry_id, r.canon_id) for r in map_registry(reg, ref).collect()) == [(1, ""), (1, ""), (2, "GRX:00001")]
     assert map_registry(reg.limit(0), ref).count() == 0
     assert {r.canon_id for r in map_registry(reg, ref.limit(0)).collect()} == {""}
+
+
+def test_slips_in_short_symbols(spark):
+    ref = spark.createDataFrame([("GRX:00001", "FARQ9", "", "", "", ""), ("GRX:00002", "DNX", "", "", "", ""), ("ELE:00003", "IN", "indium", "", "", ""), ("ELE:00004", "IR", "iridium", "", "", "")], "canon_id string, symbol string, full_name string, aliases string, prev_symbol string, members string")
+    cases = {"FAR9": "GRX:00001", "DXN": "GRX:00002", "DNNX": "GRX:00002", "FARQ8": "", "IN": "ELE:00003", "IX": "", "XYZ": ""}
+    reg = spark.createDataFrame([(i, t, None, "") for i, t in enumerate(cases)], "registry_id long, raw_column string, gene string, resolved_id string")
+    got = {r.registry_id: r.canon_id for r in map_registry(reg, ref).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases

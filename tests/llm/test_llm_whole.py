@@ -79,3 +79,29 @@ def test_no_setting_is_left_behind(spark, tiny):
         QUERIES[name](spark, tiny)
     after = {k: v for k, v in spark.sparkContext._jvm.scala.jdk.CollectionConverters.MapHasAsJava(spark._jsparkSession.conf().getAll()).asJava().items()}
     assert after == before
+
+
+def test_edited_copies_are_met(spark, tiny):
+    import random
+
+    items = {r["item_id"]: word_runs((r["text"] or "").lower()) for r in pq.read_table(f"{tiny}/eval_items.parquet", columns=["item_id", "text"]).to_pylist()}
+    r, docs, copies = random.Random(2), [], defaultdict(set)
+    for rate in (0.05, 0.1, 0.15):
+        for item, words in items.items():
+            edited = []
+            for w in words:
+                x = r.random()
+                if x < rate:  # a word is lost, another one comes, or both
+                    edited += r.choice([[], ["other"], [w, "more"]])
+                else:
+                    edited.append(w)
+            copies[rate].add((len(docs), item))
+            docs.append((len(docs), "An article. " + " ".join(edited) + r" \section{End}"))
+    from tessella.llm.leakage import leaks
+
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in leaks(corpus, known).where("longest_run >= 12 or (score >= 16 and covered >= 0.1)").collect()}
+    recall = {rate: len(pairs & found) / len(pairs) for rate, pairs in copies.items()}
+    print("recall of edited copies", recall, "others", len(found - set().union(*copies.values())))
+    assert recall[0.05] == 1.0 and recall[0.1] == 1.0 and recall[0.15] > 0.95
