@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.materialize import broadcast_up_to, cut
+
 #: Buckets of a group; a power of 2.
 BUCKETS = 128
 
@@ -19,8 +21,8 @@ def bucketed(counts: DataFrame, group: list[str], value: str, place: Column | No
     if place is not None:
         return counts.withColumn("_b", place)
     levels = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = counts.groupBy(*group).agg(F.percentile_approx(value, levels, 1_000).alias("_edges"))
-    rows = counts.join(edges, group).withColumn("_b", F.lit(0))
+    edges = cut(counts.groupBy(*group).agg(F.percentile_approx(value, levels, 1_000).alias("_edges")), "edges")
+    rows = counts.join(broadcast_up_to(edges), group).withColumn("_b", F.lit(0))
     step = BUCKETS // 2
     while step:  # a binary search for the number of edges below the value
         rows = rows.withColumn("_b", F.col("_b") + F.when(F.col(value) > F.get("_edges", F.col("_b") + (step - 1)), step).otherwise(0))
