@@ -46,7 +46,7 @@ def cumulative(counts: DataFrame, group: list[str], value: str = "v", n: str = "
     upto = F.sum(n).over(Window.partitionBy(*group, "_b").orderBy(value))
     tie = F.sum(n).over(Window.partitionBy(*group, "_b", value))
     inside = rows.withColumn("_upto", upto).withColumn("tie", tie)
-    return inside.join(_offsets(rows, group, n).drop("_bn"), [*group, "_b"]).withColumn("below", F.col("_before") + F.col("_upto") - F.col("tie")).drop("_b", "_upto", "_before")
+    return inside.join(_offsets(rows, group, n).drop("_bn").hint("merge"), [*group, "_b"]).withColumn("below", F.col("_before") + F.col("_upto") - F.col("tie")).drop("_b", "_upto", "_before")
 
 
 def mid_rank(counts: DataFrame, group: list[str], value: str = "v", n: str = "n") -> DataFrame:

@@ -86,9 +86,20 @@ def compute_or_load(spark: SparkSession, name: str, inputs: list[str], make: Cal
     return spark.read.parquet(at)
 
 
+def fits(df: DataFrame, rows: int, mb: int = 32) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, whose texts and lists take at most ``mb`` MB: what a driver can broadcast.
+
+    It goes by the rows themselves, since the planner's estimate is that of a compressed file.
+    """
+    wide = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    sizes = df.select(sum(wide, F.lit(0).cast("long")).alias("size")).limit(rows + 1)
+    n, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return n <= rows and size <= mb * 1_000_000
+
+
 def broadcast_up_to(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` to be broadcast if it has at most ``rows`` rows and ``fits``; else to be joined by a shuffle."""
+    return F.broadcast(df) if fits(df, rows) else df.hint("merge")
 
 
 def task_count(spark: SparkSession) -> int:

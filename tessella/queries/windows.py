@@ -20,9 +20,9 @@ REGISTRY = register = Registry()
 
 def _brought_back(rows: DataFrame, group: list[str]) -> DataFrame:
     """Every row with its mid-rank ``u``; a value that many rows share is no hot key."""
-    counts = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
-    u = cut(ranks.mid_rank(counts, group).select(*group, "v", fixed("u", 8).alias("u")), "ranks")
-    return skew_join(rows, u, [*group, "v"], F.col("cell_id"))
+    counts = cut(rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    u = cut(ranks.mid_rank(counts, group).select(*group, "v", "n", fixed("u", 8).alias("u")), "ranks")
+    return skew_join(rows, u, [*group, "v"], F.col("cell_id"), hits="n")
 
 
 def _cohort_ranks(rows: DataFrame) -> DataFrame:

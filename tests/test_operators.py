@@ -120,3 +120,50 @@ def test_skewed_join(spark, rows):
     assert got == sorted((r.id, r.v) for r in big.join(small, "k").collect())
     left = skew_join(big, small, ["k"], F.col("id"), "left", rows=rows)
     assert left.count() == big.join(small, "k", "left").count()
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeats_are_not_broadcast(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 as k").write.parquet(f"{tmp_path}/big")
+    spark.range(7).selectExpr("id as k", "143L as n", "id * 2 as v").write.parquet(f"{tmp_path}/small")
+    big, small = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("big", "small"))
+    for hits in (None, "n"):  # the planner takes the repeats for no more than the file
+        joined = skew_join(big, small, ["k"], F.col("id"), rows=6, hits=hits)
+        assert "BroadcastHashJoin" not in plan_of(joined) and joined.count() == 1000
+    assert "BroadcastHashJoin" in plan_of(skew_join(big, small, ["k"], F.col("id"), rows=7))
+    assert "BroadcastHashJoin" not in plan_of(big.join(materialize.broadcast_up_to(small, 6), "k"))
+    assert "BroadcastHashJoin" in plan_of(big.join(materialize.broadcast_up_to(small, 7), "k"))
+
+
+def test_wide_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(100).selectExpr("id as k", "repeat('x', 400000) as name").write.parquet(f"{tmp_path}/wide")
+    wide, big = spark.read.parquet(f"{tmp_path}/wide"), spark.range(1000).selectExpr("id % 100 as k")
+    assert not materialize.fits(wide, 100) and materialize.fits(wide, 100, 41) and materialize.fits(wide.select("k"), 100) and not materialize.fits(wide.select("k"), 99)
+    assert "BroadcastHashJoin" not in plan_of(skew_join(big, wide, ["k"], F.col("k")))
+    assert "BroadcastHashJoin" not in plan_of(big.join(materialize.broadcast_up_to(wide), "k"))
+    assert materialize.fits(spark.createDataFrame([(None, None)], "s string, a array<double>"), 1) and materialize.fits(wide.limit(0), 0)
+
+
+def test_only_hot_keys_are_repeated(spark):
+    values = [(i, "g", 0.0 if i % 2 else -0.0) for i in range(3000)] + [(3000 + i, "g", float(i + 1)) for i in range(3000)]
+    big = spark.createDataFrame(values, "id long, k string, v double")
+    small = big.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    joined = skew_join(big, small, ["k", "v"], F.col("id"), rows=0, hits="n")
+    assert joined.columns == ["k", "v", "id", "top"]
+    got = {r.id: r.top for r in joined.collect()}
+    assert joined.count() == 6000 and all(got[i] == (2999 if i < 3000 else i) for i in range(6000))
+    assert skew_join(big, small.limit(0), ["k", "v"], F.col("id"), rows=-1, hits="n").count() == 0
+
+
+def test_ranks_of_many_values_reach_their_rows(spark, tmp_path):
+    n = 101_000
+    none = [f"cast(null as double) as {c}" for c in ("label_confidence", "raw_dnx", "raw_velk2", "raw_orsa1", "raw_tamq4")]
+    cells = spark.range(n).selectExpr("id as cell_id", "'A' as cohort", "'s' as image_id", "'p' as patient_id", "0D as x_px", "0D as y_px", "'t' as native_label", "1L as load_id", "double(if(id < 500, 0, id)) as area_px2", *none)
+    cells.write.parquet(f"{tmp_path}/cells.parquet")
+    got = QUERIES["ecdf_cohort"](spark, str(tmp_path))
+    assert "BroadcastHashJoin" not in plan_of(got)  # 100,501 values: more than the driver is to hold
+    wrong = got.where(F.abs(F.col("u") - F.when(F.col("cell_id") < 500, 250.5).otherwise(F.col("cell_id") + 1) / n) > 1e-8)
+    assert got.count() == n and wrong.count() == 0
